@@ -2,26 +2,74 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import simhash, suffix
+from . import bpe, packing, quality, simhash, suffix, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@functools.cache
+def byte_vocabulary() -> bpe.Vocabulary:
+    import public_tokenizers
+
+    return bpe.Vocabulary.read(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@functools.cache
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as definition:
+        return definition.read()
+
+
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of 50 words or more: one row per document and span."""
     return suffix.repeated_spans(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of what they decode to."""
+    out = bpe.encode_decode(_table(spark, sf_dir, "documents"), byte_vocabulary())
+    return out.select(F.col("id").alias("doc_id"), F.expr("octet_length(ids) div 4").cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SimHash components of all documents."""
     out = simhash.simhash_groups(_table(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op6_simhash)}
-ORACLES: dict[str, str] = {}
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' tokens in sequences of 2048."""
+    return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics and verdict of every document."""
+    out = quality.judged(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", *quality.BASE, "base_failed", "kept", "distance")
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's record as read back from archives."""
+    out = warc.round_trip(_table(spark, sf_dir, "pages"))
+    return out.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_byte_bpe, op6_simhash, op7_packing, op9_quality, op10_warc)}
+ORACLES: dict[str, str] = {
+    "op10_warc": """
+        WITH f AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+        g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM f)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id <> last THEN last END AS refers_to
+        FROM g""",
+}
