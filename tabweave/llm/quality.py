@@ -171,15 +171,39 @@ def mcd(vectors: DataFrame, scratch: Scratch, x: list[str], floors: tuple[float,
     return groups.select("grp", F.when(small, F.col("c0")).otherwise(F.col("centre")).alias("centre"), F.when(small, F.col("i0")).otherwise(F.col("inverse")).alias("inverse"))
 
 
-def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF, keep: tuple[str, ...] = ()) -> DataFrame:
-    """(id, keep.., base statistics, base_failed, distance, kept) for every document."""
-    scratch = Scratch(docs.sparkSession, "quality")
-    x = [f"x{i}" for i in range(len(FLOORS))]
-    stats = base_statistics(docs, text_col, tuple(dict.fromkeys((id_col, lang_col, source_col, *keep))))
-    group = F.concat_ws("\u0001", F.coalesce(F.concat(F.lit("="), F.col(lang_col).cast("string")), F.lit("")), F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit("")))
-    stats = stats.withColumn("base_failed", base_failed()).withColumn("grp", group)
-    stats = scratch.write(stats.select("*", *(v.alias(a) for a, v in zip(x, _vector(), strict=True))), "stats")
-    estimates = mcd(stats.where(~F.col("base_failed")), scratch, x)
-    found = stats.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(x)))
+_X = [f"__x{i}" for i in range(len(FLOORS))]
+
+
+def _grouped(stats: DataFrame, lang_col: str, source_col: str) -> DataFrame:
+    """Statistics with the base verdict, the group's key and the vector."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    key = F.concat(part(lang_col), F.lit("\u0001"), part(source_col))
+    return stats.withColumn("base_failed", base_failed()).withColumn("grp", key).select("*", *(v.alias(a) for a, v in zip(_X, _vector(), strict=True)))
+
+
+def _verdicts(grouped: DataFrame, estimates: DataFrame, cutoff: float) -> DataFrame:
+    found = grouped.join(estimates, "grp", "left").withColumn("distance", F.when(~F.col("base_failed"), _distance(_X)))
     found = found.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True)))
-    return found.drop("grp", "centre", "inverse", *x)
+    return found.drop("grp", "centre", "inverse", *_X)
+
+
+def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+    """(id, language, source, statistics, base_failed, distance, kept) for every document."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    stats = scratch.write(_grouped(base_statistics(docs, text_col, (id_col, lang_col, source_col)), lang_col, source_col), "stats")
+    return _verdicts(stats, mcd(stats.where(~F.col("base_failed")), scratch, _X), cutoff)
+
+
+def reject_outliers(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
+    """The documents that are kept, all columns.
+
+    The texts are read twice, for the estimates and for the verdicts, instead of being shuffled.
+    """
+    scratch = Scratch(docs.sparkSession, "quality")
+    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}  # columns of the same names as statistics can be there
+    plain = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns])
+    lang, source, text = own[lang_col], own[source_col], own[text_col]
+    stats = scratch.write(_grouped(base_statistics(plain, text, (lang, source)), lang, source), "stats")
+    estimates = scratch.write(mcd(stats.where(~F.col("base_failed")), scratch, _X), "estimates")
+    again = _grouped(base_statistics(plain, text, tuple(own.values())), lang, source)
+    return _verdicts(again, estimates, cutoff).where("kept").select(*[F.col(own[c]).alias(c) for c in docs.columns])

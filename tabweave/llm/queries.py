@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, packing, quality, simhash, suffix, warc
+from . import bpe, media, packing, quality, sharding, simhash, suffix, toxicity, urlrules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,32 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeated_spans(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes of pictures, one drawn from every embedding (the tables hold no images)."""
+    return media.image_classes(media.pictures(_table(spark, sf_dir, "embeddings"))).withColumnRenamed("id", "vec_id")
+
+
+def op3_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 runs along a Hilbert curve over language, source and length."""
+    out = sharding.hilbert_shards(_table(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "text_crc32", F.lit(sharding.LAW).alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "curve")
+
+
+#: The rules that a url filter starts from.
+URL_RULES = [
+    urlrules.HostRule("org/", "allow"),
+    urlrules.HostRule("example.org/es/", "block"),
+    urlrules.HostRule("example.org/en/1", "block"),
+    urlrules.HostRule("com/fr/", "allow"),
+    urlrules.HostRule("com/de/", "block"),
+]
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict: explicit rules, else rules mined from the urls that they label."""
+    return urlrules.judge(_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of what they decode to."""
     out = bpe.encode_decode(_table(spark, sf_dir, "documents"), byte_vocabulary())
@@ -51,6 +77,14 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), word_tokenizer()).withColumnRenamed("id", "doc_id")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity, by a classifier fitted on labels that aren't held out."""
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit_on_labels(docs, _table(spark, sf_dir, "labels"))
+    out = toxicity.scored(docs, model, keep=("doc_id",))
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics and verdict of every document."""
     out = quality.judged(_table(spark, sf_dir, "documents"))
@@ -63,7 +97,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("page_id"), F.col("bytes").alias("payload_bytes"), F.col("digest").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers").alias("refers_to"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op5_byte_bpe, op6_simhash, op7_packing, op9_quality, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_image_copies, op3_hilbert_shards, op4_url_rules, op5_byte_bpe, op6_simhash, op7_packing, op8_toxicity, op9_quality, op10_warc)}
 ORACLES: dict[str, str] = {
     "op10_warc": """
         WITH f AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),

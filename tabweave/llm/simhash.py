@@ -22,7 +22,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks
@@ -123,15 +123,43 @@ def links(fps: DataFrame, scratch: Scratch, bits: int = 3, segment: int = 2, hot
     return pairs.unionByName(dense).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, segment: int = 2) -> DataFrame:
-    """(id, fp long, component): documents whose fingerprints are connected by links share the smallest id."""
-    scratch = Scratch(docs.sparkSession, "simhash")
+def labelled(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, bits: int, segment: int) -> tuple[DataFrame, DataFrame]:
+    """((id, fp) of every document, (fp, least id, label) of every fingerprint); linked fingerprints share a label."""
     marked = scratch.write(fingerprints(docs, id_col, text_col, shingle), "marked")
     reps = scratch.write(marked.groupBy("fp").agg(F.min("id").alias("least")), "reps")
     found = scratch.write(links(reps.select("fp"), scratch, bits, segment), "links")
     labels = connected_components(found, scratch)  # (node, label) of fingerprints that have links
     named = reps.join(labels, reps.fp == labels.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    named = scratch.write(named, "named")
+    return marked, scratch.write(named, "named")
+
+
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, segment: int = 2) -> DataFrame:
+    """(id, fp long, component): documents whose fingerprints are connected by links share the smallest id."""
+    marked, named = labelled(docs, Scratch(docs.sparkSession, "simhash"), id_col, text_col, shingle, bits, segment)
     least = named.groupBy("label").agg(F.min("least").alias("component"))
     by_fp = named.join(least, "label").select("fp", "component")
     return marked.join(by_fp, "fp").select("id", "fp", "component")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, segment: int = 2) -> DataFrame:
+    """The documents, all columns, with one of each group: that with the least id (a null id is the greatest).
+
+    Of rows with the same id and fingerprint one stays.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked, named = labelled(docs, scratch, id_col, text_col, shingle, bits, segment)
+    keepers = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("k")).select(F.col("k.least").alias("id"), F.col("k.fp").alias("fp"))
+    # fingerprints are made again beside the texts: by id alone, rows with equal ids could not be told apart
+    kind = docs.schema[id_col].dataType.simpleString()
+    columns = docs.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "__text"):
+            found = fingerprint_block(part.column(0).to_pylist(), shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found)], [*columns, "__fp"])
+
+    again = docs.select(F.col(text_col).cast("string").alias("__text"), *columns).mapInArrow(run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "__fp long"]))
+    a, b = again.alias("a"), keepers.alias("b")
+    stay = a.join(b, F.col(f"a.{id_col}").eqNullSafe(F.col("b.id").cast(kind)) & (F.col("a.__fp") == F.col("b.fp"))).select("a.*")
+    first = Window.partitionBy(id_col, "__fp").orderBy(text_col)
+    return stay.withColumn("__k", F.row_number().over(first)).where("__k = 1").select(*columns)
