@@ -1 +1 @@
-"""plans"""
+"""Whole queries, composed of operators."""

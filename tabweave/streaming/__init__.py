@@ -1 +1 @@
-"""streaming"""
+"""Incremental maintenance of the cell index by Structured Streaming."""
