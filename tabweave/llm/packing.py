@@ -18,6 +18,7 @@ empty table; columns besides the id and the text are not read.
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections import Counter
@@ -25,48 +26,111 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks
 
 LENGTH, UNIT, END = 2048, 8, 1
-#: Remembered chunks of a worker, and the longest that is remembered.
+#: Remembered chunks of a worker (in each of two generations), and the longest that is remembered.
 REMEMBERED, LONGEST = 400_000, 64
 #: Rows of a rank bucket, about.
-BUCKET = 20_000
+BUCKET = 1_000
+
+
+class WordBpe:
+    """The definition's merges on bytes, for chunks whose normal form and cuts are plain: the ids of lower-cased words.
+
+    A byte that no text has stands for the end of a word; it joins the word's last byte before any other merge, as the
+    definition has the two as one symbol from the start.
+    """
+
+    MARK = b"\xff"
+
+    def __init__(self, definition: str):
+        import tiktoken
+
+        model = json.loads(definition)["model"]
+        printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; others follow from 256 on
+        others = [b for b in range(256) if b not in printable]
+        byte_of = {chr(c): b for b, c in [*((b, b) for b in printable), *((b, 256 + k) for k, b in enumerate(others))]}
+        suffix = model["end_of_word_suffix"]
+
+        def raw(token: str) -> bytes:
+            end = token.endswith(suffix)
+            return bytes(byte_of[c] for c in (token.removesuffix(suffix) if end else token)) + (self.MARK if end else b"")
+
+        vocab, order = model["vocab"], {bytes([b]): b for b in range(256)}
+        for b in range(255):
+            order[bytes([b]) + self.MARK] = 256 + b
+        for merge in model["merges"]:
+            left, right = merge.split(" ") if isinstance(merge, str) else merge
+            order.setdefault(raw(left + right), len(order))
+        self.ids = np.zeros(len(order), "<u4")
+        for token, k in vocab.items():
+            if all(c in byte_of for c in token.removesuffix(suffix)) and (r := order.get(raw(token))) is not None:
+                self.ids[r] = k
+        self.piece = tiktoken.Encoding("merges", pat_str=r".+", mergeable_ranks=order, special_tokens={})._core_bpe.encode_single_piece
+        self.cut = regex.compile("'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+").findall
+        #: Printable ASCII and Latin letters that no normal form changes.
+        self.plain = regex.compile("[!-~\u00a1-\u00ac\u00ae-\u012f]*").fullmatch
+
+    def encode(self, chunk: str) -> bytes | None:
+        """None: the chunk isn't plain."""
+        if not self.plain(chunk) or "<|" in chunk:
+            return None
+        found: list[int] = []
+        for word in self.cut(chunk.lower()):
+            found += self.piece(word.encode() + self.MARK)
+        return self.ids[found].tobytes()
+
+
+class Memory(dict):
+    """ids of chunks, found where they are missing; of two generations the older goes when the younger is full."""
+
+    def __init__(self, find, most: int):
+        self.find, self.most, self.old = find, most, {}
+
+    def __missing__(self, chunk: bytes) -> bytes:
+        found = self.old.get(chunk)
+        if found is None:
+            found = self.find(chunk)
+        if len(chunk) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[chunk] = found
+        return found
 
 
 class ChunkTokenizer:
     """ids of a text by a tokenizer that drops white space: of its chunks between ASCII white space, remembered."""
 
     def __init__(self, definition: str):
-        self.definition, self.known, self._tokenizer = definition, {}, None
+        self.definition, self.known = definition, None
 
     def __getstate__(self):
-        return {"definition": self.definition, "known": {}, "_tokenizer": None}
+        return {"definition": self.definition, "known": None}
+
+    def _open(self) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
+        from tokenizers import Tokenizer
+
+        whole, merges = Tokenizer.from_str(self.definition), WordBpe(self.definition)
+
+        def find(chunk: bytes) -> bytes:
+            text = chunk.decode()
+            found = merges.encode(text)
+            return np.array(whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes() if found is None else found
+
+        self.known = Memory(find, REMEMBERED)
 
     def ids(self, texts: list[str | None]) -> list[bytes]:
-        if self._tokenizer is None:
-            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
-            from tokenizers import Tokenizer
-
-            self._tokenizer = Tokenizer.from_str(self.definition)
-        known = self.known
-        split = [t.encode().split() if t else [] for t in texts]
-        new = [*{c for chunks in split for c in chunks if c not in known}]
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = [*{c for chunks in split for c in chunks}]
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for c, e in zip(part, self._tokenizer.encode_batch_fast([c.decode() for c in part], add_special_tokens=False), strict=True):
-                known[c] = np.array(e.ids, "<u4").tobytes()
-        out = [b"".join([known[c] for c in chunks]) for chunks in split]
-        for c in new:
-            if len(c) > LONGEST:
-                del known[c]
-        return out
+        if self.known is None:
+            self._open()
+        get = self.known.__getitem__
+        return [b"".join(map(get, t.encode().split())) if t else b"" for t in texts]
 
 
 def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:

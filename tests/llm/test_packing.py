@@ -76,3 +76,17 @@ def test_buckets_do_not_change_the_result(spark, monkeypatch):
     df = spark.createDataFrame([(i, "one two three " * (i % 3 + 1)) for i in range(150)], "doc_id long, text string")
     got = packing.pack(df, queries.word_tokenizer()).collect()
     assert len(got) == 150 and len({(p.sequence_id, p.offset) for p in got}) == 150
+
+
+def test_byte_merges_equal_the_definition():
+    r = random.Random(7)
+    merges, tokenizer = packing.WordBpe(queries.word_tokenizer()), Tokenizer.from_str(queries.word_tokenizer())
+    letters = "abcdefghijklmnopqrstuvwxyzABCÉéßñŒ'ıİ.,!$%09²¼ªº-_<|>`~\""
+    words = ["".join(r.choice(letters) for _ in range(r.randint(1, 14))) for _ in range(20000)] + ["a" * 3000, "it's", "İi", "<|startoftext|>", "x́", "\u0085", "中"]
+    plain = 0
+    for w, e in zip(words, tokenizer.encode_batch(words, add_special_tokens=False), strict=True):
+        got = merges.encode(w)
+        if got is not None:
+            plain += 1
+            assert np.frombuffer(got, "<u4").tolist() == e.ids, w
+    assert plain > 10000 and merges.encode("x́") is None and merges.encode("<|startoftext|>") is None
