@@ -62,11 +62,13 @@ def release(spark: SparkSession) -> None:
 
 
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
-    """Slices of the batches whose column holds at most limit bytes, or one row."""
+    """Slices of the batches whose column holds at most limit bytes (of a list: items), or one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        own = batch.column(column)
+        sizes = pc.list_value_length(own) if pa.types.is_list(own.type) else pc.binary_length(own)
+        sizes = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
         start = 0
         while start < len(sizes):
             before = sizes[start - 1] if start else 0

@@ -98,7 +98,7 @@ def _spans_of(passage: int):
     """Spans [begin, end) covered by windows: one row each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in blocks(batches, "at"):
             lists = batch.column(2)
             counts = np.diff(lists.offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), counts)
