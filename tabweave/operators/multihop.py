@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..config import HopConfig
 from ..functions import text as T
 from ..storage import Scratch
-from .search import column_hits
 
 KEY = ["path", "table_id", "x_cols", "zcol"]
 
@@ -27,26 +26,25 @@ class Step:
 
 
 def columns_like(cells: DataFrame, values: DataFrame, k: int, tau: int, most: int | None = None, seen: DataFrame | None = None) -> DataFrame:
-    """(path, table_id, x_cols): tables with columns for the paths' present values (path, slot, token), at least tau of each."""
-    paths = [r.path for r in values.select("path").distinct().collect()]  # at most max_paths_to_keep for each parent
-    found = None
-    for p in paths:
-        hits = column_hits(cells, values.where(F.col("path") == p).select("slot", "token"), tau)
-        if seen is not None:
-            hits = hits.join(seen.select("table_id").distinct(), "table_id", "left_anti")
-        out = None
-        for slot in range(k):
-            own = hits.where(F.col("slot") == slot).select("table_id", F.col("colid").alias(f"c{slot}"))
-            if out is None:
-                out = own
-            else:
-                out = out.join(own, "table_id")
-                for other in range(slot):
-                    out = out.where(F.col(f"c{slot}") != F.col(f"c{other}"))
-        out = out.select(F.lit(p).alias("path"), "table_id", F.array(*[f"c{s}" for s in range(k)]).alias("x_cols"))
-        out = out if most is None else out.orderBy("table_id", "x_cols").limit(most)
-        found = out if found is None else found.unionByName(out)
-    return found
+    """(path, table_id, x_cols): tables with columns for the paths' present values (path, slot, token), at least tau of each.
+
+    All paths at once; `most` candidates of each path are kept, by table and columns.
+    """
+    found = cells.select("tableid", "colid", "tokenized").join(values, F.col("tokenized") == F.col("token"))
+    hits = found.groupBy("path", F.col("tableid").alias("table_id"), "slot", "colid").agg(F.count_distinct("token").alias("n")).where(F.col("n") >= tau)
+    if seen is not None:
+        hits = hits.join(seen.select("table_id").distinct(), "table_id", "left_anti")
+    out = None
+    for slot in range(k):
+        own = hits.where(F.col("slot") == slot).select("path", "table_id", F.col("colid").alias(f"c{slot}"))
+        out = own if out is None else out.join(own, ["path", "table_id"])
+        for other in range(slot):
+            out = out.where(F.col(f"c{slot}") != F.col(f"c{other}"))
+    out = out.select("path", "table_id", F.array(*[f"c{s}" for s in range(k)]).alias("x_cols"))
+    if most is None:
+        return out
+    order = Window.partitionBy("path").orderBy("table_id", "x_cols")
+    return out.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= most).drop("__r")
 
 
 def long_rows(cells: DataFrame, cands: DataFrame, k: int) -> DataFrame:
@@ -158,10 +156,9 @@ def multi_hop(cells: DataFrame, examples: DataFrame, queries: DataFrame, kx: int
     for hop in range(1, config.max_path_len + 1):
         own = paths.where("is_example")
         values = own.select("path", F.posexplode("x" if hop == 1 else F.array(F.element_at("hops", -1))).alias("slot", "token")).where("token is not null").distinct()
-        cands = columns_like(cells, values, k, tau, config.max_tables * 3, used)
-        if cands is None:
+        cands = scratch.write(columns_like(cells, values, k, tau, config.max_tables * 3, used), f"cands{hop}")
+        if not cands.take(1):
             break
-        cands = scratch.write(cands, f"cands{hop}")
         step = expand(cells, paths, cands, y_values, k, tau, restrict, config, scratch, hop, fuzzy)
         results = scratch.write(step.results, f"results{hop}")
         found = results if found is None else found.unionByName(results)
