@@ -120,14 +120,16 @@ def run_exercise(cells: DataFrame, rows: DataFrame, n_examples: int = 5, config:
     return evaluate.over_repeats(runs.withColumn("tau", F.lit(config.search.tau)), ["tau"])
 
 
-def run_experiment(cells: DataFrame, exercises: dict[str, DataFrame], taus: tuple[int, ...] = (1, 2, 3, 4, 5), config: EngineConfig | None = None, **options) -> DataFrame:
-    """Every exercise for every tau."""
+def run_experiment(cells: DataFrame, exercises: dict[str, DataFrame], taus: tuple[int, ...] = (1, 2, 3, 4, 5), config: EngineConfig | None = None, first: tuple[str, ...] = (), **options) -> DataFrame:
+    """Every exercise for every tau; those named in `first` (slow ones) come first, in that order."""
     from dataclasses import replace
 
     config = config or EngineConfig()
+    place = {name: k for k, name in enumerate(first)}
     out = None
     for tau in taus:
-        for name, rows in exercises.items():
+        for name in sorted(exercises, key=lambda e: (place.get(e, len(place)), e)):
+            rows = exercises[name]
             one = run_exercise(cells, rows, config=replace(config, search=replace(config.search, tau=tau)), **options).withColumn("exercise", F.lit(name))
             out = one if out is None else out.unionByName(one)
     return out

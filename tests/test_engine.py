@@ -318,3 +318,16 @@ def test_statistics(spark):
 def test_scratch_is_read_back(spark):
     s = Scratch(spark, "t")
     assert s.write(spark.range(3).toDF("a"), "x").count() == 3
+
+
+def test_fuzzy_discovery_and_hops(spark, toy):
+    n = 12
+    tables = {101: [(f"supplier {i}", f"code number {i}") for i in range(n)], 102: [(f"code number {i}", f"headquarter {i}a") for i in range(n)]}
+    cells = spark.createDataFrame(cells_of(tables), CELLS)
+    ex = spark.createDataFrame([([f"supplier {i}"], [f"headquarter {i}"]) for i in range(4)], "x array<string>, y array<string>")
+    q = spark.createDataFrame([([f"supplier {i}"],) for i in range(n)], "x array<string>")
+    assert multihop.multi_hop(cells, ex, q, 1).count() == 0
+    got = multihop.multi_hop(cells, ex, q, 1, fuzzy=("ratio", 0.9))
+    assert {(r.x[0], r.y[0]) for r in got.collect()} == {(f"supplier {i}", f"headquarter {i}a") for i in range(n)}
+    out = discover(*frames(spark, toy), EngineConfig(score=ScoreConfig(use_fuzzy_matching=True, fuzzy_threshold=0.99)), steps=2)
+    assert out.ranking.count() > 0
