@@ -2,34 +2,29 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import IndexConfig
 from ..functions import text as T
+from ..storage import Scratch
 from .corpus import Corpus
 
 
 def numbered(raw: DataFrame, order: list[str], first: int = 1) -> DataFrame:
     """Raw tables with a tableid, gapless from `first` in the order given, without sorting all rows in one task.
 
-    Rows are dealt to buckets by ranges of the order; a bucket's rows are numbered and lifted by the counts before it.
+    Rows are dealt to buckets by ranges of the order; a bucket's rows are numbered and lifted by the counts before it. The
+    buckets are written: ranges come from a sample, which another evaluation could draw otherwise.
     """
-    keyed = raw.repartitionByRange(*order).withColumn("__b", F.spark_partition_id())
-    numbers = keyed.select("*", F.row_number().over(_over("__b", order)).alias("__k"))
+    scratch = Scratch(raw.sparkSession, "numbered")
+    keyed = scratch.write(raw.repartitionByRange(*order).withColumn("__b", F.spark_partition_id()), "buckets")
+    numbers = keyed.select("*", F.row_number().over(Window.partitionBy("__b").orderBy(*order)).alias("__k"))
     counts = keyed.groupBy("__b").agg(F.count("*").alias("__n"))  # a row for each partition
-    from pyspark.sql import Window
-
     before = counts.select("__b", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__o"))
     return numbers.join(before, "__b").withColumn("tableid", (F.col("__o") + F.col("__k") + (first - 1)).cast("long")).drop("__b", "__k", "__o")
 
 
-def _over(part: str, order: list[str]):
-    from pyspark.sql import Window
-
-    return Window.partitionBy(part).orderBy(*order)
-
-
 def build_index(raw: DataFrame, config: IndexConfig | None = None) -> Corpus:
     """raw: (tableid, url, title, hasHeader, headerPosition, relation by columns). A first-row header leaves the rows.
 
