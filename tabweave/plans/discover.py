@@ -61,6 +61,8 @@ def discover(cells: DataFrame, examples: DataFrame, queries: DataFrame, config:
     queries = scratch.write(search.distinct_queries(queries), "queries")
     known = search.complete(examples, "x", "y")
     kx, ky = arity(examples, "x"), arity(examples, "y")
+    if not kx or not ky:
+        raise ValueError("there is no example with inputs and outputs")
     asked = queries.unionByName(search.complete(examples, "x").select("x")).distinct()
     support, sizes, seen = gather(cells, examples, asked, kx, ky, config, scratch, "0")
     scores = scratch.write(scoring.initial_scores(support, known), "initial0")

@@ -331,3 +331,15 @@ def test_fuzzy_discovery_and_hops(spark, toy):
     assert {(r.x[0], r.y[0]) for r in got.collect()} == {(f"supplier {i}", f"headquarter {i}a") for i in range(n)}
     out = discover(*frames(spark, toy), EngineConfig(score=ScoreConfig(use_fuzzy_matching=True, fuzzy_threshold=0.99)), steps=2)
     assert out.ranking.count() > 0
+
+
+def test_nothing_found_and_no_examples(spark, toy):
+    cells, examples, queries = frames(spark, toy)
+    lost = spark.createDataFrame([(["nobody"], ["knows"]), (["this"], ["pair"])], "x array<string>, y array<string>")
+    out = discover(cells, lost, queries)
+    assert out.ranking.count() == 0 and out.support.count() == 0
+    assert {r.x[0]: r.score for r in out.scores.collect()} == {"nobody": 1.0, "this": 1.0}
+    same = discover(cells, examples, examples.select("x"))  # a query that equals an example has the example's output
+    assert {(r.x[0], r.y[0], r.score) for r in same.ranking.where("rank = 1").collect()} == {(r.x[0], r.y[0], 1.0) for r in examples.collect()}
+    with pytest.raises(ValueError):
+        discover(cells, examples.limit(0), queries)
