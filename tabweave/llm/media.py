@@ -30,8 +30,8 @@ from .components import connected_components
 
 SCALES = (1.0, 0.6)
 #: Corners of an image and scale (the strongest), margin that descriptors need, least side of an image.
-CORNERS, MARGIN, LEAST_SIDE = 24, 10, 24
-BANDS, BAND_BITS = 4, 40
+CORNERS, MARGIN, LEAST_SIDE = 16, 10, 24
+BANDS, BAND_BITS = 4, 60
 #: Corners that must agree, entries up to which all pairs of a table entry are made, rounds.
 AGREE, ALL_PAIRS, ROUNDS = 8, 12, 4
 #: Images of a part of a large table entry.
@@ -100,52 +100,70 @@ def described(pixels: np.ndarray) -> list[tuple[float, float, float, float, list
     return out
 
 
+POINTS = "array<struct<x:float,y:float,angle:float,scale:float,bands:array<bigint>>>"
+
+
 def descriptors(images: DataFrame) -> DataFrame:
-    """(pic, x, y, angle, scale, bands array) of images (pic, width, height, pixels: grey bytes by rows)."""
+    """(pic, points) of different images (pic, width, height, pixels: grey bytes by rows) that have corners.
+
+    A task describes equal images once; what several tasks found is one row.
+    """
+    point = pa.struct([("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for part in blocks(batches, "pixels"):
-            rows = []
+            pics, rows = [], []
             for pic, width, height, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if raw is not None and width and height and len(raw) == width * height and min(width, height) >= LEAST_SIDE:
-                    rows += [(pic, *d) for d in described(np.frombuffer(raw, np.uint8).reshape(height, width))]
-            kinds = [pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
-            columns = list(zip(*rows, strict=True)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["pic", "x", "y", "angle", "scale", "bands"])
+                if pic in met or raw is None or not width or not height or len(raw) != width * height or min(width, height) < LEAST_SIDE:
+                    continue
+                if len(met) > 1_000_000:
+                    met.clear()
+                met.add(pic)
+                found = described(np.frombuffer(raw, np.uint8).reshape(height, width))
+                if found:
+                    pics.append(pic)
+                    rows.append([dict(zip(("x", "y", "angle", "scale", "bands"), d, strict=True)) for d in found])
+            yield pa.RecordBatch.from_arrays([pa.array(pics, pa.int64()), pa.array(rows, pa.list_(point))], ["pic", "points"])
+
+    return images.select("pic", "width", "height", "pixels").mapInArrow(run, f"pic long, points {POINTS}").dropDuplicates(["pic"])
+
 
-    return images.select("pic", "width", "height", "pixels").mapInArrow(run, "pic long, x double, y double, angle double, scale double, bands array<bigint>")
+def entries_of(points: DataFrame) -> DataFrame:
+    """(pic, band, value): an image's table entries, each once."""
+    listed = F.array_distinct(F.flatten(F.transform("points", lambda p: F.transform(p["bands"], lambda v, i: F.struct(i.alias("band"), v.alias("value"))))))
+    return points.select("pic", F.explode(listed).alias("e")).select("pic", "e.band", "e.value")
 
 
 def pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): images that meet in a table entry: all pairs of small entries, else neighbours and the entry's first.
+    """(a, b): images that meet in a table entry: all pairs of small entries, else neighbours and one image of the entry.
 
-    An entry with over a ten-thousandth of all points is dealt to several parts by the images' hash.
+    An entry with over a ten-thousandth of all images' entries is dealt to several parts by the images' hash; how large
+    entries are is estimated from a sixteenth of the images, which decides about the dealing only.
     """
-    met = entries.select("band", "value", "pic").distinct()
-    sizes = met.groupBy("band", "value").agg(F.count("*").alias("n"), F.min("pic").alias("least"))
+    some = entries.where(F.pmod(F.xxhash64("pic"), F.lit(16)) == 0)
+    sizes = some.groupBy("band", "value").agg((16 * F.count("*")).alias("n"), F.min("pic").alias("least"))
     limits = sizes.groupBy("band").agg(F.greatest(F.sum("n") / 10_000, F.lit(PART)).alias("most"))
     large = sizes.join(limits, "band").where(F.col("n") > F.col("most")).select("band", "value", "least", F.ceil(F.col("n") / PART).alias("parts"))
-    met = met.join(F.broadcast(large), ["band", "value"], "left")  # at most 10,000 entries a band
-    part = F.pmod(F.xxhash64("pic"), F.coalesce("parts", F.lit(1)))
+    met = entries.join(F.broadcast(large), ["band", "value"], "left")  # at most 10,000 entries a band
+    met = met.withColumn("part", F.pmod(F.xxhash64("pic", F.lit(1)), F.coalesce("parts", F.lit(1))))
     order = Window.partitionBy("band", "value", "part").orderBy("pic")
+    whole = Window.partitionBy("band", "value", "part")
     near = [F.lag("pic", k).over(order).alias(f"n{k}") for k in range(1, ALL_PAIRS)]
-    met = met.withColumn("part", part).select("pic", F.coalesce("least", F.first("pic").over(order)).alias("n0"), *near)
-    met = met.select(F.explode(F.array_distinct(F.array(*[f"n{k}" for k in range(ALL_PAIRS)]))).alias("a"), F.col("pic").alias("b"))
+    met = met.select("pic", F.coalesce("least", F.first("pic").over(order)).alias("n0"), F.count("*").over(whole).alias("n"), *near).where("n > 1 or n0 != pic")
+    small = F.array(*[f"n{k}" for k in range(ALL_PAIRS)])
+    met = met.select(F.explode(F.array_distinct(F.when(F.col("n") <= ALL_PAIRS, small).otherwise(F.array("n0", "n1", "n2")))).alias("a"), F.col("pic").alias("b"))
     return met.where("a is not null and a != b")
 
 
 def copies(points: DataFrame, agree: int = AGREE) -> DataFrame:
     """(u, v): pairs of images whose matches agree on a transform."""
-    entries = points.select("pic", "x", "y", "angle", "scale", F.posexplode("bands").alias("band", "value"))
     # a pair must meet in several entries before its matches are compared
-    met = pairs(entries).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
-    left = points.select(F.col("pic").alias("a"), F.struct("x", "y", "angle", "scale").alias("p"), F.col("bands").alias("s"))
-    right = points.select(F.col("pic").alias("b"), F.struct("x", "y", "angle", "scale").alias("q"), F.col("bands").alias("t"))
-    # the points of an image are few (CORNERS a scale), so a pair of images is a bounded group
-    left = left.groupBy("a").agg(F.collect_list(F.struct("p", "s")).alias("ps"))
-    right = right.groupBy("b").agg(F.collect_list(F.struct("q", "t")).alias("qs"))
-    both = met.join(left, "a").join(right, "b").select("a", "b", F.posexplode("ps").alias("k", "m"), "qs")
-    both = both.select("a", "b", "k", F.col("m.p").alias("p"), F.explode(F.expr("filter(qs, z -> exists(zip_with(z.t, m.s, (c, d) -> c = d), e -> e))")).alias("z")).select("a", "b", "k", "p", F.col("z.q").alias("q"))
+    met = pairs(entries_of(points)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
+    # the points of an image are few (CORNERS a scale), so a pair of images is a bounded row
+    left, right = points.select(F.col("pic").alias("a"), F.col("points").alias("ps")), points.select(F.col("pic").alias("b"), F.col("points").alias("qs"))
+    both = met.join(left, "a").join(right, "b").select("a", "b", F.posexplode("ps").alias("k", "p"), "qs")
+    both = both.select("a", "b", "k", "p", F.explode(F.expr("filter(qs, q -> exists(zip_with(q.bands, p.bands, (c, d) -> c = d), e -> e))")).alias("q"))
     turn = F.pmod(F.col("q.angle") - F.col("p.angle"), F.lit(2 * np.pi))
     grow = F.col("p.scale") / F.col("q.scale")
     c, s = F.cos(turn), F.sin(turn)
@@ -164,8 +182,7 @@ def image_classes(images: DataFrame, id_col: str = "id", agree: int = AGREE, rou
     scratch = Scratch(spark, "media")
     rows = images.select(F.col(id_col).alias("id"), "width", "height", "pixels", F.xxhash64("width", "height", "pixels").alias("pic"))
     known = scratch.write(rows.select("id", "pic"), "known")
-    different = rows.groupBy("pic").agg(F.first("width").alias("width"), F.first("height").alias("height"), F.first("pixels").alias("pixels"))
-    points = scratch.write(descriptors(different), "points")
+    points = scratch.write(descriptors(rows), "points")
     left, links, labels, found_before = points, None, None, -1
     for k in range(rounds):
         found = copies(left, agree)
@@ -189,7 +206,7 @@ def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embe
     Vectors that differ little make pictures that differ little; a factor doesn't matter.
     """
     t = (np.arange(side) + 0.5) / side
-    wave = np.cos(np.pi * np.arange(1, waves + 1)[:, None] * t[None, :])
+    wave = np.cos(2 * np.pi * np.arange(1, waves + 1)[:, None] * t[None, :] + np.arange(waves)[:, None])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "v", 1 << 16):
