@@ -20,6 +20,14 @@ IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _powers: dict[int, np.ndarray] = {}
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The sorted different values; sorting is several times faster here than the library's hash table."""
+    a = np.sort(a)
+    keep = np.ones(len(a), bool)
+    keep[1:] = a[1:] != a[:-1]
+    return a[keep]
+
+
 def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; the largest table asked for so far is kept, up to 4 Mi entries."""
     have = _powers.get(base)

@@ -31,7 +31,8 @@ def word_tokenizer() -> str:
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated passages of 50 words or more: one row per document and span."""
-    return suffix.repeated_spans(_table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+    out = suffix.repeated_spans(_table(spark, sf_dir, "documents"))
+    return out.withColumnsRenamed({"id": "doc_id", "begin": "begin_word", "end": "end_word", "source": "copy_of"})
 
 
 def op2_image_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,6 +100,17 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_image_copies, op3_hilbert_shards, op4_url_rules, op5_byte_bpe, op6_simhash, op7_packing, op8_toxicity, op9_quality, op10_warc)}
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+        g AS (SELECT text, min(doc_id) AS least FROM d GROUP BY text),
+        t AS (SELECT least AS doc_id, text, list_filter(regexp_split_to_array(text, '[\\x09-\\x0D ]+'), lambda w: w <> '') AS w FROM g),
+        n AS (SELECT doc_id, w, unnest(range(0, greatest(len(w) - 49, 0))) AS s FROM t),
+        v AS (SELECT doc_id, s, array_to_string(w[s + 1:s + 50], ' ') AS p FROM n),
+        r AS (SELECT doc_id, s, row_number() OVER (PARTITION BY p ORDER BY doc_id, s) = 1 AS kept, count(*) OVER (PARTITION BY p) AS c FROM v),
+        q AS (SELECT doc_id, kept, s, CASE WHEN s <= lag(s) OVER (PARTITION BY doc_id, kept ORDER BY s) + 50 THEN 0 ELSE 1 END AS new FROM r WHERE c > 1),
+        i AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, kept ORDER BY s) AS k FROM q)
+        SELECT doc_id, CAST(min(s) AS INTEGER) AS begin_word, CAST(max(s) + 50 AS INTEGER) AS end_word, kept, CAST(NULL AS BIGINT) AS copy_of FROM i GROUP BY doc_id, kept, k
+        UNION ALL SELECT d.doc_id, 0, CAST(len(t.w) AS INTEGER), false, g.least FROM d JOIN g USING (text) JOIN t ON t.text = d.text WHERE d.doc_id <> g.least AND len(t.w) >= 50""",
     "op10_warc": """
         WITH f AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
         g AS (SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS last FROM f)

@@ -9,9 +9,9 @@ position, and these extended windows are sorted and compared in the same way. Wh
 another text or elsewhere in the same one.
 
 Texts are identified by their digest, so copies are one text, represented by the row with the smallest id; a copy is a
-repeat from its first word to its last. Of equal windows the one with the smallest (digest, position) is the first and
-stays. Sorting is done within salted parts of a run (by the digest); the parts' first members meet in a second round, so
-a passage that a third of all documents share is no task's burden.
+repeat from its first word to its last. Of equal windows the one with the smallest (id of its text's representative,
+position) is the first and stays. Sorting is done within salted parts of a run (by the digest); the parts' first members
+meet in a second round, so a passage that a third of all documents share is no task's burden.
 
 Edge cases: null, empty and short texts (fewer words than a passage) have no spans; rows with the same id and text are
 one document; null ids are ids like any other; empty tables give empty tables; other columns are passed through by
@@ -28,10 +28,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, text_bytes
-from .kernel import Words, windows
+from .kernel import Words, distinct, windows
 
 PASSAGE, SEED = 50, 11
 SALTS = 64
+#: Digests that a task remembers.
+MET = 1_000_000
 
 
 def minimisers(words: Words, hashes: np.ndarray, passage: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -55,10 +57,18 @@ def minimisers(words: Words, hashes: np.ndarray, passage: int, seed: int) -> tup
 
 def _suffixes(passage: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()  # texts that this task has read: of their copies it makes no rows again
         for part in blocks(batches, "text"):
+            new = []
+            for dig in part.column(0).to_pylist():
+                new.append(dig not in met)
+                met.add(dig)
+            if len(met) > MET:
+                met.clear()
+            part = part.filter(pa.array(new))
             words = Words(*text_bytes(part.column(1)))
             _, anchors, heads = minimisers(words, words.hashes(), passage, seed)
-            anchors = np.unique(anchors)
+            anchors = distinct(anchors)
             row = words.row[anchors]
             yield pa.RecordBatch.from_arrays([pa.array(heads[anchors].view(np.int64)), part.column(0).take(pa.array(row)), pa.array((anchors - words.of_row[row]).astype(np.int32))], ["key", "dig", "pos"])
 
@@ -76,20 +86,20 @@ def _extended(passage: int, seed: int):
             per = np.diff(lists.offsets.to_numpy())
             wanted[np.repeat(words.of_row[:-1], per) + lists.flatten().to_numpy()] = True
             starts = starts[wanted[anchors]]
-            row = words.row[starts]
-            yield pa.RecordBatch.from_arrays([pa.array(windows(hashes, passage)[starts].view(np.int64)), part.column(0).take(pa.array(row)), pa.array((starts - words.of_row[row]).astype(np.int32))], ["key", "dig", "pos"])
+            row = pa.array(words.row[starts])
+            yield pa.RecordBatch.from_arrays([pa.array(windows(hashes, passage)[starts].view(np.int64)), part.column(3).take(row), part.column(0).take(row), pa.array((starts - words.of_row[words.row[starts]]).astype(np.int32))], ["key", "id", "dig", "pos"])
 
     return run
 
 
-def neighbours(sorted_by: DataFrame, salts: int = SALTS) -> DataFrame:
-    """(dig, pos, first): the members of (key, dig, pos) whose key another member has; first: the least of its run."""
-    dealt = sorted_by.withColumn("salt", F.pmod("dig", F.lit(salts)).cast("int")).repartition("key", "salt").dropDuplicates(["key", "salt", "dig", "pos"])
-    order = Window.partitionBy("key", "salt").orderBy("dig", "pos")
+def neighbours(sorted_by: DataFrame, order_by: tuple[str, ...] = ("dig", "pos"), salts: int = SALTS) -> DataFrame:
+    """(dig, pos, first): the members of (key, dig, pos, ..) whose key another member has; first: the least of its run."""
+    dealt = sorted_by.withColumn("salt", F.pmod("dig", F.lit(salts)).cast("int")).repartition("key", "salt").dropDuplicates(["key", "salt", *order_by])
+    order = Window.partitionBy("key", "salt").orderBy(*order_by)
     near = dealt.select("*", F.lag("pos").over(order).alias("before"), F.lead("pos").over(order).alias("after"))
     later = near.where("before is not null").select("dig", "pos", F.lit(False).alias("first"))
-    order = Window.partitionBy("key").orderBy("dig", "pos")
-    heads = near.where("before is null").select("key", "dig", "pos", "after", F.lag("pos").over(order).alias("other"), F.lead("pos").over(order).alias("next"))
+    order = Window.partitionBy("key").orderBy(*order_by)
+    heads = near.where("before is null").select("key", *order_by, "after", F.lag("pos").over(order).alias("other"), F.lead("pos").over(order).alias("next"))
     heads = heads.where("after is not null or other is not null or next is not null").select("dig", "pos", F.col("other").isNull().alias("first"))
     return later.unionByName(heads)
 
@@ -128,9 +138,10 @@ def text_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     scratch.drop()
     # one row of each text: of copies, the row with the least id
     wanted = runs.join(texts, "dig").select("dig", F.col("least").alias("id"), "at")
-    whole = plain.alias("p").join(wanted.alias("w"), (F.col("p.dig") == F.col("w.dig")) & F.col("p.id").eqNullSafe(F.col("w.id"))).select("p.dig", "p.text", "w.at")
-    extended = whole.mapInArrow(_extended(passage, seed), "key long, dig long, pos int")
-    spans = neighbours(extended).groupBy("dig", "first").agg(F.collect_list("pos").alias("at")).mapInArrow(_spans_of(passage), "dig long, first boolean, begin int, end int")
+    whole = plain.alias("p").join(wanted.alias("w"), (F.col("p.dig") == F.col("w.dig")) & F.col("p.id").eqNullSafe(F.col("w.id"))).select("p.dig", "p.text", "w.at", "p.id")
+    kind = docs.schema[id_col].dataType.simpleString()
+    extended = whole.mapInArrow(_extended(passage, seed), f"key long, id {kind}, dig long, pos int")
+    spans = neighbours(extended, ("id", "dig", "pos")).groupBy("dig", "first").agg(F.collect_list("pos").alias("at")).mapInArrow(_spans_of(passage), "dig long, first boolean, begin int, end int")
     spans = scratch.write(spans, "spans")
     scratch.drop("runs")
     return spans, texts
