@@ -6,7 +6,7 @@ resolved by one probe and a comparison. Tier two merges the others: a heap of ad
 bytes linked left and right, O(n log n) for a pre-token of n bytes however long it is.
 
 Texts are cut before spaces that precede a non-space, where no pre-token spans; each worker remembers the ids of short
-chunks in a table of bounded size. The ids equal those of the rank file's reference tokeniser; decoding them gives the
+chunks and pre-tokens in tables of bounded size. The ids equal those of the rank file's reference tokeniser; decoding them gives the
 text's bytes again.
 
 Edge cases: null and empty texts have no ids; text without spaces is one chunk; ties in the heap go to the leftmost pair;
@@ -16,6 +16,7 @@ repeated rows stay; an empty table gives an empty table; columns besides the id
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -26,12 +27,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks
+from .common import blocks, opened, small_batches
 
 _MASK = 2**64 - 1
 _STEP, _SPREAD = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
-#: Remembered chunks of a worker, and the longest that is remembered.
-REMEMBERED, LONGEST = 400_000, 64
+#: Remembered chunks and pre-tokens of a worker (of each in two generations), and the longest that is remembered.
+REMEMBERED, LONGEST = 250_000, 64
 
 
 class PerfectHash:
@@ -80,6 +81,24 @@ class PerfectHash:
         return self.slots[at] if self.keys[at] == key else -1
 
 
+class Memory(dict):
+    """Ids of strings, found where they are missing; of two generations the older goes when the younger is full."""
+
+    def __init__(self, find, most: int):
+        self.find, self.most, self.old = find, most, {}
+
+    def __missing__(self, key: str) -> bytes:
+        found = self.old.get(key)
+        if found is None:
+            found = self.find(key)
+        if len(key) <= LONGEST:
+            if len(self) >= self.most:
+                self.old = dict(self)
+                self.clear()
+            self[key] = found
+        return found
+
+
 class Vocabulary:
     """Tokens by rank, their perfect hash and the pattern that cuts texts; sent to every worker once (its size is that of the vocabulary)."""
 
@@ -91,15 +110,18 @@ class Vocabulary:
         self.bytes_of = dict(zip(self.ids, self.words, strict=True))
         # white space as Unicode has it, whatever the regex library's shorthand holds
         self.pattern = pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
+        order = b"\0".join(sorted(tokens, key=tokens.get)) + self.pattern.encode()
+        self.key = f"vocabulary {hashlib.sha256(order).hexdigest()}"
         self._open()
 
     def _open(self) -> None:
         self._pre = regex.compile(self.pattern).findall
         self._gap = regex.compile(r" \p{White_Space}").search
-        self._first, self._rest = {}, {}
+        self._pieces = Memory(self._piece, REMEMBERED)
+        self._rest = Memory(lambda chunk: self._resolve(" " + chunk), REMEMBERED)  # chunks after a space
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("_pre", "_gap", "_first", "_rest")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("_pre", "_gap", "_pieces", "_rest")}
 
     def __setstate__(self, state):
         self.__dict__ |= state
@@ -134,42 +156,23 @@ class Vocabulary:
             i = after[i]
         return out
 
+    def _piece(self, piece: str) -> bytes:
+        raw = piece.encode()
+        k = self.hash.find(raw)
+        return np.array(self.merged(raw) if k < 0 else [self.ids[k]], "<u4").tobytes()
+
     def _resolve(self, chunk: str) -> bytes:
-        ids: list[int] = []
-        for piece in self._pre(chunk):
-            raw = piece.encode()
-            k = self.hash.find(raw)
-            if k >= 0:
-                ids.append(self.ids[k])
-            else:
-                ids += self.merged(raw)
-        return np.array(ids, "<u4").tobytes()
-
-    def _known(self, memory: dict[str, bytes], parts: list[str], lead: str) -> list[bytes]:
-        try:
-            return [memory[p] for p in parts]
-        except KeyError:
-            pass
-        out = []
-        for p in parts:
-            found = memory.get(p)
-            if found is None:
-                found = self._resolve(lead + p)
-                if len(p) <= LONGEST:
-                    if len(memory) >= REMEMBERED:
-                        memory.clear()
-                    memory[p] = found
-            out.append(found)
-        return out
+        found = self._pre(chunk)
+        return self._pieces[chunk] if len(found) == 1 else b"".join(map(self._pieces.__getitem__, found))
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
         if self._gap(text):  # a space before white space: cut by the pattern itself
-            return b"".join(self._known(self._first, self._pre(text), ""))
+            return b"".join(map(self._pieces.__getitem__, self._pre(text)))
         first, *rest = text.split(" ")
-        return b"".join(self._known(self._first, [first], "") + self._known(self._rest, rest, " "))
+        return self._resolve(first) + b"".join(map(self._rest.__getitem__, rest))
 
     def decode(self, ids: bytes) -> bytes:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
@@ -177,26 +180,27 @@ class Vocabulary:
 
 def encode_decode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text", decode: bool = True) -> DataFrame:
     """(id, ids binary, decoded binary): the ids of every whole text, and what they decode to (null without `decode`)."""
-    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    shared, key = docs.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = shared.value
+        v = opened(key, lambda: shared.value)
         for part in blocks(batches, "text"):
             ids = [v.encode(t) for t in part.column(1).to_pylist()]
             back = [v.decode(x) if decode else None for x in ids]
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.binary()), pa.array(back, pa.binary())], ["id", "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, ids binary, decoded binary")
 
 
 def decode_ids(encoded: DataFrame, vocabulary: Vocabulary, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, decoded binary) of ids as `encode_decode` makes them."""
-    shared = encoded.sparkSession.sparkContext.broadcast(vocabulary)
+    shared, key = encoded.sparkSession.sparkContext.broadcast(vocabulary), vocabulary.key
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = opened(key, lambda: shared.value)
         for part in blocks(batches, "ids"):
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shared.value.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], ["id", "decoded"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([v.decode(x or b"") for x in part.column(1).to_pylist()], pa.binary())], ["id", "decoded"])
 
     kind = encoded.schema[id_col].dataType.simpleString()
     return encoded.select(F.col(id_col).alias("id"), F.col(ids_col).alias("ids")).mapInArrow(run, f"id {kind}, decoded binary")

@@ -48,8 +48,9 @@ def test_ids_equal_reference_and_round_trip(spark, vocabulary, reference):
     assert bpe.encode_decode(df.limit(0), vocabulary).count() == 0
 
 
-def test_memory_is_bounded(vocabulary, reference, monkeypatch):
-    monkeypatch.setattr(bpe, "REMEMBERED", 10)
+def test_memory_is_bounded(vocabulary, reference):
+    vocabulary._rest = bpe.Memory(vocabulary._rest.find, 10)
+    vocabulary._pieces = bpe.Memory(vocabulary._pieces.find, 10)
     text = " ".join(f"word{i} x" for i in range(300))
     assert np.frombuffer(vocabulary.encode(text), "<u4").tolist() == reference.encode_ordinary(text)
-    assert len(vocabulary._rest) <= 10
+    assert len(vocabulary._rest) <= 10 and len(vocabulary._pieces) <= 10
