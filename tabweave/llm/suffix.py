@@ -10,8 +10,9 @@ another text or elsewhere in the same one.
 
 Texts are identified by their digest, so copies are one text, represented by the row with the smallest id; a copy is a
 repeat from its first word to its last. Of equal windows the one with the smallest (id of its text's representative,
-position) is the first and stays. Sorting is done within salted parts of a run (by the digest); the parts' first members
-meet in a second round, so a passage that a third of all documents share is no task's burden.
+position) is the first and stays. Sorting is done within salted parts of a run (by digest and position); the parts' first
+members meet in a second round, so neither a passage that a third of all documents share nor one word repeated on and on
+is one task's burden.
 
 Edge cases: null, empty and short texts (fewer words than a passage) have no spans; rows with the same id and text are
 one document; null ids are ids like any other; empty tables give empty tables; other columns are passed through by
@@ -27,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, text_bytes
+from .common import Scratch, blocks, small_batches, text_bytes
 from .kernel import Words, distinct, windows
 
 PASSAGE, SEED = 50, 11
-SALTS = 64
+SALTS = 256
 #: Digests that a task remembers.
 MET = 1_000_000
 
@@ -94,7 +95,7 @@ def _extended(passage: int, seed: int):
 
 def neighbours(sorted_by: DataFrame, order_by: tuple[str, ...] = ("dig", "pos"), salts: int = SALTS) -> DataFrame:
     """(dig, pos, first): the members of (key, dig, pos, ..) whose key another member has; first: the least of its run."""
-    dealt = sorted_by.withColumn("salt", F.pmod("dig", F.lit(salts)).cast("int")).repartition("key", "salt").dropDuplicates(["key", "salt", *order_by])
+    dealt = sorted_by.withColumn("salt", F.pmod(F.xxhash64("dig", "pos"), F.lit(salts)).cast("int")).repartition("key", "salt").dropDuplicates(["key", "salt", *order_by])
     order = Window.partitionBy("key", "salt").orderBy(*order_by)
     near = dealt.select("*", F.lag("pos").over(order).alias("before"), F.lead("pos").over(order).alias("after"))
     later = near.where("before is not null").select("dig", "pos", F.lit(False).alias("first"))
@@ -131,7 +132,7 @@ def digest(text: str):
 
 def text_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """((dig, first, begin, end) for every text with repeated windows, (dig, least id, rows) for every text)."""
-    plain = docs.select(digest(text_col).alias("dig"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = small_batches(docs).select(digest(text_col).alias("dig"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = scratch.write(plain.groupBy("dig").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "texts")
     found = plain.select("dig", "text").mapInArrow(_suffixes(passage, seed), "key long, dig long, pos int")
     runs = scratch.write(neighbours(found).groupBy("dig").agg(F.collect_list("pos").alias("at")), "runs")
@@ -201,7 +202,7 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     spans, texts = text_spans(docs, scratch, id_col, text_col, passage, seed)
     cuts = spans.where("not first").groupBy("dig").agg(F.collect_list(F.struct("begin", "end")).alias("__cuts"))
     facts = texts.join(cuts, "dig", "left").where("rows > 1 or __cuts is not null").select(F.col("dig").alias("__dig"), F.col("least").alias("__least"), "rows", "__cuts")
-    marked = docs.withColumnRenamed(text_col, "__text").withColumn("__dig", digest("__text"))
+    marked = small_batches(docs).withColumnRenamed(text_col, "__text").withColumn("__dig", digest("__text"))
     joined = marked.join(facts, "__dig", "left")
     whole = F.array(F.struct(F.lit(0).alias("begin"), word_count("__text").alias("end")))
     copy = (F.col("rows") > 1) & ~F.col(id_col).eqNullSafe(F.col("__least")) & (word_count("__text") >= passage)
