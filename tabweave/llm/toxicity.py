@@ -24,8 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, text_bytes
-from .kernel import IS_SPACE
+from .common import blocks, carried, small_batches, text_bytes
+from .kernel import IS_SPACE, distinct
 
 #: The most labelled rows that the classifier is fitted on.
 SAMPLE = 12_000
@@ -67,7 +67,7 @@ def features(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray | None = No
             hit = np.flatnonzero(mask[bucket])
             start, bucket = start[hit], bucket[hit]
         found.append((row[start].astype(np.int64) << HASH) | bucket)
-    pairs = np.unique(np.concatenate(found)) if found else np.empty(0, np.int64)
+    pairs = distinct(np.concatenate(found)) if found else np.empty(0, np.int64)
     return pairs >> HASH, pairs & ((1 << HASH) - 1)
 
 
@@ -130,12 +130,12 @@ def fit_blocks(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -
         expected[group] = (labels[group].sum() + share) / (len(group) + 1)
     ones, with_it, hoped, spread = (np.zeros(1 << HASH) for _ in range(4))
     at = 0
-    for data, offsets in parts:
+    for data, offsets in parts:  # a block's features at a time
         row, bucket = features(data, offsets)
         row += at
         at += len(offsets) - 1
-        for total, weight in ((ones, labels[row]), (with_it, None), (hoped, expected[row]), (spread, (expected * (1 - expected))[row])):
-            total += np.bincount(bucket, weight, minlength=1 << HASH)
+        for total, weight in ((ones, labels), (with_it, None), (hoped, expected), (spread, expected * (1 - expected))):
+            total += np.bincount(bucket, None if weight is None else weight[row], minlength=1 << HASH)
     kept = np.flatnonzero((np.abs(ones - hoped) >= EVIDENCE * np.sqrt(spread + 1e-9)) & (with_it >= OFTEN))
     if not len(kept):
         return plain
@@ -147,10 +147,10 @@ def fit_blocks(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -
     rows, columns, at = [], [], 0
     for data, offsets in parts:
         row, bucket = features(data, offsets, mask)
-        rows.append(row + at), columns.append(place[bucket])
+        rows.append((row + at).astype(np.int32)), columns.append(place[bucket].astype(np.int32))
         at += len(offsets) - 1
     row, column = np.concatenate(rows), np.concatenate(columns)
-    weights, intercept = logistic(row, column, ratio[column], labels.astype(float), len(kept), plain.intercept)
+    weights, intercept = logistic(row, column, ratio.astype(np.float32)[column], labels.astype(float), len(kept), plain.intercept)
     plain.weights[kept] = weights * ratio
     plain.intercept = intercept
     return plain
@@ -177,15 +177,15 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
     shared = docs.sparkSession.sparkContext.broadcast(model.pack())
     keep = tuple(c for c in docs.columns if c != "score") if keep is None else keep
 
+    rows, at, schema = carried(docs, text_col, keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.unpack(shared.value)
-        for part in blocks(batches, "__text"):
-            found = own.score(*text_bytes(part.column(0)))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found)], [*part.schema.names[1:], "score"])
+        for part in blocks(batches, text_col):
+            found = own.score(*text_bytes(part.column(at)))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found)], [*keep, "score"])
 
-    plain = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), "score double"])
-    return plain.mapInArrow(run, schema)
+    return rows.mapInArrow(run, f"{schema}, score double")
 
 
 def held_out(id_col: str):
@@ -200,5 +200,5 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return fit(texts.join(F.broadcast(chosen), "id").select("id", "text", "label"), order_col="id", sample=2 * sample)  # broadcast: at most `sample` rows
