@@ -1,8 +1,6 @@
 import pytest
 
-pytest.importorskip("corpus_pipeline")
 import corpus_pipeline
-
 from tabweave.llm import packing, quality, queries, simhash, suffix, toxicity
 
 
