@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+#: Texts of an Arrow batch.
+TEXT_ROWS = 500
 #: Text that a worker handles at once; a longer document makes a block of its own.
 BLOCK_BYTES = 1 << 20
 
@@ -77,6 +79,41 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             start = stop
 
 
+def small_batches(docs: DataFrame) -> DataFrame:
+    """The table, with the session's Arrow batches bounded for rows of whole texts.
+
+    The default of 10,000 rows is made for numbers: of texts it fills buffers on both sides that are never given back.
+    A smaller setting of the session's own stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = docs.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
+        conf.set(key, str(TEXT_ROWS))
+    return docs
+
+
+_open: dict[str, object] = {}
+
+
+def opened(key: str, make: Callable[[], object], most: int = 2) -> object:
+    """A worker's object for a key, made once for all tasks and queries that the process serves; the oldest goes.
+
+    Whatever is remembered beside a broadcast value would otherwise be there once for each query of a session.
+    """
+    if key not in _open:
+        while len(_open) >= most:
+            _open.pop(next(iter(_open)))
+        _open[key] = make()
+    return _open[key]
+
+
+def carried(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> tuple[DataFrame, int, str]:
+    """The columns `keep` with the text, which is sent to the workers once; the text's place; the kept columns' schema."""
+    columns = [*keep] if text_col in keep else [*keep, text_col]
+    schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
+    return small_batches(docs).select(*columns), columns.index(text_col), schema
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes in one array, and the rows' offsets in it (nulls are empty)."""
     column = pc.fill_null(column, "") if column.null_count else column

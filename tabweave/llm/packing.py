@@ -18,7 +18,9 @@ empty table; columns besides the id and the text are not read.
 
 from __future__ import annotations
 
+import hashlib
 import json
+import math
 import os
 import zlib
 from collections import Counter
@@ -30,13 +32,11 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks
+from .common import Scratch, blocks, opened, small_batches
 
 LENGTH, UNIT, END = 2048, 8, 1
 #: Remembered chunks of a worker (in each of two generations), and the longest that is remembered.
 REMEMBERED, LONGEST = 400_000, 64
-#: Rows of a rank bucket, about.
-BUCKET = 1_000
 
 
 class WordBpe:
@@ -110,9 +110,6 @@ class ChunkTokenizer:
     def __init__(self, definition: str):
         self.definition, self.known = definition, None
 
-    def __getstate__(self):
-        return {"definition": self.definition, "known": None}
-
     def _open(self) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a worker has one core
         from tokenizers import Tokenizer
@@ -135,13 +132,15 @@ class ChunkTokenizer:
 
 def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH) -> DataFrame:
     """(id, doc_tokens long, start, length, ids_crc32 long): every document's pieces in order. tokenizer: its JSON definition."""
-    shared = docs.sparkSession.sparkContext.broadcast(ChunkTokenizer(tokenizer))
+    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    key = f"tokenizer {hashlib.sha256(tokenizer.encode()).hexdigest()}"
     end = np.array([END], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = opened(key, lambda: ChunkTokenizer(shared.value))
         for part in blocks(batches, "text"):
             row, total, start, size, crc = [], [], [], [], []
-            for k, ids in enumerate(shared.value.ids(part.column(1).to_pylist())):
+            for k, ids in enumerate(own.ids(part.column(1).to_pylist())):
                 ids += end
                 n = len(ids) // 4
                 for a in range(0, n, length):
@@ -150,7 +149,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(arrays, ["id", "doc_tokens", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, doc_tokens long, start long, length long, ids_crc32 long")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, doc_tokens long, start long, length long, ids_crc32 long")
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -241,6 +240,11 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
     return out
 
 
+def bucket_count(n: int) -> int:
+    """Rank buckets of a class with n pieces: about as many as each bucket has rows."""
+    return max(1, math.isqrt(n))
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, unit: int = UNIT) -> DataFrame:
     """(id, start, length, ids_crc32, doc_tokens, sequence_id, offset): every piece and its place."""
     spark = docs.sparkSession
@@ -250,7 +254,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     histogram = {r["class"]: r["n"] for r in pieces.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most length / unit rows
     table = slots(plan(histogram, length // unit))
     lookup = spark.createDataFrame(table, "class int, low long, high long, each long, sequence long, place long")
-    parts = [(c, max(1, -(-n // BUCKET))) for c, n in histogram.items()]
+    parts = [(c, bucket_count(n)) for c, n in histogram.items()]
     buckets = spark.createDataFrame(parts, "class int, parts int")
     dealt = pieces.join(F.broadcast(buckets), "class").withColumn("part", F.pmod("at", "parts").cast("int"))  # at most length / unit rows
     counts = dealt.groupBy("class", "part").agg(F.count("*").alias("n"))

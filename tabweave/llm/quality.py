@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, text_bytes
+from .common import Scratch, blocks, carried, text_bytes
 from .kernel import Words, mix, span_hashes, windows
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -71,9 +71,10 @@ def base_block(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     starts[:1] = 0
     full = np.searchsorted(words.starts, ends) > np.searchsorted(words.starts, starts)
     starts, ends, row = starts[full], ends[full], row[full]
-    lines = np.bincount(row, minlength=rows)
-    different = np.unique(np.stack((row.astype(np.uint64), span_hashes(data, starts, ends)), 1), axis=0)[:, 0] if len(row) else row
-    dup_lines = lines - np.bincount(different.astype(np.int64), minlength=rows)
+    line = span_hashes(data, starts, ends)
+    order = np.lexsort((line, row))
+    again = (line[order][1:] == line[order][:-1]) & (row[order][1:] == row[order][:-1])
+    dup_lines = np.bincount(row[order][1:][again], minlength=rows)
     # words in windows that occur twice or more in their text
     repeated = np.zeros(rows, np.int64)
     hashes = words.hashes()
@@ -96,14 +97,14 @@ def base_block(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 def base_statistics(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] = ("doc_id", "lang", "source")) -> DataFrame:
     """The columns `keep` and STATISTICS (long) of every whole text."""
 
+    rows, at, schema = carried(docs, text_col, keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "__text"):
-            found = base_block(*text_bytes(part.column(0)))
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], *(pa.array(x.astype(np.int64)) for x in found)], [*part.schema.names[1:], *STATISTICS])
+        for part in blocks(batches, text_col):
+            found = base_block(*text_bytes(part.column(at)))
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *(pa.array(x.astype(np.int64)) for x in found)], [*keep, *STATISTICS])
 
-    plain = docs.select(F.col(text_col).cast("string").alias("__text"), *keep)
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep), *(f"{c} long" for c in STATISTICS)])
-    return plain.mapInArrow(run, schema)
+    return rows.mapInArrow(run, ", ".join([schema, *(f"{c} long" for c in STATISTICS)]))
 
 
 def base_failed():
@@ -160,7 +161,8 @@ def mcd(vectors: DataFrame, scratch: Scratch, x: list[str], floors: tuple[float,
     sizes = now.select("grp", "n")
     for k in range(steps):
         far = both.join(now.select("grp", "centre", "inverse"), "grp").withColumn("d", _distance(x))
-        limit = far.groupBy("grp").agg(F.percentile_approx("d", share, 2000).alias("limit"))
+        # written, so that its size is known: rows of a group are joined where they are unless there are very many groups
+        limit = scratch.write(far.groupBy("grp").agg(F.percentile_approx("d", share, 2000).alias("limit")), f"limit{k % 2}")
         near = far.join(limit, "grp")
         moments = near.groupBy("grp").agg(*_moments(x, F.col("d") <= F.col("limit"))).withColumn("scale", F.lit(scale))
         now = scratch.write(_estimate(moments, p, floors), f"step{k % 2}")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks
+from .common import Scratch, blocks, carried, small_batches
 from .components import connected_components
 
 SEED = 42
@@ -65,7 +65,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprint_block(part.column(1).to_pylist(), shingle).view(np.int64))], ["id", "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
+    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, fp long")
 
 
 def cells(fps: DataFrame, segment: int = 2) -> DataFrame:
@@ -150,15 +150,15 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     marked, named = labelled(docs, scratch, id_col, text_col, shingle, bits, segment)
     keepers = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("k")).select(F.col("k.least").alias("id"), F.col("k.fp").alias("fp"))
     # fingerprints are made again beside the texts: by id alone, rows with equal ids could not be told apart
-    kind = docs.schema[id_col].dataType.simpleString()
-    columns = docs.columns
+    kind, columns = docs.schema[id_col].dataType.simpleString(), docs.columns
+    rows, at, schema = carried(docs, text_col, tuple(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "__text"):
-            found = fingerprint_block(part.column(0).to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns[1:], pa.array(found)], [*columns, "__fp"])
+        for part in blocks(batches, text_col):
+            found = fingerprint_block(part.column(at).to_pylist(), shingle).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*columns, "__fp"])
 
-    again = docs.select(F.col(text_col).cast("string").alias("__text"), *columns).mapInArrow(run, ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns), "__fp long"]))
+    again = rows.mapInArrow(run, f"{schema}, __fp long")
     a, b = again.alias("a"), keepers.alias("b")
     stay = a.join(b, F.col(f"a.{id_col}").eqNullSafe(F.col("b.id").cast(kind)) & (F.col("a.__fp") == F.col("b.fp"))).select("a.*")
     first = Window.partitionBy(id_col, "__fp").orderBy(text_col)

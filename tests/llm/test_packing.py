@@ -72,7 +72,7 @@ def test_pieces_and_places(spark):
 
 
 def test_buckets_do_not_change_the_result(spark, monkeypatch):
-    monkeypatch.setattr(packing, "BUCKET", 7)
+    monkeypatch.setattr(packing, "bucket_count", lambda n: n // 7 + 1)
     df = spark.createDataFrame([(i, "one two three " * (i % 3 + 1)) for i in range(150)], "doc_id long, text string")
     got = packing.pack(df, queries.word_tokenizer()).collect()
     assert len(got) == 150 and len({(p.sequence_id, p.offset) for p in got}) == 150
