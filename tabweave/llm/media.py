@@ -3,8 +3,8 @@
 Corners (least eigenvalue of the structure tensor, local maxima) are found at several scales; each gets an orientation
 from its neighbourhood's intensity centroid and a descriptor of binary intensity tests in the turned neighbourhood.
 Descriptors meet in Hamming tables: one per band of bits, joined on equal bands, so near descriptors meet in some table.
-Matches of a pair of images vote for a similarity transform (turn, scale, shift); a pair is a copy if enough different
-corners agree on one.
+Matches of a pair of images vote for a similarity transform (turn, scale, shift); a pair is a copy if corners at
+enough different places of both images agree on one.
 
 Images with equal pixels are one image. A table entry that many images share (a group of copies, or a common texture)
 doesn't make all pairs: its images meet their neighbours in the entry's order and its first image, which connects a
@@ -28,16 +28,18 @@ from pyspark.sql import functions as F
 from .common import Scratch, blocks
 from .components import connected_components
 
-SCALES = (1.0, 0.6)
+SCALES = (1.0, 0.75, 0.6, 0.5)
 #: Corners of an image and scale (the strongest), margin that descriptors need, least side of an image.
-CORNERS, MARGIN, LEAST_SIDE = 16, 10, 24
-BANDS, BAND_BITS = 4, 60
+CORNERS, MARGIN, LEAST_SIDE = 24, 10, 24
+BANDS, BAND_BITS = 4, 40
 #: Corners that must agree, entries up to which all pairs of a table entry are made, rounds.
 AGREE, ALL_PAIRS, ROUNDS = 8, 12, 4
 #: Images of a part of a large table entry.
 PART = 5_000
 #: Bins of votes: turn in steps of 1 / TURNS of a circle, shift in pixels, scale by halves of a doubling.
 TURNS, SHIFT = 12, 12.0
+#: Pixels of a place: points of one place, as one corner makes at several scales, count once.
+PLACE = 3.0
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 #: Binary tests: pairs of offsets within the margin, drawn by a fixed rule.
@@ -162,17 +164,18 @@ def copies(points: DataFrame, agree: int = AGREE) -> DataFrame:
     met = pairs(entries_of(points)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
     # the points of an image are few (CORNERS a scale), so a pair of images is a bounded row
     left, right = points.select(F.col("pic").alias("a"), F.col("points").alias("ps")), points.select(F.col("pic").alias("b"), F.col("points").alias("qs"))
-    both = met.join(left, "a").join(right, "b").select("a", "b", F.posexplode("ps").alias("k", "p"), "qs")
-    both = both.select("a", "b", "k", "p", F.explode(F.expr("filter(qs, q -> exists(zip_with(q.bands, p.bands, (c, d) -> c = d), e -> e))")).alias("q"))
+    both = met.join(left, "a").join(right, "b").select("a", "b", F.explode("ps").alias("p"), "qs")
+    both = both.select("a", "b", "p", F.explode(F.expr("filter(qs, q -> exists(zip_with(q.bands, p.bands, (c, d) -> c = d), e -> e))")).alias("q"))
+    place = lambda c: F.struct(F.rint(F.col(f"{c}.x") / PLACE), F.rint(F.col(f"{c}.y") / PLACE))
     turn = F.pmod(F.col("q.angle") - F.col("p.angle"), F.lit(2 * np.pi))
     grow = F.col("p.scale") / F.col("q.scale")
     c, s = F.cos(turn), F.sin(turn)
     dx = F.col("q.x") - grow * (c * F.col("p.x") - s * F.col("p.y"))
     dy = F.col("q.y") - grow * (s * F.col("p.x") + c * F.col("p.y"))
     step = lambda v, size: F.array(F.floor(v / size), F.floor(v / size + 0.5) + F.lit(0.5))  # noqa: E731  two bins, half a bin apart
-    votes = both.select("a", "b", "k", F.floor(turn * TURNS / (2 * np.pi) + 0.5).alias("turn0"), F.rint(2 * F.log2(grow)).alias("grow"), F.explode(step(dx, SHIFT)).alias("dx"), dy.alias("dy"))
-    votes = votes.select("a", "b", "k", F.pmod("turn0", F.lit(TURNS)).alias("turn"), "grow", "dx", F.explode(step(F.col("dy"), SHIFT)).alias("dy"))
-    agreed = votes.groupBy("a", "b", "turn", "grow", "dx", "dy").agg(F.count_distinct("k").alias("n")).where(F.col("n") >= agree)
+    votes = both.select("a", "b", place("p").alias("k"), place("q").alias("l"), F.floor(turn * TURNS / (2 * np.pi) + 0.5).alias("turn0"), F.rint(2 * F.log2(grow)).alias("grow"), F.explode(step(dx, SHIFT)).alias("dx"), dy.alias("dy"))
+    votes = votes.select("a", "b", "k", "l", F.pmod("turn0", F.lit(TURNS)).alias("turn"), "grow", "dx", F.explode(step(F.col("dy"), SHIFT)).alias("dy"))
+    agreed = votes.groupBy("a", "b", "turn", "grow", "dx", "dy").agg(F.least(F.size(F.collect_set("k")), F.size(F.collect_set("l"))).alias("n")).where(F.col("n") >= agree)
     return agreed.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 

@@ -64,3 +64,15 @@ def test_pictures_of_vectors(spark):
     df = spark.createDataFrame([(1, v.tolist()), (2, (v * 3).tolist()), (3, None), (4, [])], "vec_id long, embedding array<double>")
     got = {r.id: r for r in media.pictures(df).collect()}
     assert got[1].pixels == got[2].pixels and len(got[1].pixels) == got[1].width * got[1].height and got[3].pixels is None and got[4].pixels is None
+
+
+def test_cropped_and_resized_copies_are_found(spark):
+    rows = []
+    for k in range(12):
+        a = scene(500 + k, 160)
+        edits = [a, a[32:128, 32:128], media._resized(a, 0.75), media._resized(a, 0.5)]  # cropped to 60%, resized
+        rows += [row(10 * k + j, e) for j, e in enumerate(edits)]
+    out = {r.id: r.class_id for r in media.image_classes(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for j in (1, 2, 3):
+        assert sum(out[10 * k + j] == 10 * k for k in range(12)) >= 10, j
+    assert all(out[k] // 10 == k // 10 for k in out)
