@@ -7,9 +7,11 @@ Matches of a pair of images vote for a similarity transform (turn, scale, shift)
 enough different places of both images agree on one.
 
 Images with equal pixels are one image. A table entry that many images share (a group of copies, or a common texture)
-doesn't make all pairs: its images meet their neighbours in the entry's order and its first image, which connects a
-group of copies; classes found so are replaced by their least image and the tables are joined again, until a round finds
-nothing new. So an entry of n images makes O(n) rows, and what is hidden behind copies in one round meets in the next.
+doesn't make rows of all pairs: its images meet their neighbours in the entry's order and its first image, which
+connects a group of copies. All images that have such an entry are then dealt to blocks, and every pair of blocks is
+compared in a task of its own by the same vote, without pairs that are of one class already; a task returns a spanning
+forest of its links. So no pair behind a common texture is missed, and rows are images times blocks (time is quadratic
+in the images that have crowded entries).
 
 Edge cases: null or impossible pixels (wrong number of bytes, sides below `LEAST_SIDE`) and images without corners are
 classes of their own; null ids are rows with a class of null unless a copy has an id; repeated rows share a class; empty
@@ -22,18 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks
 from .components import connected_components
+from .kernel import mix
 
 SCALES = (1.0, 0.75, 0.6, 0.5)
 #: Corners of an image and scale (the strongest), margin that descriptors need, least side of an image.
 CORNERS, MARGIN, LEAST_SIDE = 24, 10, 24
 BANDS, BAND_BITS = 4, 40
-#: Corners that must agree, entries up to which all pairs of a table entry are made, rounds.
-AGREE, ALL_PAIRS, ROUNDS = 8, 12, 4
+#: Corners that must agree, images up to which all pairs of a table entry are made, images of a block of crowded ones.
+AGREE, ALL_PAIRS, BLOCK = 8, 12, 8_192
 #: Images of a part of a large table entry.
 PART = 5_000
 #: Bins of votes: turn in steps of 1 / TURNS of a circle, shift in pixels, scale by halves of a doubling.
@@ -162,6 +166,11 @@ def copies(points: DataFrame, agree: int = AGREE) -> DataFrame:
     """(u, v): pairs of images whose matches agree on a transform."""
     # a pair must meet in several entries before its matches are compared
     met = pairs(entries_of(points)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
+    return voted(met, points, agree)
+
+
+def voted(met: DataFrame, points: DataFrame, agree: int = AGREE) -> DataFrame:
+    """(u, v): those of the pairs (a, b) whose matches agree on a transform."""
     # the points of an image are few (CORNERS a scale), so a pair of images is a bounded row
     left, right = points.select(F.col("pic").alias("a"), F.col("points").alias("ps")), points.select(F.col("pic").alias("b"), F.col("points").alias("qs"))
     both = met.join(left, "a").join(right, "b").select("a", "b", F.explode("ps").alias("p"), "qs")
@@ -179,23 +188,128 @@ def copies(points: DataFrame, agree: int = AGREE) -> DataFrame:
     return agreed.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
 
 
-def image_classes(images: DataFrame, id_col: str = "id", agree: int = AGREE, rounds: int = ROUNDS) -> DataFrame:
+def crowded(points: DataFrame) -> DataFrame:
+    """(pic, points) of the images that have an entry of more than ALL_PAIRS images, or several points in one entry.
+
+    All others that agree at AGREE places share as many entries, and none of more than ALL_PAIRS images.
+    """
+    entries = entries_of(points)
+    full = entries.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > ALL_PAIRS).select("band", "value")
+    repeated = points.where(F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.size(F.array_distinct(F.transform("points", lambda p: F.get(p["bands"], b)))) < F.size("points"))).select("pic")
+    return points.join(entries.join(full, ["band", "value"]).select("pic").unionByName(repeated).distinct(), "pic", "left_semi")
+
+
+class Block:
+    """Points of a block of images, in arrays; `image` is a point's image."""
+
+    def __init__(self, pics: pa.Array, roots: np.ndarray, points: pa.Array):
+        self.pic, self.root = pics.to_numpy(), roots
+        counts = pc.list_value_length(points).to_numpy(zero_copy_only=False).astype(np.int64)
+        self.image, self.starts = np.repeat(np.arange(len(counts)), counts), np.concatenate(([0], np.cumsum(counts)))
+        flat = points.flatten()
+        self.x, self.y, self.angle, self.scale = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "angle", "scale"))
+        self.bands = flat.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
+
+
+def agreeing(p: Block, i: np.ndarray, q: Block, j: np.ndarray, agree: int) -> np.ndarray:
+    """Images of q whose points j, matched with the points i of one image of p, agree on a transform; as `copies` votes."""
+    image = q.image[j]
+    swap = q.pic[image] < p.pic[p.image[i]]  # the lesser image is moved
+    of = lambda name, first: np.where(swap == first, getattr(q, name)[j], getattr(p, name)[i])
+    ax, ay, bx, by = of("x", True), of("y", True), of("x", False), of("y", False)
+    turn = np.mod(of("angle", False) - of("angle", True), 2 * np.pi)
+    grow = of("scale", True) / of("scale", False)
+    c, s = np.cos(turn), np.sin(turn)
+    dx, dy = (bx - grow * (c * ax - s * ay)) / SHIFT, (by - grow * (s * ax + c * ay)) / SHIFT
+    kind = (np.floor(turn * TURNS / (2 * np.pi) + 0.5) % TURNS) * 64 + np.rint(2 * np.log2(grow)) + 32
+    places = [np.rint(x / PLACE) * (1 << 20) + np.rint(y / PLACE) for x, y in ((ax, ay), (bx, by))]
+    bins = [(u, v) for u in (2 * np.floor(dx), 2 * np.floor(dx + 0.5) + 1) for v in (2 * np.floor(dy), 2 * np.floor(dy + 0.5) + 1)]
+    as_code = lambda a: mix(a.astype(np.int64).view(np.uint64))
+    base = mix(as_code(image) + as_code(kind))
+    code = np.concatenate([mix(mix(base + as_code(u)) + as_code(v)) for u, v in bins])
+    every, first, back = np.unique(code, return_index=True, return_inverse=True)
+    found = np.ones(len(every), bool)
+    for place in places:
+        place = np.unique(np.tile(place, 4), return_inverse=True)[1]
+        found &= np.bincount(np.unique(back * len(code) + place) // len(code), minlength=len(every)) >= agree
+    return np.unique(np.tile(image, 4)[first[found]])
+
+
+def forest(p: Block, q: Block, same: bool, agree: int) -> list[tuple[int, int]]:
+    """Links between two blocks (or within one) that connect what agrees; roots are numbers of classes known before."""
+    lows, highs, orders = [], [], []
+    for band in range(BANDS):
+        order = np.argsort(q.bands[:, band], kind="stable")
+        held = q.bands[order, band]
+        lows.append(np.searchsorted(held, p.bands[:, band], "left"))
+        highs.append(np.searchsorted(held, p.bands[:, band], "right"))
+        orders.append(order)
+    out = []
+    for k in range(len(p.pic)):
+        own = np.arange(p.starts[k], p.starts[k + 1])
+        i, j = [], []
+        for low, high, order in zip(lows, highs, orders, strict=True):
+            n = high[own] - low[own]
+            total = int(n.sum())
+            if total:
+                i.append(np.repeat(own, n))
+                j.append(order[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[own], n)])
+        if not i:
+            continue
+        i, j = np.concatenate(i), np.concatenate(j)
+        open_ = (q.root[q.image[j]] != p.root[k]) & (not same or q.image[j] > k)
+        i, j = i[open_], j[open_]
+        met = np.unique(i * len(q.image) + j)  # equal in several bands is one match
+        i, j = met // max(1, len(q.image)), met % max(1, len(q.image))
+        enough = np.bincount(q.image[j], minlength=len(q.pic))[q.image[j]] >= agree
+        if not enough.any():
+            continue
+        for m in agreeing(p, i[enough], q, j[enough], agree):
+            r, mine = q.root[m], p.root[k]
+            if r != mine:
+                out.append((int(p.pic[k]), int(q.pic[m])))
+                for roots in (p.root, q.root):
+                    roots[roots == r] = mine
+    return out
+
+
+def block_links(images: DataFrame, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
+    """(u, v): links that connect the images (pic, label, points) that agree, beyond those of one label."""
+    parts = max(1, -(-images.count() // block))
+    dealt = images.withColumn("at", F.pmod(F.xxhash64("pic", F.lit(2)), F.lit(parts)).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    dealt = dealt.select(F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "pic", "label", "points")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        at, i, j = table["at"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        roots = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+
+        def part(k: int) -> Block:
+            some = pa.array(at == k)
+            chosen = table.filter(some).combine_chunks()
+            points = chosen["points"].combine_chunks()
+            return Block(chosen["pic"].combine_chunks(), roots[at == k], points.chunk(0) if isinstance(points, pa.ChunkedArray) else points)
+
+        p = part(i)
+        found = forest(p, p if i == j else part(j), i == j, agree)
+        return pa.table({"u": pa.array([min(f) for f in found], pa.int64()), "v": pa.array([max(f) for f in found], pa.int64())})
+
+    return dealt.groupBy("i", "j").applyInArrow(compare, "u long, v long")
+
+
+def image_classes(images: DataFrame, id_col: str = "id", agree: int = AGREE) -> DataFrame:
     """(id, class_id, links): images (id, width, height, pixels) with the least id of their class and their links found."""
     spark = images.sparkSession
     scratch = Scratch(spark, "media")
     rows = images.select(F.col(id_col).alias("id"), "width", "height", "pixels", F.xxhash64("width", "height", "pixels").alias("pic"))
     known = scratch.write(rows.select("id", "pic"), "known")
     points = scratch.write(descriptors(rows), "points")
-    left, links, labels, found_before = points, None, None, -1
-    for k in range(rounds):
-        found = copies(left, agree)
-        links = scratch.write(found if links is None else links.unionByName(found).distinct(), f"links{k}")
-        n = links.count()
-        if n == found_before:
-            break
-        found_before = n
-        labels = scratch.write(connected_components(links, scratch), f"labels{k}")
-        left = points.join(labels.where("node != label").select(F.col("node").alias("pic")), "pic", "left_anti")
+    near = scratch.write(copies(points, agree), "near")
+    classes = connected_components(near, scratch)
+    hard = crowded(points).join(classes, F.col("pic") == F.col("node"), "left").select("pic", F.coalesce("label", "pic").alias("label"), "points")
+    links = scratch.write(near.unionByName(block_links(scratch.write(hard, "hard"), agree)).distinct(), "links")
+    labels = scratch.write(connected_components(links, scratch), "labels")
     degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
     named = known.join(labels, known.pic == labels.node, "left").withColumn("label", F.coalesce("label", "pic")).drop("node")
     least = named.groupBy("label").agg(F.min("id").alias("class_id"))

@@ -1,4 +1,5 @@
 import numpy as np
+from pyspark.sql import functions as F
 
 from tabweave.llm import media
 
@@ -76,3 +77,32 @@ def test_cropped_and_resized_copies_are_found(spark):
     for j in (1, 2, 3):
         assert sum(out[10 * k + j] == 10 * k for k in range(12)) >= 10, j
     assert all(out[k] // 10 == k // 10 for k in out)
+
+
+def test_copies_behind_common_icons_are_found(spark):
+    r = np.random.default_rng(9)
+    icons = [scene(700 + k, 40)[:26, :26] for k in range(12)]
+    pages = []
+    for _ in range(60):
+        a = np.full((160, 160), 128.0)
+        for place, k in enumerate(r.permutation(12)):
+            y, x = 8 + 38 * (place // 4) + r.integers(0, 10), 4 + 38 * (place % 4) + r.integers(0, 10)
+            a[y : y + 26, x : x + 26] = icons[k]
+        pages.append(a)
+    rows = [row(k, a) for k, a in enumerate(pages)] + [row(1000 + k, pages[k][2:150, 2:158]) for k in range(20)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    points = media.descriptors(df.selectExpr("id as pic", "width", "height", "pixels"))
+    # every pair, by the plan's own vote
+    every = points.select("pic").alias("x").join(points.select("pic").alias("y"), F.col("x.pic") < F.col("y.pic")).select(F.col("x.pic").alias("a"), F.col("y.pic").alias("b"))
+    plain = {(x.u, x.v) for x in media.voted(every, points).collect()}
+    hard = media.crowded(points).withColumn("label", F.col("pic"))
+    label = {k: k for k in [*range(60), *range(1000, 1020)]}
+    for u, v in plain:
+        label = {k: label[u] if w == label[v] else w for k, w in label.items()}
+    for block in (8_192, 20):
+        got = {k: k for k in label}
+        for x in media.block_links(hard, block=block).collect():
+            got = {k: got[x.u] if w == got[x.v] else w for k, w in got.items()}
+        assert {(a, b) for a in got for b in got if got[a] == got[b]} == {(a, b) for a in got for b in got if label[a] == label[b]}
+    out = {x.id: x.class_id for x in media.image_classes(df).collect()}
+    assert sum(out[1000 + k] == out[k] for k in range(20)) >= 18
