@@ -1,10 +1,10 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by hash runs at the positions of a sparse suffix array.
 
 Suffixes are retained at content-selected positions only: of every `passage` consecutive words, the leftmost least hash
 of a `seed`-word window (a minimiser). Equal passages select the same relative positions, so a passage that occurs
-twice leaves two retained suffixes that begin with the same words. Suffixes are sorted by those words and neighbours
-compared; where neighbours agree, their matches are extended left and right to every whole passage around the retained
-position, and these extended windows are sorted and compared in the same way. What remains is exact up to collisions of
+twice leaves two retained suffixes that begin with the same words. Positions are grouped
+by a hash of those `seed` words, which stands for the suffix order (suffixes aren't sorted by their words and no words
+are compared); where a group has several, every whole passage around the position is hashed and grouped in the same way. What remains is exact up to collisions of
 64-bit hashes: a word is in a repeated span if and only if it lies in a window of `passage` words that occurs again, in
 another text or elsewhere in the same one.
 
