@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,11 +19,13 @@ BLOCK_BYTES = 1 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, as in tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or (unset, on a local master only) one of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
         if not folder:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             folder = "file://" + tempfile.mkdtemp(prefix="tabweave-")
             spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -45,7 +48,8 @@ class Scratch:
         return f"{self.base}/{name}"
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        with text_batches(self.spark):
+            df.write.mode("overwrite").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
@@ -79,17 +83,22 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BY
             start = stop
 
 
-def small_batches(docs: DataFrame) -> DataFrame:
-    """The table, with the session's Arrow batches bounded for rows of whole texts.
+@contextlib.contextmanager
+def text_batches(spark: SparkSession):
+    """Bounds the session's Arrow batches for rows of whole texts, for as long as the block runs.
 
-    The default of 10,000 rows is made for numbers: of texts it fills buffers on both sides that are never given back.
-    A smaller setting of the session's own stays.
+    The default of 10,000 rows is made for numbers. A smaller setting of the session's own stays.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = docs.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= TEXT_ROWS:
-        conf.set(key, str(TEXT_ROWS))
-    return docs
+    before = spark.conf.get(key)
+    if 0 < int(before) <= TEXT_ROWS:
+        yield
+        return
+    spark.conf.set(key, str(TEXT_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 _open: dict[str, object] = {}
@@ -111,7 +120,7 @@ def carried(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> tuple[Data
     """The columns `keep` with the text, which is sent to the workers once; the text's place; the kept columns' schema."""
     columns = [*keep] if text_col in keep else [*keep, text_col]
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return small_batches(docs).select(*columns), columns.index(text_col), schema
+    return docs.select(*columns), columns.index(text_col), schema
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

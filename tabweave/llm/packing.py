@@ -32,7 +32,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, opened, small_batches
+from .common import Scratch, blocks, opened
 
 LENGTH, UNIT, END = 2048, 8, 1
 #: Remembered chunks of a worker (in each of two generations), and the longest that is remembered.
@@ -149,7 +149,7 @@ def cut_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays(arrays, ["id", "doc_tokens", "start", "length", "ids_crc32"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, doc_tokens long, start long, length long, ids_crc32 long")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, doc_tokens long, start long, length long, ids_crc32 long")
 
 
 def price(duals: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, carried, small_batches, text_bytes
+from .common import Scratch, blocks, carried, text_bytes
 from .components import connected_components
 from .kernel import Words, windows
 
@@ -57,7 +57,7 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFram
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["id", "key", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key long, shingles array<int>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key long, shingles array<int>")
 
 
 def prefixes(sets: DataFrame, least: float) -> DataFrame:

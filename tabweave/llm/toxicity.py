@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, carried, small_batches, text_bytes
+from .common import blocks, carried, text_bytes
 from .kernel import IS_SPACE, distinct
 
 #: The most labelled rows that the classifier is fitted on.
@@ -200,5 +200,5 @@ def fit_on_labels(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
     """
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out(id_col)).select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
     chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
-    texts = small_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return fit(texts.join(F.broadcast(chosen), "id").select("id", "text", "label"), order_col="id", sample=2 * sample)  # broadcast: at most `sample` rows

@@ -58,6 +58,26 @@ def test_spans_equal_brute_force(spark):
     assert got
 
 
+def test_colliding_hashes_and_parts_change_nothing(spark):
+    rows = corpus(3)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    want = brute(rows, spark, 50)
+    for bits, part in ((4, 10**6), (64, 3), (4, 3)):
+        got = {(r.id, r.kept, k) for r in suffix.repeated_spans(df, bits=bits, part=part).collect() for k in range(r.begin, r.end)}
+        assert got == want, (bits, part)
+
+
+def test_cut_passes_columns_of_any_name(spark):
+    names = ["rows", "__cuts", "__dig", "d1", "id", "least", "cuts", "copy", "c0", "begin"]
+    text = " ".join(f"w{i}" for i in range(60))
+    df = spark.createDataFrame([(k, *map(str, range(10)), t) for k, t in ((1, "a " + text), (2, text + " b"), (3, text + " b"), (4, None))], "doc_id long, " + ", ".join(f"`{n}` string" for n in names) + ", text string")
+    out = suffix.cut_repeats(df)
+    assert out.columns == df.columns
+    got = {r.doc_id: r for r in out.collect()}
+    assert got[1].text == "a " + text and got[2].text == " b" and got[3].text == "" and got[4].text is None
+    assert all(got[2][n] == str(k) for k, n in enumerate(names))
+
+
 def test_cut_keeps_columns_and_first_occurrences(spark):
     rows = corpus(2)
     df = spark.createDataFrame(rows, SCHEMA).repartition(4)
@@ -93,6 +113,6 @@ def test_long_text(spark):
 
 def test_word_count_matches_split(spark):
     texts = ["a b", "", None, " x\ty\x0bz\x0c ", "é b c", "\n"]
-    got = spark.createDataFrame([(t,) for t in texts], "text string").select(suffix.word_count("text").alias("n")).collect()
+    got = spark.createDataFrame([(t,) for t in texts], "text string").select(suffix.word_count(F.col("text")).alias("n")).collect()
     assert [r.n for r in got] == [len((t or "").encode().split()) for t in texts]
     assert spark.range(1).select(F.lit(1)).count() == 1
