@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 class Scratch:
-    """Writes tables under spark.checkpoint.dir (or a folder of our own where that is unset) and reads them back."""
+    """Writes tables under spark.checkpoint.dir (or, on a local master only, a folder of our own where that is unset) and reads them back."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
         if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
             root = "file://" + tempfile.mkdtemp(prefix="tabweave-")
             spark.sparkContext.setCheckpointDir(root)
         self.base = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
