@@ -46,7 +46,9 @@ from .kernel import Words, distinct, mix, windows
 
 PASSAGE, SEED = 50, 11
 #: Suffixes of a run that are compared in one task; a longer run is dealt to parts of about this size.
-PART = 16_384
+PART = 4_096
+#: Tasks that a long run's positions are joined in.
+SALTS = 64
 #: Digests that a task remembers.
 MET = 1_000_000
 #: Bits of hashes that are used; fewer in tests, so that hashes collide.
@@ -367,7 +369,10 @@ def text_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     found = plain.select("d1", "d2", "text").mapInArrow(_suffixes(passage, seed, bits), "key long, d1 long, d2 long, pos int")
     hits = scratch.write(recurring(found, max(16, math.isqrt(texts.count()))), "hits")
     long_runs = hits.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > part).select("key", F.ceil(F.col("n") / part).cast("int").alias("parts"))
-    listed = hits.join(long_runs, "key", "left").groupBy("d1", "d2").agg(F.collect_list(F.struct("pos", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("at"))
+    # a long run's suffixes are dealt by the same salts to which its row is copied
+    salted = hits.withColumn("salt", F.pmod(F.xxhash64(*PLACE), F.lit(SALTS)).cast("int"))
+    long_runs = long_runs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    listed = salted.join(long_runs, ["key", "salt"], "left").groupBy("d1", "d2").agg(F.collect_list(F.struct("pos", F.coalesce("parts", F.lit(1)).alias("parts"))).alias("at"))
     # one row of each text: of copies, the row with the least id
     wanted = scratch.write(listed.join(texts, ["d1", "d2"]).select("d1", "d2", F.col("least").alias("id"), "at"), "wanted")
     scratch.drop("hits")
