@@ -9,9 +9,19 @@ Copies count once: only different fingerprints are joined. Cells with more than
 of bounded size; every pair of blocks is compared in a task of its own, which returns a spanning forest of its links
 instead of all of them, so that no links between components are lost and a group of n makes O(n) rows.
 
-Edge cases: a null or wordless text has fingerprint 0 and is linked as any other; fewer words than a shingle make one
-shingle; repeated rows and null ids stay rows of their own (a component's id is the smallest id that isn't null); an
-empty table gives an empty table; columns besides the id and the text are not read.
+How cells fill: a half's vector of 16 counts has 3^16 values of uneven weight, about 24 bits by entropy, so n fingerprints
+that nothing connects make some n^2 / 2^23 candidates: few beside n up to 10^7 or so, and beyond that the blocks' share of
+the work grows with n^2; what the blocks compare is 8 bytes a fingerprint.
+
+`keep_one` is the pipeline's stage: five-word shingles and a Jaccard similarity of 0.8 or more. Pairs of that similarity
+differ in about ten of 64 bits, so 3 bits find the closest only: links of fingerprints, verified by their sets, make the
+first classes, and `similar` joins whatever they leave, so that no similar pair is lost.
+
+Edge cases: a null or wordless text has fingerprint 0 and is linked as any other (in `keep_one`: all of them are one
+group); fewer words than a shingle make one shingle; very long texts are one row, whose shingles are counted in pieces;
+repeated rows and null ids stay rows of their own (a component's id is the smallest id that isn't null); ties between
+rows that could represent a group go to the least id, then the text's digest; an empty table gives an empty table;
+columns besides the id and the text, whatever their names, are not read (`keep_one` passes them through).
 """
 
 from __future__ import annotations
@@ -21,19 +31,42 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, carried
+from . import similar
+from .common import Scratch, blocks
 from .components import connected_components
+from .suffix import digests as text_digests
 
 SEED = 42
+#: Hashes whose bits are counted at once, sets that a task remembers.
+PIECE, MET = 1 << 17, 1_000_000
 LOW = {2: 0x55555555, 4: 0x11111111, 8: 0x01010101}
 
 
+def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Fingerprints of rows of `counts` hashes: a bit is 1 if set in over half; rows without hashes have 0."""
+    out = np.zeros(len(counts), np.uint64)
+    full = np.flatnonzero(counts)
+    if not len(full):
+        return out
+    n = counts[full]
+    ends = np.cumsum(n)
+    sums = np.zeros((len(full), 64), np.int64)
+    raw = hashes.astype("<u8", copy=False).view(np.uint8).reshape(-1, 8)
+    for a in range(0, len(raw), PIECE):  # a long text's bits are not all there at once
+        bits = np.unpackbits(raw[a : a + PIECE], axis=1, bitorder="little")
+        low, high = np.searchsorted(ends, a, "right"), np.searchsorted(ends, min(a + PIECE, len(raw)) - 1, "right") + 1
+        sums[low:high] += np.add.reduceat(bits, np.maximum(ends[low:high] - n[low:high] - a, 0), axis=0, dtype=np.int32)
+    out[full] = np.packbits(2 * sums > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def fingerprint_block(texts: list[str | None], shingle: int) -> np.ndarray:
-    """64-bit fingerprints; a bit is 1 if set in over half the hashes of the shingles, repeats included."""
+    """64-bit fingerprints of the shingles' XXH64, repeats included."""
     digest, hashes, counts = xxhash.xxh64_intdigest, [], []
     for text in texts:
         words = text.encode().lower().split() if text else []  # bytes.lower changes A-Z only; bytes.split cuts at 0x20, 0x09-0x0D
@@ -47,14 +80,7 @@ def fingerprint_block(texts: list[str | None], shingle: int) -> np.ndarray:
         starts = np.concatenate(([0], ends[:-shingle])).tolist()
         hashes += [digest(joined[a:b], SEED) for a, b in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)]
         counts.append(len(starts))
-    n = np.array(counts, np.int64)
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(n)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.add.reduceat(bits, np.cumsum(n[full]) - n[full], axis=0, dtype=np.int32)
-        out[full] = np.packbits(2 * sums > n[full][:, None], axis=1, bitorder="little").view("<u8").ravel()
-    return out
+    return majority(np.array(hashes, np.uint64), np.array(counts, np.int64))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
@@ -141,25 +167,83 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return marked.join(by_fp, "fp").select("id", "fp", "component")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, bits: int = 3, segment: int = 2) -> DataFrame:
-    """The documents, all columns, with one of each group: that with the least id (a null id is the greatest).
+def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
+    """(id, d1, d2, k1, k2, fp, n, bitmap, shingles): each document's text, set of shingles (128 bits each) and fingerprint.
 
-    Of rows with the same id and fingerprint one stays.
+    Sets that a task has met before are not carried again.
     """
-    scratch = Scratch(docs.sparkSession, "simhash")
-    marked, named = labelled(docs, scratch, id_col, text_col, shingle, bits, segment)
-    keepers = named.groupBy("label").agg(F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp")).alias("k")).select(F.col("k.least").alias("id"), F.col("k.fp").alias("fp"))
-    # fingerprints are made again beside the texts: by id alone, rows with equal ids could not be told apart
-    kind, columns = docs.schema[id_col].dataType.simpleString(), docs.columns
-    rows, at, schema = carried(docs, text_col, tuple(columns))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, text_col):
-            found = fingerprint_block(part.column(at).to_pylist(), shingle).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found)], [*columns, "__fp"])
-
-    again = rows.mapInArrow(run, f"{schema}, __fp long")
-    a, b = again.alias("a"), keepers.alias("b")
-    stay = a.join(b, F.col(f"a.{id_col}").eqNullSafe(F.col("b.id").cast(kind)) & (F.col("a.__fp") == F.col("b.fp"))).select("a.*")
-    first = Window.partitionBy(id_col, "__fp").orderBy(text_col)
-    return stay.withColumn("__k", F.row_number().over(first)).where("__k = 1").select(*columns)
+        met: set[tuple[int, int]] = set()
+        for part in blocks(batches, "text"):
+            hashes, counts = similar.shingle_hashes(part.column(3), shingle)
+            fps = majority(hashes, counts).view(np.int64)
+            tokens, offsets = similar.sets_of(hashes, counts)
+            maps = similar.bitmaps(tokens, offsets)
+            keys = [xxhash.xxh128_intdigest(tokens[a:b].tobytes(), SEED) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            keys = [(k >> 64) - (1 << 63) for k in keys], [(k & (1 << 64) - 1) - (1 << 63) for k in keys]
+            new = []
+            for key in zip(*keys, strict=True):
+                new.append(key not in met)
+                met.add(key)
+            if len(met) > MET:
+                met.clear()
+            lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))
+            lists = pc.if_else(pa.array(new), lists, pa.scalar(None, lists.type))
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *(pa.array(k, pa.int64()) for k in keys), pa.array(fps), pa.array(np.diff(offsets).astype(np.int32)), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(similar.MAP)), lists], ["id", "d1", "d2", "k1", "k2", "fp", "n", *similar.BITMAP, "shingles"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    text = F.col(text_col).cast("string")
+    plain = docs.select(F.col(id_col).alias("id"), *text_digests(text), text.alias("text"))
+    return plain.mapInArrow(run, f"id {kind}, d1 long, d2 long, k1 long, k2 long, fp long, n int, {', '.join(f'{b} long' for b in similar.BITMAP)}, shingles array<int>")
+
+
+def near_copies(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, similarity: float, bits: int = 3) -> tuple[DataFrame, DataFrame]:
+    """((id, d1, d2, k1, k2) of every document, (k1, k2, label) of every set of shingles); similar sets share a label.
+
+    Fingerprints within `bits` bits, verified by their sets, make the first classes; the join of `similar` adds the pairs
+    that fingerprints can't tell.
+    """
+    marked = scratch.write(shingled(docs, id_col, text_col, shingle), "shingled")
+    sets = marked.where("shingles is not null").select("k1", "k2", "fp", "n", *similar.BITMAP, "shingles").dropDuplicates(["k1", "k2"])
+    sets = scratch.write(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")  # numbers are written, so they stay
+    marked = scratch.write(marked.select("id", "d1", "d2", "k1", "k2"), "marked")
+    scratch.drop("shingled")
+    fps = scratch.write(sets.groupBy("fp").agg(F.min("sid").alias("rep")), "fps")
+    between = scratch.write(links(fps.select("fp"), scratch, bits), "links")
+    u, v = fps.select(F.col("fp").alias("u"), F.col("rep").alias("a")), fps.select(F.col("fp").alias("v"), F.col("rep").alias("b"))
+    pairs = between.join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    pairs = pairs.unionByName(sets.select("fp", "sid").join(fps, "fp").where("sid != rep").select(F.col("rep").alias("u"), F.col("sid").alias("v")))
+    first = scratch.write(similar.verified(pairs, sets, similarity), "first")
+    labels = scratch.write(connected_components(first, scratch), "labels")
+    more = similar.links(sets, labels, scratch, similarity)
+    labels = scratch.write(connected_components(first.unionByName(more), scratch), "classes")
+    scratch.drop("fps", "links", "first", "labels", "more")
+    named = sets.select("k1", "k2", "sid").join(labels, F.col("sid") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "sid").alias("label"))
+    return marked, named
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The documents, all columns, with one of each group of near copies: that with the least id (a null id is the greatest).
+
+    Near copies have sets of word shingles with a Jaccard similarity of at least `similarity`; a group is what they
+    connect. Of rows with the same id in a group one stays.
+    """
+    scratch = Scratch(docs.sparkSession, "simhash")
+    marked, named = near_copies(docs, scratch, id_col, text_col, shingle, similarity)
+    own = F.struct(F.col("id").isNull().alias("none"), "id", "d1", "d2")
+    reps = marked.groupBy("k1", "k2").agg(F.min(own).alias("rep"))  # copies are many rows of one set
+    keepers = reps.join(named, ["k1", "k2"]).groupBy("label").agg(F.min("rep").alias("k")).select("k.id", "k.d1", "k.d2")
+    rows = marked.groupBy("id", "d1", "d2").agg(F.count("*").alias("rows"))
+    m, k = rows.alias("m"), keepers.alias("k")
+    same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.d1") == F.col(f"{b}.d1")) & (F.col(f"{a}.d2") == F.col(f"{b}.d2"))
+    keepers = scratch.write(m.join(k, same("m", "k")).select("m.*"), "keepers")
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    at, own_id = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
+    plain = docs.toDF(*names)
+    p = plain.select("*", F.col(own_id).alias("id"), *text_digests(F.col(at).cast("string"))).alias("p")
+    stay = p.join(keepers.alias("k"), same("p", "k")).select("p.*", "k.rows")
+    if (keepers.agg(F.max("rows")).first()[0] or 0) > 1:  # equal rows: one of each stays
+        first = Window.partitionBy("id", "d1", "d2").orderBy(F.xxhash64(*[F.col(c).cast("string") for c in names if c != at]))
+        stay = stay.withColumn("at", F.row_number().over(first)).where("at = 1")
+    return stay.select(*names).toDF(*docs.columns)

@@ -1,12 +1,14 @@
-"""Near-duplicates by the Jaccard similarity of sets of word shingles, without loss of pairs.
+"""Sets of word shingles for near-duplicates: the join on Jaccard similarity that completes SimHash's links.
 
-Sets are joined on prefixes: in any one order of all shingles, two sets of similarity s share one of the first
-n - ceil(s * n) + 1 shingles of each. Shingles that are frequent in a sample come last in that order, which decides about
-the number of candidates only. Candidates are verified on the whole sets. A shingle that begins more than `hot` sets is
-compared block against block, in tasks that return spanning forests, so a large group of copies makes no rows of pairs.
+Fingerprints of 64 bits can't decide a similarity of 0.8: such pairs differ in some ten bits. So whatever SimHash has not
+put into one class is joined on prefixes: in any one order of all shingles, two sets of similarity s share one of the
+first n - ceil(s * n) + 1 shingles of each. Shingles that are frequent in a sample come last in that order, which decides
+about the number of candidates only. Candidates are bounded from above by their sizes, by the places of the common
+shingle and by parity bitmaps (a set's shingles flip bits of 256; two bitmaps differ in no more bits than the sets in
+shingles); what is left is verified on the whole sets. So no pair is lost.
 
-Shingles are 32-bit hashes; equal sets are one set. Edge cases: texts without words are one group; fewer words than a
-shingle make one shingle; a null id is the greatest; empty tables give empty tables.
+A shingle that begins more than `hot` sets makes no rows of pairs: its sets are compared block against block, in tasks that
+return spanning forests and skip what is of one class already.
 """
 
 from __future__ import annotations
@@ -16,130 +18,136 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, carried, text_bytes
-from .components import connected_components
+from .common import Scratch, blocks, text_bytes
 from .kernel import Words, windows
 
-#: Texts of a set (one in SAMPLE is looked at for frequent shingles), texts that make a shingle frequent, most of those.
+#: Sets of which one is looked at for frequent shingles, sets of the sample that make a shingle frequent, most of those.
 SAMPLE, OFTEN, MOST = 16, 3, 200_000
+#: Fixed value: longs of a parity bitmap.
+MAP = 4
+BITMAP = tuple(f"b{k}" for k in range(MAP))
 
 
-def shingle_sets(column: pa.Array, shingle: int) -> list[np.ndarray]:
-    """The sorted different 32-bit hashes of every text's shingles; case of A-Z is ignored."""
+def shingle_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
+    """(64-bit hashes of all texts' shingles, how many each text has); case of A-Z is ignored, short texts have one or none."""
     data, offsets = text_bytes(column)
     data = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint8)
     words = Words(data, offsets)
-    found = (windows(words.hashes(), shingle) >> np.uint64(32)).astype(np.uint32).view(np.int32) if len(words.starts) else np.empty(0, np.int32)
-    out = []
-    for k, n in enumerate(words.counts.tolist()):
-        a = int(words.of_row[k])
-        if n >= shingle:
-            out.append(np.unique(found[a : a + n - shingle + 1]))
-        else:
-            own = b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())
-            out.append(np.array([xxhash.xxh32_intdigest(own)] if own else [], np.uint32).view(np.int32))
-    return out
-
-
-def key_of(found: np.ndarray) -> int:
-    return int(np.uint64(xxhash.xxh64_intdigest(found.tobytes(), 42)).view(np.int64))
-
-
-def keyed(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
-    """(id, key, shingles)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "text"):
-            sets = shingle_sets(part.column(1), shingle)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([key_of(s) for s in sets], pa.int64()), pa.array(sets, pa.list_(pa.int32()))], ["id", "key", "shingles"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, key long, shingles array<int>")
+    found = windows(words.hashes(), shingle)
+    room = words.room(shingle) if len(words.starts) else np.empty(0, bool)
+    short = np.flatnonzero((words.counts > 0) & (words.counts < shingle))
+    for k in short.tolist():  # the text's first word stands for its one shingle
+        at = int(words.of_row[k])
+        own = b" ".join(data[offsets[k] : offsets[k + 1]].tobytes().split())
+        found[at], room[at] = xxhash.xxh64_intdigest(own), True
+    counts = np.maximum(words.counts - shingle + 1, 0)
+    counts[short] = 1
+    return found[room], counts
+
+
+def sets_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sorted different 32-bit shingles of each row, one row after the other; offsets)."""
+    row = np.repeat(np.arange(len(counts)), counts)
+    keys = np.sort((row.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    keys = keys[new]
+    sizes = np.bincount((keys >> np.uint64(32)).astype(np.int64), minlength=len(counts))
+    return keys.astype(np.uint32).view(np.int32), np.concatenate(([0], np.cumsum(sizes)))
+
+
+def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Each row's parity bitmap: MAP longs."""
+    rows, bits = len(offsets) - 1, 64 * MAP
+    row = np.repeat(np.arange(rows), np.diff(offsets))
+    odd = np.bincount(row * bits + (tokens.view(np.uint32) % np.uint32(bits)), minlength=rows * bits) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little").view("<i8")
 
 
 def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(token, key, n): the shingles that a set of n can't do without if it is to share `least` of them."""
-    some = sets.where(F.pmod(F.xxhash64("key"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("t"))
+    """(token, sid, n, at): the shingles that a set of n can't do without if it is to share `least` of them, and their places."""
+    some = sets.where(F.pmod(F.xxhash64("k1"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("t"))
     often = some.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "t").limit(MOST)
-    late = sets.sparkSession.sparkContext.broadcast(np.sort(np.array([r.t for r in often.select("t").collect()], np.int32)))
+    late = sets.sparkSession.sparkContext.broadcast(np.sort(np.array([r.t for r in often.select("t").collect()], np.int32)))  # MOST numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches, "shingles"):
-            tokens, keys, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)], [np.empty(0, np.int32)]
-            for key, own in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                own = own.values.to_numpy(zero_copy_only=False)
-                n = len(own)
-                own = own[np.argsort(np.isin(own, late.value), kind="stable")][: n - int(np.ceil(least * n - 1e-9)) + 1]
-                tokens.append(own), keys.append(np.full(len(own), key)), sizes.append(np.full(len(own), n, np.int32))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (tokens, keys, sizes)], ["token", "key", "n"])
+            lists = part.column(1)
+            sizes = np.diff(lists.offsets.to_numpy()).astype(np.int64)
+            tokens = lists.flatten().to_numpy()
+            row = np.repeat(np.arange(part.num_rows), sizes)
+            slot = np.searchsorted(late.value, tokens)
+            is_late = (late.value[np.minimum(slot, len(late.value) - 1)] == tokens) if len(late.value) else np.zeros(len(tokens), bool)
+            order = np.lexsort((tokens, is_late, row))
+            at = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            keep = at < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1)[row]
+            yield pa.RecordBatch.from_arrays([pa.array(tokens[order][keep]), part.column(0).take(pa.array(row[keep])), pa.array(sizes[row[keep]].astype(np.int32)), pa.array(at[keep].astype(np.int32))], ["token", "sid", "n", "at"])
+
+    return sets.where("n > 0").select("sid", "shingles").mapInArrow(run, "token int, sid long, n int, at int")
 
-    return sets.where(F.size("shingles") > 0).select("key", "shingles").mapInArrow(run, "token int, key long, n int")
 
+def alike(both: Column, n: Column, m: Column, least: float) -> Column:
+    return both >= least * (n + m - both) - 1e-9
 
-def similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both >= least * (len(a) + len(b) - both) - 1e-9
 
+def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): those of the pairs of sets that are similar; bitmaps first, then the whole sets."""
+    small = lambda to, n, b: sets.select(F.col("sid").alias(to), F.col("n").alias(n), *[F.col(c).alias(f"{b}{k}") for k, c in enumerate(BITMAP)])
+    both = pairs.join(small("u", "n", "x"), "u").join(small("v", "m", "y"), "v")
+    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(MAP)), F.lit(0))
+    both = both.where(apart <= (1 - least) / (1 + least) * (F.col("n") + F.col("m")) + 1e-9).select("u", "v")
+    whole = lambda to, s: sets.select(F.col("sid").alias(to), F.col("shingles").alias(s))
+    both = both.join(whole("u", "s"), "u").join(whole("v", "t"), "v")
+    return both.where(alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"), least)).select("u", "v")
 
-def links(sets: DataFrame, scratch: Scratch, least: float = 0.8, hot: int = 32, block: int = 512) -> DataFrame:
-    """(u, v): links that connect any two different sets (key, shingles) of similarity `least` or more."""
+
+def links(sets: DataFrame, labels: DataFrame, scratch: Scratch, least: float = 0.8, hot: int = 64, block: int = 512) -> DataFrame:
+    """(u, v): links that, with the classes of `labels` (node, label), connect any two sets of similarity `least` or more."""
     rows = scratch.write(prefixes(sets, least), "prefixes")
-    crowded = scratch.write(rows.groupBy("token").agg(F.count("*").alias("n")).where(F.col("n") > hot).select("token", F.ceil(F.col("n") / block).cast("int").alias("nb")), "crowded")
+    crowded = scratch.write(rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("token", F.ceil(F.col("c") / block).cast("int").alias("nb")), "crowded")
     cold = rows.join(crowded, "token", "left_anti")
-    a, b = cold.toDF("token", "u", "n"), cold.toDF("token", "v", "m")
-    pairs = a.join(b, "token").where((F.col("u") < F.col("v")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9)).select("u", "v").distinct()
-    left, right = sets.select(F.col("key").alias("u"), F.col("shingles").alias("s")), sets.select(F.col("key").alias("v"), F.col("shingles").alias("t"))
-    both = F.size(F.array_intersect("s", "t"))
-    found = pairs.join(left, "u").join(right, "v").where(both >= least * (F.size("s") + F.size("t") - both) - 1e-9).select("u", "v")
-    near = scratch.write(found, "near")
-
-    dealt = rows.join(crowded, "token").withColumn("at", F.pmod(F.xxhash64("key"), F.col("nb")).cast("int"))
-    dealt = dealt.select("token", "key", "at", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).join(sets, "key")
-    dealt = dealt.select("token", F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "key", "shingles")
+    a, b = cold.toDF("token", "u", "n", "i"), cold.toDF("token", "v", "m", "j")
+    most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))  # common shingles, by the places of one
+    near = (F.col("u") < F.col("v")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & alike(most, F.col("n"), F.col("m"), least)
+    pairs = a.join(b, "token").where(near).select("u", "v").distinct()
+    named = lambda to, of: labels.select(F.col("node").alias(to), F.col("label").alias(of))
+    pairs = pairs.join(named("u", "p"), "u", "left").join(named("v", "q"), "v", "left").where(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
+    found = scratch.write(verified(scratch.write(pairs, "pairs"), sets, least), "near")
+
+    full = rows.join(crowded, "token").join(named("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    full = scratch.write(full.select("token", "sid", "label", "nb"), "full")
+    mixed = full.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("token")
+    dealt = full.join(mixed, "token").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
+    dealt = dealt.select("token", "sid", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).join(sets.select("sid", "n", *BITMAP, "shingles"), "sid")
+    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "label", "n", *BITMAP, "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
-        at, keys = table["at"].to_numpy(), table["key"].to_numpy()
-        own = [s.values.to_numpy(zero_copy_only=False) for s in table["shingles"]]
+        table = table.combine_chunks()
+        mine, sid, n = table["mine"].to_numpy(), table["sid"].to_numpy(), table["n"].to_numpy()
+        root = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        bits = np.stack([table[c].to_numpy() for c in BITMAP], axis=1).view(np.uint64)
+        lists = table["shingles"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        bounds, tokens = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
         one, two = table["i"][0].as_py(), table["j"][0].as_py()
-        p, q = np.flatnonzero(at == one), np.flatnonzero(at == two)
-        root, out = np.arange(len(at)), []
+        p, q = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
+        out = []
         for x in p:
-            for y in q:
-                if root[x] != root[y] and (one != two or y > x) and similar(own[x], own[y], least):
-                    out.append((min(keys[x], keys[y]), max(keys[x], keys[y])))
-                    root[root == root[y]] = root[x]
+            ys = q[(root[q] != root[x]) & (np.minimum(n[q], n[x]) >= least * np.maximum(n[q], n[x]) - 1e-9)]
+            ys = ys[ys > x] if one == two else ys
+            ys = ys[np.bitwise_count(bits[ys] ^ bits[x]).sum(1) <= (1 - least) / (1 + least) * (n[ys] + n[x]) + 1e-9]
+            for y in ys:
+                if root[x] != root[y]:
+                    both = len(np.intersect1d(tokens[bounds[x] : bounds[x + 1]], tokens[bounds[y] : bounds[y + 1]], assume_unique=True))
+                    if both >= least * (int(n[x]) + int(n[y]) - both) - 1e-9:
+                        out.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
+                        root[root == root[y]] = root[x]
         return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
-    return near.unionByName(dealt.groupBy("token", "i", "j").applyInArrow(compare, "u long, v long")).distinct()
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The documents, all columns, with one of each group of near copies: that with the least id (a null id is the greatest).
-
-    Of rows with the same id and shingles one stays.
-    """
-    scratch = Scratch(docs.sparkSession, "similar")
-    marked = scratch.write(keyed(docs, id_col, text_col, shingle), "marked")
-    sets = scratch.write(marked.select("key", "shingles").dropDuplicates(["key"]), "sets")
-    labels = connected_components(scratch.write(links(sets, scratch, least), "links"), scratch)
-    named = marked.select("id", "key").join(labels, F.col("key") == F.col("node"), "left").withColumn("label", F.coalesce("label", "key"))
-    keepers = named.groupBy("label").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("k")).select(F.col("k.id").alias("id"), F.col("k.key").alias("key"))
-    keepers = scratch.write(keepers, "keepers")
-    scratch.drop("marked", "sets", "prefixes")
-    kind, columns = docs.schema[id_col].dataType.simpleString(), docs.columns
-    rows, at, schema = carried(docs, text_col, tuple(columns))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, text_col):
-            found = [key_of(s) for s in shingle_sets(part.column(at), shingle)]
-            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(found, pa.int64())], [*columns, "__key"])
-
-    a, b = rows.mapInArrow(run, f"{schema}, __key long").alias("a"), keepers.alias("b")
-    stay = a.join(b, F.col(f"a.{id_col}").eqNullSafe(F.col("b.id").cast(kind)) & (F.col("a.__key") == F.col("b.key"))).select("a.*")
-    first = Window.partitionBy(id_col, "__key").orderBy(text_col)
-    return stay.withColumn("__k", F.row_number().over(first)).where("__k = 1").select(*columns)
+    out = found.unionByName(dealt.groupBy("token", "i", "j").applyInArrow(compare, "u long, v long")).distinct()
+    out = scratch.write(out, "more")
+    scratch.drop("prefixes", "pairs", "full")
+    return out

@@ -172,10 +172,12 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
     return Model.unpack(bytes(found[0].model)) if found else Model(np.zeros(1 << HASH, np.float32), 0.0)
 
 
-def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None) -> DataFrame:
-    """The rows (all columns, or `keep`) with a column score (double) of every whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model.pack())
-    keep = tuple(c for c in docs.columns if c != "score") if keep is None else keep
+def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str, ...] | None = None, to: str = "score") -> DataFrame:
+    """The rows (all columns, or `keep`) with a column `to` (double), the score of every whole text; `to` must be a new name."""
+    shared = docs.sparkSession.sparkContext.broadcast(model.pack())  # of fixed size
+    keep = tuple(docs.columns) if keep is None else keep
+    if to in keep:
+        raise ValueError(f"there is a column {to!r} already; name another one")
 
     rows, at, schema = carried(docs, text_col, keep)
 
@@ -183,9 +185,16 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
         own = Model.unpack(shared.value)
         for part in blocks(batches, text_col):
             found = own.score(*text_bytes(part.column(at)))
-            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found)], [*keep, "score"])
+            yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found)], [*keep, to])
 
-    return rows.mapInArrow(run, f"{schema}, score double")
+    return rows.mapInArrow(run, f"{schema}, `{to}` double")
+
+
+def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents below the threshold, all columns, whatever their names."""
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    found = scored(docs.toDF(*names), model, names[docs.columns.index(text_col)])
+    return found.where(F.col("score") < threshold).drop("score").toDF(*docs.columns)
 
 
 def held_out(id_col: str):

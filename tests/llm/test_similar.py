@@ -1,7 +1,9 @@
 import random
 
-import corpus_pipeline
-from tabweave.llm import similar
+import numpy as np
+from pyspark.sql import functions as F
+
+from tabweave.llm import simhash, similar
 from tabweave.llm.common import Scratch
 
 
@@ -28,9 +30,36 @@ def test_edited_copies_are_one_group(spark):
     for i, j in near:
         label = [min(label[i], label[j]) if x in (label[i], label[j]) else x for x in label]
     df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
-    kept = {x.doc_id for x in corpus_pipeline.near_duplicates(spark, df, "").collect()}
+    kept = {x.doc_id for x in simhash.keep_one(df).collect()}
     assert kept == set(label) and len(kept) < len(texts) - 20
-    made = similar.keyed(df, "doc_id", "text", 5).select("key", "shingles").dropDuplicates(["key"]).persist()
-    few = {frozenset((x.u, x.v)) for x in similar.links(made, Scratch(spark, "test"), hot=1, block=7).collect()}
-    every = {frozenset((x.u, x.v)) for x in similar.links(made, Scratch(spark, "test"), hot=10**6).collect()}
+    # every pair that connects, without the help of fingerprints, in blocks of several sizes
+    scratch = Scratch(spark, "test")
+    made = scratch.write(simhash.shingled(df, "doc_id", "text", 5).where("shingles is not null").dropDuplicates(["k1", "k2"]).withColumn("sid", F.col("id")), "sets")
+    none = spark.createDataFrame([], "node long, label long")
+    few = {frozenset((x.u, x.v)) for x in similar.links(made, none, scratch, hot=1, block=7).collect()}
+    every = {frozenset((x.u, x.v)) for x in similar.links(made, none, scratch, hot=10**6).collect()}
     assert few <= every and {k for e in few for k in e} == {k for e in every for k in e}
+    plain = {frozenset((i, j)) for i, j in near if sets[i] != sets[j]}
+    held = {r.id for r in made.collect()}
+    assert every == {p for p in plain if p <= held}
+
+
+def test_bitmaps_bound_the_difference():
+    r = np.random.default_rng(2)
+    for _ in range(50):
+        a, b = (np.unique(r.integers(-(2**31), 2**31 - 1, r.integers(0, 400), dtype=np.int64)).astype(np.int32) for _ in range(2))
+        b = np.unique(np.concatenate((b, r.choice(a, len(a) // 2, replace=False) if len(a) else a)))
+        maps = similar.bitmaps(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)])).view(np.uint64)
+        assert np.bitwise_count(maps[0] ^ maps[1]).sum() <= len(np.setxor1d(a, b))
+
+
+def test_columns_of_any_name_and_equal_rows(spark):
+    names = ["id", "d1", "k1", "fp", "rows", "__fp", "n", "at", "c0", "label"]
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(k, *map(str, range(10)), t) for k, t in ((2, text), (1, text), (1, text), (None, text), (5, None), (4, ""), (4, ""), (7, "x " * 100_000))]
+    df = spark.createDataFrame(rows, "doc_id long, " + ", ".join(f"`{n}` string" for n in names) + ", text string")
+    out = simhash.keep_one(df)
+    assert out.columns == df.columns
+    got = out.collect()
+    assert sorted(r.doc_id for r in got) == [1, 4, 7] and all(r[n] == str(k) for r in got for k, n in enumerate(names))
+    assert simhash.keep_one(df.limit(0)).count() == 0
