@@ -1,8 +1,14 @@
 """The corpus pipeline: five stages over the documents, each written as Parquet and read again by the next.
 
-Every stage but the last returns the columns of documents. Quality rules and toxicity drop what they reject; of every
-group of near copies the document with the least id stays; passages that occur before are cut out of the texts; what is
-left is packed into sequences.
+Every stage but the last returns the columns of documents, whatever further columns there are and however they are named.
+Quality rules and toxicity drop what they reject; of every group of near copies (sets of five-word shingles with a Jaccard
+similarity of 0.8 or more) the document with the least id stays; passages that occur before are cut out of the texts; what
+is left is packed into sequences.
+
+Edge cases: null and empty texts fail the quality rules and go there; null ids, languages and sources are values like any
+other (a null id represents its group only if all ids are null; passages' first occurrences are those of the least id, null
+first); of rows with equal id and text one stays; ties go to the least id, then the text; very long texts pass every stage
+as a whole; an empty table makes an empty result.
 """
 
 from __future__ import annotations
@@ -10,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabweave.llm import packing, quality, similar, suffix, toxicity
+from tabweave.llm import packing, quality, simhash, suffix, toxicity
 from tabweave.llm.common import Scratch
 from tabweave.llm.queries import word_tokenizer
 
@@ -22,11 +28,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_on_labels(docs, labels)
-    return toxicity.scored(docs, model).where(F.col("score") < toxicity.THRESHOLD).drop("score")
+    return toxicity.clean(docs, model)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return similar.keep_one(docs)
+    return simhash.keep_one(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
