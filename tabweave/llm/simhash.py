@@ -14,8 +14,8 @@ that nothing connects make some n^2 / 2^23 candidates: few beside n up to 10^7 o
 the work grows with n^2; what the blocks compare is 8 bytes a fingerprint.
 
 `keep_one` is the pipeline's stage: five-word shingles and a Jaccard similarity of 0.8 or more. Pairs of that similarity
-differ in about ten of 64 bits, so 3 bits find the closest only: links of fingerprints, verified by their sets, make the
-first classes, and `similar` joins whatever they leave, so that no similar pair is lost.
+differ in about ten of 64 bits, so 3 bits find the closest only: links of fingerprints, verified by their sets, are
+completed by the join in `similar`, so that no similar pair is lost.
 
 Edge cases: a null or wordless text has fingerprint 0 and is linked as any other (in `keep_one`: all of them are one
 group); fewer words than a shingle make one shingle; very long texts are one row, whose shingles are counted in pieces;
@@ -201,26 +201,22 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
 def near_copies(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, similarity: float, bits: int = 3) -> tuple[DataFrame, DataFrame]:
     """((id, d1, d2, k1, k2) of every document, (k1, k2, label) of every set of shingles); similar sets share a label.
 
-    Fingerprints within `bits` bits, verified by their sets, make the first classes; the join of `similar` adds the pairs
+    Fingerprints within `bits` bits are candidates, which are verified by their sets; the join of `similar` adds the pairs
     that fingerprints can't tell.
     """
-    marked = scratch.write(shingled(docs, id_col, text_col, shingle), "shingled")
-    sets = marked.where("shingles is not null").select("k1", "k2", "fp", "n", *similar.BITMAP, "shingles").dropDuplicates(["k1", "k2"])
-    sets = scratch.write(sets.withColumn("sid", F.monotonically_increasing_id()), "sets")  # numbers are written, so they stay
-    marked = scratch.write(marked.select("id", "d1", "d2", "k1", "k2"), "marked")
-    scratch.drop("shingled")
+    made = scratch.write(shingled(docs, id_col, text_col, shingle).withColumn("sid", F.monotonically_increasing_id()), "shingled")  # numbers are written, so they stay
+    carrying = F.when(F.col("shingles").isNotNull(), F.col("sid"))
+    own = scratch.write(made.groupBy("k1", "k2").agg(F.min(carrying).alias("sid")), "own")  # one row of each set
+    rest = scratch.write(made.where("shingles is not null").select("sid", "k1", "k2").join(own, ["k1", "k2", "sid"], "left_anti").select("sid"), "rest")
+    sets = made.where("shingles is not null").join(rest, "sid", "left_anti")  # few: copies that different tasks have met
     fps = scratch.write(sets.groupBy("fp").agg(F.min("sid").alias("rep")), "fps")
-    between = scratch.write(links(fps.select("fp"), scratch, bits), "links")
+    between = links(fps.select("fp"), scratch, bits)
     u, v = fps.select(F.col("fp").alias("u"), F.col("rep").alias("a")), fps.select(F.col("fp").alias("v"), F.col("rep").alias("b"))
     pairs = between.join(u, "u").join(v, "v").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    pairs = pairs.unionByName(sets.select("fp", "sid").join(fps, "fp").where("sid != rep").select(F.col("rep").alias("u"), F.col("sid").alias("v")))
-    first = scratch.write(similar.verified(pairs, sets, similarity), "first")
-    labels = scratch.write(connected_components(first, scratch), "labels")
-    more = similar.links(sets, labels, scratch, similarity)
-    labels = scratch.write(connected_components(first.unionByName(more), scratch), "classes")
-    scratch.drop("fps", "links", "first", "labels", "more")
-    named = sets.select("k1", "k2", "sid").join(labels, F.col("sid") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "sid").alias("label"))
-    return marked, named
+    pairs = scratch.write(pairs.unionByName(sets.select("fp", "sid").join(fps, "fp").where("sid != rep").select(F.col("rep").alias("u"), F.col("sid").alias("v"))), "links")
+    labels = similar.classes(sets, pairs, scratch, similarity)
+    named = own.join(labels, F.col("sid") == F.col("node"), "left").select("k1", "k2", F.coalesce("label", "sid").alias("label"))
+    return made.select("id", "d1", "d2", "k1", "k2"), named
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -238,6 +234,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     m, k = rows.alias("m"), keepers.alias("k")
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.d1") == F.col(f"{b}.d1")) & (F.col(f"{a}.d2") == F.col(f"{b}.d2"))
     keepers = scratch.write(m.join(k, same("m", "k")).select("m.*"), "keepers")
+    scratch.drop("shingled", "full", "held", "pairs", "more")
     names = [f"c{k}" for k in range(len(docs.columns))]
     at, own_id = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
     plain = docs.toDF(*names)

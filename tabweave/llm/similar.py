@@ -1,14 +1,16 @@
 """Sets of word shingles for near-duplicates: the join on Jaccard similarity that completes SimHash's links.
 
-Fingerprints of 64 bits can't decide a similarity of 0.8: such pairs differ in some ten bits. So whatever SimHash has not
-put into one class is joined on prefixes: in any one order of all shingles, two sets of similarity s share one of the
-first n - ceil(s * n) + 1 shingles of each. Shingles that are frequent in a sample come last in that order, which decides
-about the number of candidates only. Candidates are bounded from above by their sizes, by the places of the common
-shingle and by parity bitmaps (a set's shingles flip bits of 256; two bitmaps differ in no more bits than the sets in
-shingles); what is left is verified on the whole sets. So no pair is lost.
-
-A shingle that begins more than `hot` sets makes no rows of pairs: its sets are compared block against block, in tasks that
-return spanning forests and skip what is of one class already.
+Fingerprints of 64 bits can't decide a similarity of 0.8: such pairs differ in some ten bits. So the sets are
+joined on prefixes as well: in any one order of all shingles, two sets of similarity s share k of the first
+n - ceil(s * n) + k shingles of each (k grows with the smaller set, `several`). Shingles that are frequent in a sample
+come last in that order, which decides about the number of candidates only. Candidates are bounded from above by their
+sizes and by the places of a common shingle; what is left is verified on the whole sets. So no pair is lost.
+
+A shingle that begins more than `hot` sets makes no rows of all pairs. In some rounds its sets are compared with one of
+them, a different one each time, which connects a group of copies. Shingles whose sets are of one class by then are done;
+of the others, the sets outside the shingle's largest class are compared with all of other classes, in blocks, by parity
+bitmaps (a set's shingles flip bits of 256; two bitmaps differ in no more bits than the sets in shingles), and what the
+bitmaps allow is verified. That last step is quadratic in sets that share a frequent prefix shingle and are not similar.
 """
 
 from __future__ import annotations
@@ -22,11 +24,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, text_bytes
+from .components import connected_components
 from .kernel import Words, windows
 
 #: Sets of which one is looked at for frequent shingles, sets of the sample that make a shingle frequent, most of those.
 SAMPLE, OFTEN, MOST = 16, 3, 200_000
-#: Fixed value: longs of a parity bitmap.
+#: Sets of so many shingles need one more common shingle in their prefixes.
+SEVERAL = 16
+#: Longs of a parity bitmap.
 MAP = 4
 BITMAP = tuple(f"b{k}" for k in range(MAP))
 
@@ -67,9 +72,14 @@ def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little").view("<i8")
 
 
+def several(n: Column) -> Column:
+    """Shingles that the prefixes of two similar sets share at least, by the smaller set's size."""
+    return 1 + F.floor(n / SEVERAL)
+
+
 def prefixes(sets: DataFrame, least: float) -> DataFrame:
-    """(token, sid, n, at): the shingles that a set of n can't do without if it is to share `least` of them, and their places."""
-    some = sets.where(F.pmod(F.xxhash64("k1"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("t"))
+    """(token, sid, n, at): the first shingles of each set, and their places."""
+    some = sets.where(F.pmod(F.xxhash64("sid"), F.lit(SAMPLE)) == 0).select(F.explode("shingles").alias("t"))
     often = some.groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN).orderBy(F.desc("n"), "t").limit(MOST)
     late = sets.sparkSession.sparkContext.broadcast(np.sort(np.array([r.t for r in often.select("t").collect()], np.int32)))  # MOST numbers
 
@@ -83,7 +93,7 @@ def prefixes(sets: DataFrame, least: float) -> DataFrame:
             is_late = (late.value[np.minimum(slot, len(late.value) - 1)] == tokens) if len(late.value) else np.zeros(len(tokens), bool)
             order = np.lexsort((tokens, is_late, row))
             at = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            keep = at < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1)[row]
+            keep = at < (sizes - np.ceil(least * sizes - 1e-9).astype(np.int64) + 1 + sizes // SEVERAL)[row]
             yield pa.RecordBatch.from_arrays([pa.array(tokens[order][keep]), part.column(0).take(pa.array(row[keep])), pa.array(sizes[row[keep]].astype(np.int32)), pa.array(at[keep].astype(np.int32))], ["token", "sid", "n", "at"])
 
     return sets.where("n > 0").select("sid", "shingles").mapInArrow(run, "token int, sid long, n int, at int")
@@ -93,61 +103,96 @@ def alike(both: Column, n: Column, m: Column, least: float) -> Column:
     return both >= least * (n + m - both) - 1e-9
 
 
-def verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v): those of the pairs of sets that are similar; bitmaps first, then the whole sets."""
-    small = lambda to, n, b: sets.select(F.col("sid").alias(to), F.col("n").alias(n), *[F.col(c).alias(f"{b}{k}") for k, c in enumerate(BITMAP)])
-    both = pairs.join(small("u", "n", "x"), "u").join(small("v", "m", "y"), "v")
-    apart = sum((F.bit_count(F.col(f"x{k}").bitwiseXOR(F.col(f"y{k}"))) for k in range(MAP)), F.lit(0))
-    both = both.where(apart <= (1 - least) / (1 + least) * (F.col("n") + F.col("m")) + 1e-9).select("u", "v")
-    whole = lambda to, s: sets.select(F.col("sid").alias(to), F.col("shingles").alias(s))
-    both = both.join(whole("u", "s"), "u").join(whole("v", "t"), "v")
+def verified(pairs: DataFrame, sets: DataFrame, scratch: Scratch, least: float) -> DataFrame:
+    """(u, v): those of the (written) pairs of sets that are similar, by the whole sets."""
+    # written, so that its size is known: few sets that have candidates are picked out where they are
+    needed = scratch.write(pairs.select(F.col("u").alias("sid")).unionByName(pairs.select(F.col("v").alias("sid"))).distinct(), "needed")
+    own = sets.select("sid", "shingles").join(needed, "sid", "left_semi")
+    both = pairs.join(own.toDF("u", "s"), "u").join(own.toDF("v", "t"), "v")
     return both.where(alike(F.size(F.array_intersect("s", "t")), F.size("s"), F.size("t"), least)).select("u", "v")
 
 
-def links(sets: DataFrame, labels: DataFrame, scratch: Scratch, least: float = 0.8, hot: int = 64, block: int = 512) -> DataFrame:
-    """(u, v): links that, with the classes of `labels` (node, label), connect any two sets of similarity `least` or more."""
-    rows = scratch.write(prefixes(sets, least), "prefixes")
-    crowded = scratch.write(rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("token", F.ceil(F.col("c") / block).cast("int").alias("nb")), "crowded")
+def _near_in_size(n: Column, m: Column, least: float) -> Column:
+    return F.least(n, m) >= least * F.greatest(n, m) - 1e-9
+
+
+def rare_pairs(rows: DataFrame, crowded: DataFrame, least: float) -> DataFrame:
+    """(u, v): sets whose prefixes share enough shingles that are not crowded."""
     cold = rows.join(crowded, "token", "left_anti")
     a, b = cold.toDF("token", "u", "n", "i"), cold.toDF("token", "v", "m", "j")
     most = F.least("i", "j") + F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))  # common shingles, by the places of one
-    near = (F.col("u") < F.col("v")) & (F.least("n", "m") >= least * F.greatest("n", "m") - 1e-9) & alike(most, F.col("n"), F.col("m"), least)
-    pairs = a.join(b, "token").where(near).select("u", "v").distinct()
-    named = lambda to, of: labels.select(F.col("node").alias(to), F.col("label").alias(of))
-    pairs = pairs.join(named("u", "p"), "u", "left").join(named("v", "q"), "v", "left").where(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
-    found = scratch.write(verified(scratch.write(pairs, "pairs"), sets, least), "near")
-
-    full = rows.join(crowded, "token").join(named("sid", "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-    full = scratch.write(full.select("token", "sid", "label", "nb"), "full")
-    mixed = full.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("token")
-    dealt = full.join(mixed, "token").withColumn("mine", F.pmod(F.xxhash64("sid"), F.col("nb")).cast("int"))
-    dealt = dealt.select("token", "sid", "label", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("other")).join(sets.select("sid", "n", *BITMAP, "shingles"), "sid")
-    dealt = dealt.select("token", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "sid", "label", "n", *BITMAP, "shingles")
+    near = (F.col("u") < F.col("v")) & _near_in_size(F.col("n"), F.col("m"), least) & alike(most, F.col("n"), F.col("m"), least)
+    pairs = a.join(b, "token").where(near).groupBy("u", "v").agg(F.count("*").alias("c"), F.min(F.least("n", "m")).alias("n"))
+    return pairs.where(F.col("c") >= several(F.col("n"))).select("u", "v")
+
+
+def _labelled(full: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of crowded shingles that have sets of several classes, with their classes."""
+    own = full.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    mixed = own.groupBy("token").agg(F.min("label").alias("a"), F.max("label").alias("z")).where("a != z").select("token")
+    return own.join(mixed, "token")
+
+
+def star_pairs(full: DataFrame, labels: DataFrame, turn: int, least: float) -> DataFrame:
+    """(u, v): every set of a crowded shingle with one of them, if they are of different classes."""
+    own = _labelled(full, labels)
+    centre = own.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "label")).alias("c")).select("token", F.col("c.sid").alias("v"), F.col("c.n").alias("m"), F.col("c.label").alias("other"))
+    met = own.join(centre, "token").where((F.col("label") != F.col("other")) & _near_in_size(F.col("n"), F.col("m"), least))
+    return met.select(F.least("sid", "v").alias("u"), F.greatest("sid", "v").alias("v")).distinct()
+
+
+def crossing_pairs(full: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, least: float, block: int = 4_096) -> DataFrame:
+    """(u, v): the pairs of different classes of crowded shingles that the bitmaps allow."""
+    own = scratch.write(_labelled(full, labels).join(sets.select("sid", *BITMAP), "sid"), "mixed")
+    counts = own.groupBy("token", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("c")).select("token", F.col("m.label").alias("main"), F.ceil(F.col("m.c") / block).cast("int").alias("nm"), F.ceil((F.col("c") - F.col("m.c")) / block).cast("int").alias("nr"))
+    own = own.join(main, "token").withColumn("rest", F.col("label") != F.col("main"))
+    mine = F.pmod(F.xxhash64("sid"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int")
+    # the rest meets every block of the main class (i counts down from -1), and itself block against block
+    to = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    places = F.when(
+        F.col("rest"),
+        F.concat(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda b: to(-1 - b, F.col("mine"))), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda b: to(F.least(b, F.col("mine")), F.greatest(b, F.col("mine"))))),
+    ).otherwise(F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda b: to(-1 - F.col("mine"), b)))
+    dealt = own.withColumn("mine", mine).select("token", "sid", "label", "n", *BITMAP, "rest", "mine", F.explode(places).alias("p")).select("*", F.col("p.i").alias("i"), F.col("p.j").alias("j")).drop("p")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        mine, sid, n = table["mine"].to_numpy(), table["sid"].to_numpy(), table["n"].to_numpy()
-        root = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        mine, sid, n, label = (table[c].to_numpy() for c in ("mine", "sid", "n", "label"))
+        rest = table["rest"].to_numpy(zero_copy_only=False) if isinstance(table["rest"], pa.Array) else np.array(table["rest"].to_pylist(), bool)
         bits = np.stack([table[c].to_numpy() for c in BITMAP], axis=1).view(np.uint64)
-        lists = table["shingles"].combine_chunks()
-        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
-        bounds, tokens = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
         one, two = table["i"][0].as_py(), table["j"][0].as_py()
-        p, q = np.flatnonzero(mine == one), np.flatnonzero(mine == two)
-        out = []
+        p, q = np.flatnonzero(rest & (mine == two)), np.flatnonzero(~rest if one < 0 else mine == one)
+        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for x in p:
-            ys = q[(root[q] != root[x]) & (np.minimum(n[q], n[x]) >= least * np.maximum(n[q], n[x]) - 1e-9)]
-            ys = ys[ys > x] if one == two else ys
+            ys = q[(label[q] != label[x]) & (np.minimum(n[q], n[x]) >= least * np.maximum(n[q], n[x]) - 1e-9)]
             ys = ys[np.bitwise_count(bits[ys] ^ bits[x]).sum(1) <= (1 - least) / (1 + least) * (n[ys] + n[x]) + 1e-9]
-            for y in ys:
-                if root[x] != root[y]:
-                    both = len(np.intersect1d(tokens[bounds[x] : bounds[x + 1]], tokens[bounds[y] : bounds[y + 1]], assume_unique=True))
-                    if both >= least * (int(n[x]) + int(n[y]) - both) - 1e-9:
-                        out.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
-                        root[root == root[y]] = root[x]
-        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
-
-    out = found.unionByName(dealt.groupBy("token", "i", "j").applyInArrow(compare, "u long, v long")).distinct()
-    out = scratch.write(out, "more")
-    scratch.drop("prefixes", "pairs", "full")
-    return out
+            us.append(np.minimum(sid[ys], sid[x])), vs.append(np.maximum(sid[ys], sid[x]))
+        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+
+    return dealt.groupBy("token", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+
+def classes(sets: DataFrame, first: DataFrame, scratch: Scratch, least: float = 0.8, hot: int = 64, rounds: int = 3) -> DataFrame:
+    """(node, label) of the sets that are connected by pairs of similarity `least` or more; first: pairs to look at besides."""
+    rows = scratch.write(prefixes(sets, least), "prefixes")
+    crowded = scratch.write(rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("token"), "crowded")
+    full = scratch.write(rows.join(crowded, "token").select("token", "sid", "n"), "full")
+    none = sets.sparkSession.createDataFrame([], "node long, label long")
+    pairs = rare_pairs(rows, crowded, least).unionByName(first).unionByName(star_pairs(full, none, 0, least)).distinct()
+    pairs = scratch.write(pairs, "pairs")
+    scratch.drop("prefixes")
+    held = scratch.write(verified(pairs, sets, scratch, least), "held")
+    scratch.drop("pairs", "needed")
+    labels = scratch.write(connected_components(held, scratch), "labels0")
+    for turn in range(1, rounds + 1):
+        # links of a round connect what the classes before it left apart, so the classes' links need not be kept
+        last = turn == rounds
+        pairs = scratch.write(crossing_pairs(full, labels, sets, scratch, least) if last else star_pairs(full, labels, turn, least), "pairs")
+        if pairs.isEmpty():
+            if last or _labelled(full, labels).isEmpty():
+                break
+            continue
+        more = scratch.write(verified(pairs, sets, scratch, least), "more")
+        joined = labels.where("node != label").select(F.col("label").alias("u"), F.col("node").alias("v")).unionByName(more)
+        labels = scratch.write(connected_components(joined, scratch), f"labels{turn}")
+    return labels

@@ -32,16 +32,15 @@ def test_edited_copies_are_one_group(spark):
     df = spark.createDataFrame([(i, t, len(t)) for i, t in enumerate(texts)], "doc_id long, text string, n_chars long")
     kept = {x.doc_id for x in simhash.keep_one(df).collect()}
     assert kept == set(label) and len(kept) < len(texts) - 20
-    # every pair that connects, without the help of fingerprints, in blocks of several sizes
-    scratch = Scratch(spark, "test")
-    made = scratch.write(simhash.shingled(df, "doc_id", "text", 5).where("shingles is not null").dropDuplicates(["k1", "k2"]).withColumn("sid", F.col("id")), "sets")
-    none = spark.createDataFrame([], "node long, label long")
-    few = {frozenset((x.u, x.v)) for x in similar.links(made, none, scratch, hot=1, block=7).collect()}
-    every = {frozenset((x.u, x.v)) for x in similar.links(made, none, scratch, hot=10**6).collect()}
-    assert few <= every and {k for e in few for k in e} == {k for e in every for k in e}
-    plain = {frozenset((i, j)) for i, j in near if sets[i] != sets[j]}
+    # without the help of fingerprints, with few and with all shingles crowded
+    made = Scratch(spark, "test").write(simhash.shingled(df, "doc_id", "text", 5).where("shingles is not null").dropDuplicates(["k1", "k2"]).withColumn("sid", F.col("id")), "sets")
     held = {r.id for r in made.collect()}
-    assert every == {p for p in plain if p <= held}
+    none = spark.createDataFrame([], "u long, v long")
+    for hot, rounds in ((10**6, 3), (1, 1), (1, 3)):
+        got = {x.node: x.label for x in similar.classes(made, none, Scratch(spark, "test"), hot=hot, rounds=rounds).collect()}
+        for i in held:
+            for j in held:
+                assert (got.get(i, i) == got.get(j, j)) == (label[i] == label[j]), (hot, rounds, i, j)
 
 
 def test_bitmaps_bound_the_difference():
