@@ -377,7 +377,10 @@ def text_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     wanted = scratch.write(listed.join(texts, ["d1", "d2"]).select("d1", "d2", F.col("least").alias("id"), "at"), "wanted")
     scratch.drop("hits")
     p, w = plain.alias("p"), wanted.alias("w")
-    whole = p.join(w, (F.col("p.d1") == F.col("w.d1")) & (F.col("p.d2") == F.col("w.d2")) & F.col("p.id").eqNullSafe(F.col("w.id"))).select("p.d1", "p.d2", "p.id", "p.text", "w.at")
+    same = (F.col("p.d1") == F.col("w.d1")) & (F.col("p.d2") == F.col("w.d2")) & F.col("p.id").eqNullSafe(F.col("w.id"))
+    # few texts wanted are picked out where they are; many are dealt by the keys that both joins have
+    p = p.join(wanted.select("d1", "d2", "id").alias("w"), same, "left_semi")
+    whole = p.join(w, same).select("p.d1", "p.d2", "p.id", "p.text", "w.at")
     array = whole.mapInArrow(_carrying_words(passage, seed, bits), f"key long, part int, dealt boolean, id {kind}, d1 long, d2 long, pos int, left binary, right binary")
     array = array.repartition("key", "part").sortWithinPartitions("key", "part", "right", *PLACE)
     found = scratch.write(array.mapInArrow(_matched(passage, bits), f"id {kind}, d1 long, d2 long, first boolean, begin int, end int, window binary, twice boolean"), "found")
