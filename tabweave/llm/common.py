@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,7 +11,8 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Texts of an Arrow batch.
 TEXT_ROWS = 500
@@ -67,20 +69,31 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives memory that a task has freed back to the system, which a worker would keep for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column holds at most limit bytes (of a list: items), or one row."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        own = batch.column(column)
-        sizes = pc.list_value_length(own) if pa.types.is_list(own.type) else pc.binary_length(own)
-        sizes = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
-        start = 0
-        while start < len(sizes):
-            before = sizes[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
-            yield batch.slice(start, stop - start)
-            start = stop
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            own = batch.column(column)
+            sizes = pc.list_value_length(own) if pa.types.is_list(own.type) else pc.binary_length(own)
+            sizes = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = 0
+            while start < len(sizes):
+                before = sizes[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(sizes, before + limit, side="right")))
+                yield batch.slice(start, stop - start)
+                start = stop
+            del batch, own
+    finally:
+        trim()
 
 
 @contextlib.contextmanager
@@ -123,6 +136,27 @@ def carried(docs: DataFrame, text_col: str, keep: tuple[str, ...]) -> tuple[Data
     return docs.select(*columns), columns.index(text_col), schema
 
 
+def text_digests(text: Column) -> list[Column]:
+    """128 bits of a text, null as empty: d1, d2."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    return [F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2")]
+
+
+def without(docs: DataFrame, rejected: DataFrame, text_col: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The documents, all columns whatever their names, whose text (and the columns `by`, null-safe) isn't among rejected (d1, d2, *by).
+
+    Rejected rows are few beside whole texts: up to Spark's broadcast limit by their written size they are sent to the
+    texts, else both are dealt by digest.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    p, r = own.select("*", *text_digests(F.col(names[docs.columns.index(text_col)]))).alias("p"), rejected.distinct().alias("r")
+    same = (F.col("p.d1") == F.col("r.d1")) & (F.col("p.d2") == F.col("r.d2"))
+    for c in by:
+        same = same & F.col(f"p.{names[docs.columns.index(c)]}").eqNullSafe(F.col(f"r.{c}"))
+    return p.join(r, same, "left_anti").select(*names).toDF(*docs.columns)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes in one array, and the rows' offsets in it (nulls are empty)."""
     column = pc.fill_null(column, "") if column.null_count else column

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, carried, text_bytes
+from .common import Scratch, blocks, carried, text_bytes, text_digests, without
 from .kernel import Words, mix, span_hashes, windows
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -197,15 +197,12 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def reject_outliers(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """The documents that are kept, all columns.
-
-    The texts are read twice, for the estimates and for the verdicts, instead of being shuffled.
-    """
+    """The documents that are kept, all columns, whatever their names."""
     scratch = Scratch(docs.sparkSession, "quality")
-    own = {c: f"__own_{i}" for i, c in enumerate(docs.columns)}  # columns of the same names as statistics can be there
-    plain = docs.select(*[F.col(c).alias(own[c]) for c in docs.columns])
-    lang, source, text = own[lang_col], own[source_col], own[text_col]
-    stats = scratch.write(_grouped(base_statistics(plain, text, (lang, source)), lang, source), "stats")
-    estimates = scratch.write(mcd(stats.where(~F.col("base_failed")), scratch, _X), "estimates")
-    again = _grouped(base_statistics(plain, text, tuple(own.values())), lang, source)
-    return _verdicts(again, estimates, cutoff).where("kept").select(*[F.col(own[c]).alias(c) for c in docs.columns])
+    text = F.col(text_col).cast("string")
+    plain = docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *text_digests(text), text.alias("text"))
+    stats = scratch.write(_grouped(base_statistics(plain, "text", ("lang", "source", "d1", "d2")), "lang", "source"), "stats")
+    found = _verdicts(stats, mcd(stats.where(~F.col("base_failed")), scratch, _X), cutoff)
+    rejected = scratch.write(found.where(~F.col("kept")).select("d1", "d2", F.col("lang").alias(lang_col), F.col("source").alias(source_col)).distinct(), "rejected")
+    scratch.drop("stats")
+    return without(docs, rejected, text_col, (lang_col, source_col))

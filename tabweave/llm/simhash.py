@@ -37,9 +37,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import similar
-from .common import Scratch, blocks
+from .common import Scratch, blocks, text_digests
 from .components import connected_components
-from .suffix import digests as text_digests
 
 SEED = 42
 #: Hashes whose bits are counted at once, sets that a task remembers.

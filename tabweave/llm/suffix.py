@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, text_bytes
+from .common import Scratch, blocks, text_bytes, text_digests
 from .kernel import Words, distinct, mix, windows
 
 PASSAGE, SEED = 50, 11
@@ -75,12 +75,6 @@ def minimisers(words: Words, hashes: np.ndarray, passage: int, seed: int) -> tup
     return starts, at[starts], heads
 
 
-def digests(text: Column) -> list[Column]:
-    """128 bits of a text: d1, d2."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    return [F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2")]
-
-
 def word_count(text: Column) -> Column:
     """Words as the kernel counts them."""
     return F.regexp_count(F.coalesce(text.cast("string"), F.lit("")), F.lit("[^\\x20\\x09-\\x0D]+"))
@@ -364,7 +358,7 @@ def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def text_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, seed: int = SEED, bits: int = BITS, part: int = PART) -> tuple[DataFrame, DataFrame]:
     """((id, d1, d2, first, begin, end) for every text with repeated passages, (d1, d2, least id, rows) for every text)."""
     kind = docs.schema[id_col].dataType.simpleString()
-    plain = docs.select(*digests(F.col(text_col)), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    plain = docs.select(*text_digests(F.col(text_col)), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     texts = scratch.write(plain.groupBy("d1", "d2").agg(F.min("id").alias("least"), F.count("*").alias("rows")), "texts")
     found = plain.select("d1", "d2", "text").mapInArrow(_suffixes(passage, seed, bits), "key long, d1 long, d2 long, pos int")
     hits = scratch.write(recurring(found, max(16, math.isqrt(texts.count()))), "hits")
@@ -407,7 +401,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     none = F.lit(None).cast(docs.schema[id_col].dataType)
     own = spans.select("id", "begin", "end", F.col("first").alias("kept"), none.alias("source"))
     copied = texts.where("rows > 1").select("d1", "d2", "least")
-    rows = docs.select(F.col(id_col).alias("id"), *digests(F.col(text_col)), word_count(F.col(text_col)).alias("words")).where(F.col("words") >= passage)
+    rows = docs.select(F.col(id_col).alias("id"), *text_digests(F.col(text_col)), word_count(F.col(text_col)).alias("words")).where(F.col("words") >= passage)
     # of a text with copies, the representative's span is a first occurrence as a whole unless parts of it occur before
     copies = rows.join(copied, ["d1", "d2"]).where(~F.col("id").eqNullSafe(F.col("least"))).select("id", F.lit(0).alias("begin"), F.col("words").alias("end"), F.lit(False).alias("kept"), F.col("least").alias("source"))
     return own.unionByName(copies)
@@ -451,14 +445,14 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     scratch = Scratch(docs.sparkSession, "suffix")
     spans, texts = text_spans(docs, scratch, id_col, text_col, passage, seed)
     cuts = spans.where("not first").groupBy("id", "d1", "d2").agg(F.collect_list(F.struct("begin", "end")).alias("cuts")).select("id", "d1", "d2", "cuts", F.lit(False).alias("copy"))
-    rows = docs.select(F.col(id_col).alias("id"), *digests(F.col(text_col))).join(texts.where("rows > 1"), ["d1", "d2"])
+    rows = docs.select(F.col(id_col).alias("id"), *text_digests(F.col(text_col))).join(texts.where("rows > 1"), ["d1", "d2"])
     copies = rows.where(~F.col("id").eqNullSafe(F.col("least"))).select("id", "d1", "d2", F.lit(None).cast("array<struct<begin:int,end:int>>").alias("cuts"), F.lit(True).alias("copy")).distinct()
     facts = scratch.write(cuts.unionByName(copies), "facts")
     # every document has a key of its own (id and text), so a text that a third of all documents have is no hot key
     names = [f"c{k}" for k in range(len(docs.columns))]
     at, own_id = docs.columns.index(text_col), names[docs.columns.index(id_col)]
     plain = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string"))
-    p, f = plain.select("*", *digests(F.col(names[at]))).alias("p"), facts.alias("f")
+    p, f = plain.select("*", *text_digests(F.col(names[at]))).alias("p"), facts.alias("f")
     joined = p.join(f, (F.col("p.d1") == F.col("f.d1")) & (F.col("p.d2") == F.col("f.d2")) & F.col(f"p.{own_id}").eqNullSafe(F.col("f.id")), "left").select(*[F.col(f"p.{c}") for c in names], "f.cuts", "f.copy")
     schema = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in names)
     return joined.mapInArrow(_cut(at, len(names), passage), schema).toDF(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import blocks, carried, text_bytes
+from .common import Scratch, blocks, carried, text_bytes, text_digests, without
 from .kernel import IS_SPACE, distinct
 
 #: The most labelled rows that the classifier is fitted on.
@@ -192,9 +192,10 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
 
 def clean(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents below the threshold, all columns, whatever their names."""
-    names = [f"c{k}" for k in range(len(docs.columns))]
-    found = scored(docs.toDF(*names), model, names[docs.columns.index(text_col)])
-    return found.where(F.col("score") < threshold).drop("score").toDF(*docs.columns)
+    text = F.col(text_col).cast("string")
+    marked = scored(docs.select(*text_digests(text), text.alias("text")), model, "text", ("d1", "d2"))
+    toxic = Scratch(docs.sparkSession, "toxicity").write(marked.where(F.col("score") >= threshold).select("d1", "d2").distinct(), "toxic")
+    return without(docs, toxic, text_col)
 
 
 def held_out(id_col: str):
