@@ -1,30 +1,35 @@
 """Quality rules: exact base statistics of whole texts, then robust multivariate outliers per language and source.
 
 Base statistics come from one vectorised pass over the text bytes. The method: every document that passes the base
-rules becomes a vector of transformed statistics; for each (language, source) a minimum-covariance-determinant
-estimate of centre and scatter is found by concentration steps (keep the share of rows nearest to the present
-estimate, estimate again), started from coordinate-wise medians; a document is rejected if its Mahalanobis distance
-exceeds a chi-square quantile.
-
-Concentration steps are aggregations: distances by expressions, the share's limit by a mergeable percentile, moments by
-sums that are added up before the shuffle, so a source with a third of all rows is no single task's burden and every
-row counts. Only the moments of each group go through a small pandas function (a matrix inverse). Each coordinate's
-variance has a floor, below which differences are no evidence; so constant statistics and groups of a few rows are
-defined, and a group with fewer than `least` rows uses the estimate of all rows.
+rules becomes a vector of transformed statistics; for each (language, source) the minimum-covariance-determinant
+estimate of centre and scatter is sought: of all sets of `SHARE` of the rows, that whose scatter has the least
+determinant. From several deterministic starts, concentration steps (keep the share of rows nearest to the present
+estimate, estimate again) lower the determinant until it settles; the least of all starts is kept. A document is
+rejected if its squared Mahalanobis distance exceeds a chi-square quantile.
+
+Concentration steps are aggregations over all rows: distances by expressions, the share's limit by a mergeable
+percentile (off by a ten-thousandth of the rows at most), moments by sums that are added up before the shuffle, so a
+source with a third of all rows is no single task's burden. Only the moments of each group go through a small pandas
+function (a matrix inverse). Each coordinate's variance has a floor added, below which differences are no evidence (the
+determinant is that of the scatter with the floors, so constant statistics are defined). A group's estimate is that of
+its rows mixed with `LEAST` rows of the whole table's: groups of a few rows are judged by all rows, large ones by
+themselves, without a size at which one turns into the other.
 
 Edge cases: a null or empty text has zero statistics and fails the base rules (fewer than 20 words); null languages and
-sources are groups of their own; repeated rows count as often as they occur; an empty table gives an empty table; other
-columns are not read (`reject_outliers` passes them through).
+sources are groups of their own; repeated rows count as often as they occur; rows at equal distances at a share's limit
+all belong to it, and a distance equal to the cutoff is kept; very long texts are blocks of their own; an empty table
+gives an empty table; other columns are not read (`reject_outliers` passes them through, whatever their names).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks, carried, text_bytes, text_digests, without
@@ -37,16 +42,47 @@ STATISTICS = (*BASE, "n_same_words")
 WINDOW = 8
 #: The symbols that count, as bytes.
 SYMBOLS = b"#*$%&|<>"
-#: The share of a group's rows that an estimate rests on, and the number of concentration steps.
-SHARE, STEPS = 0.75, 4
-#: What the scatter of the nearest SHARE of normal rows in five dimensions is multiplied with, to be that of all rows.
-SCALE = 1.41
-#: Mahalanobis distance squared: the chi-square quantile of 1 - 1e-6 at 5 degrees of freedom.
-CUTOFF = 35.89
+#: The share of a group's rows that an estimate rests on.
+SHARE = 0.75
+
+
+def chi_square(x: float, freedom: int) -> float:
+    """The chi-square law's probability up to x, by the series of the incomplete gamma function."""
+    a, x = freedom / 2, x / 2
+    if x <= 0:
+        return 0.0
+    term = total = 1 / a
+    k = a
+    while term > total * 1e-17:
+        k += 1
+        term *= x / k
+        total += term
+    return total * math.exp(a * math.log(x) - x - math.lgamma(a))
+
+
+def chi_square_limit(share: float, freedom: int) -> float:
+    """Up to where the chi-square law has the probability `share`."""
+    low, high = 0.0, 10.0 * freedom + 100
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square(middle, freedom) < share else (low, middle)
+    return low
+
+
+def consistency(share: float, freedom: int) -> float:
+    """What the scatter of the nearest `share` of normal rows is multiplied with, to be that of all rows."""
+    return share / chi_square(chi_square_limit(share, freedom), freedom + 2) if share < 1 else 1.0
+
+
+#: A document is rejected from this squared distance on: one of a million normal ones.
+CUTOFF = chi_square_limit(1 - 1e-6, 5)
+#: A start has settled when a step lowers the log-determinant by less.
+SETTLED = 1e-4
 #: Least variance of each coordinate: word length (log), symbols a word (square root), repeated lines, repeated words, words
 #: equal to the one before (square root).
 FLOORS = (0.03**2, 0.12**2, 0.05**2, 0.06**2, 0.12**2)
-LEAST = 50
+#: A group of so many rows counts half in its estimate, and all rows the other half.
+LEAST = 20
 
 
 def base_block(data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
@@ -117,15 +153,18 @@ def _vector():
     return [F.log1p(F.col("word_chars") / n), F.sqrt(F.col("n_symbols") / n), F.col("n_dup_lines") / F.sqrt(n), F.col("n_repeat_words") / n, F.sqrt(F.col("n_same_words") / n)]
 
 
-def _moments(x: list[str], weight=None):
+def _products(x: list) -> list:
     """Aggregates: count, sums, sums of products."""
-    pick = (lambda c: c) if weight is None else (lambda c: F.when(weight, c))
-    out = [F.sum(pick(F.lit(1.0))).alias("w")] + [F.sum(pick(F.col(a))).alias(f"s_{i}") for i, a in enumerate(x)]
-    return out + [F.sum(pick(F.col(a) * F.col(b))).alias(f"p_{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if i <= j]
+    out = [F.count(x[0]).cast("double").alias("w")] + [F.sum(a).alias(f"s_{i}") for i, a in enumerate(x)]
+    return out + [F.sum(a * b).alias(f"p_{i}_{j}") for i, a in enumerate(x) for j, b in enumerate(x) if i <= j]
+
 
+ESTIMATE = "grp string, start int, centre array<double>, scatter array<double>, inverse array<double>, logdet double"
 
-def _estimate(rows: DataFrame, p: int, floors: tuple[float, ...]) -> DataFrame:
-    """(group, centre array, inverse array): from moments, by a p x p inverse for each group."""
+
+def _estimates(moments: DataFrame, floors: tuple[float, ...], how: Callable[[dict, np.ndarray, np.ndarray], Iterator[tuple[int, np.ndarray, np.ndarray]]]) -> DataFrame:
+    """ESTIMATE of each row of moments: how(row, mean, covariance) gives (start, centre, scatter)s."""
+    p, unit = len(floors), np.sqrt(np.outer(floors, floors))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -133,14 +172,21 @@ def _estimate(rows: DataFrame, p: int, floors: tuple[float, ...]) -> DataFrame:
             for r in pdf.to_dict("records"):
                 w = max(r["w"] or 0.0, 1.0)
                 m = np.array([r[f"s_{i}"] or 0.0 for i in range(p)]) / w
-                c = np.array([[r[f"p_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)]) / w - np.outer(m, m)
-                c = (c + c.T) / 2
-                values, vectors = np.linalg.eigh(c / np.sqrt(np.outer(floors, floors)))
-                inverse = (vectors / (np.maximum(values, 0) * r["scale"] + 1.0)) @ vectors.T / np.sqrt(np.outer(floors, floors))
-                out.append((r["grp"], m.tolist(), inverse.ravel().tolist()))
-            yield pd.DataFrame(out, columns=["grp", "centre", "inverse"])
+                c = np.array([[r[f"p_{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(p)] for i in range(p)]) / w
+                for start, centre, scatter in how(r, m, c):
+                    inverse, logdet = _inverse(scatter, unit)
+                    out.append((r["grp"], start, centre.tolist(), scatter.ravel().tolist(), inverse.ravel().tolist(), logdet))
+            yield pd.DataFrame(out, columns=["grp", "start", "centre", "scatter", "inverse", "logdet"])
 
-    return rows.mapInPandas(run, "grp string, centre array<double>, inverse array<double>")
+    return moments.mapInPandas(run, ESTIMATE)
+
+
+def _inverse(scatter: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, float]:
+    """Inverse and log-determinant (in units of the floors) of the scatter with the floors added to its diagonal."""
+    scatter = (scatter + scatter.T) / 2
+    values, vectors = np.linalg.eigh(scatter / unit)
+    values = np.maximum(values, 0) + 1.0
+    return (vectors / values) @ vectors.T / unit, float(np.log(values).sum())
 
 
 def _distance(x: list[str]):
@@ -149,28 +195,105 @@ def _distance(x: list[str]):
     return sum((d[i] * d[j] * F.col("inverse")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
 
 
-def mcd(vectors: DataFrame, scratch: Scratch, x: list[str], floors: tuple[float, ...] = FLOORS, share: float = SHARE, steps: int = STEPS, scale: float = SCALE, least: int = LEAST) -> DataFrame:
-    """(grp, centre, inverse): robust centre and inverse scatter for each grp of `vectors` (columns grp and x)."""
-    rows = vectors.select("grp", *x)
-    both = rows.unionByName(rows.withColumn("grp", F.lit("*")))  # "*": all rows, for small groups
-    start = both.groupBy("grp").agg(F.count("*").alias("n"), *(F.percentile_approx(a, 0.5, 2000).alias(f"m_{i}") for i, a in enumerate(x)))
+def _starts(rows: DataFrame, scratch: Scratch, x: list[str], floors: tuple[float, ...], scale: float) -> DataFrame:
+    """ESTIMATE of five starts for each group, without drawing rows.
+
+    Medians with the floors, medians with the squared median deviations, all rows' moments, and medians with two robust
+    correlations: of the standardised values' hyperbolic tangents, and of their directions.
+    """
     p = len(x)
-    first = F.array(*[F.col(f"m_{i}") for i in range(p)])
-    unit = F.array(*[F.lit(1.0 / floors[i] if i == j else 0.0) for i in range(p) for j in range(p)])
-    now = scratch.write(start.select("grp", "n", first.alias("centre"), unit.alias("inverse")), "start")
-    sizes = now.select("grp", "n")
-    for k in range(steps):
-        far = both.join(now.select("grp", "centre", "inverse"), "grp").withColumn("d", _distance(x))
-        # written, so that its size is known: rows of a group are joined where they are unless there are very many groups
-        limit = scratch.write(far.groupBy("grp").agg(F.percentile_approx("d", share, 2000).alias("limit")), f"limit{k % 2}")
-        near = far.join(limit, "grp")
-        moments = near.groupBy("grp").agg(*_moments(x, F.col("d") <= F.col("limit"))).withColumn("scale", F.lit(scale))
-        now = scratch.write(_estimate(moments, p, floors), f"step{k % 2}")
-    found = now.join(sizes, "grp")
-    all_rows = found.where("grp = '*'").select(F.col("centre").alias("c0"), F.col("inverse").alias("i0"), F.lit(0).alias("z"))
-    small = F.col("n") < least
-    groups = found.where("grp != '*'").withColumn("z", F.lit(0)).join(F.broadcast(all_rows), "z", "left")  # one row
-    return groups.select("grp", F.when(small, F.col("c0")).otherwise(F.col("centre")).alias("centre"), F.when(small, F.col("i0")).otherwise(F.col("inverse")).alias("inverse"))
+    middle = rows.groupBy("grp").agg(*(F.percentile_approx(a, 0.5, 2000).alias(f"m_{i}") for i, a in enumerate(x)))
+    middle = scratch.write(middle, "middle")
+    near = rows.join(middle, "grp")
+    spread = near.groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{i}")), 0.5, 2000).alias(f"d_{i}") for i, a in enumerate(x)))
+    known = scratch.write(middle.join(spread, "grp"), "spread")
+    # a median deviation of normal values is 0.6745 of their standard deviation; the floor keeps it from zero
+    z = [(F.col(a) - F.col(f"m_{i}")) / F.sqrt(F.pow(F.col(f"d_{i}") / 0.6745, 2) + floors[i]) for i, a in enumerate(x)]
+    some = rows.join(known, "grp")
+    length = F.sqrt(sum((v * v for v in z), F.lit(0.0)))
+    names = [f"m_{i}" for i in range(p)] + [f"d_{i}" for i in range(p)]
+    keep = [F.first(c).alias(c) for c in names]
+    kinds = {"own": [F.col(a) for a in x], "tanh": [F.tanh(v) for v in z], "turn": [F.when(length > 0, v / length).otherwise(0.0) for v in z]}
+    moments = None
+    for kind, values in kinds.items():
+        part = some.groupBy("grp").agg(*_products(values), *keep).withColumn("kind", F.lit(kind))
+        moments = part if moments is None else moments.unionByName(part)
+
+    def how(r: dict, m: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        median = np.array([r[f"m_{i}"] or 0.0 for i in range(p)])
+        deviation = np.sqrt((np.array([r[f"d_{i}"] or 0.0 for i in range(p)]) / 0.6745) ** 2 + np.array(floors))
+        if r["kind"] == "own":
+            yield 0, median, np.zeros((p, p))
+            yield 1, median, np.diag(deviation**2)
+            yield 2, m, c - np.outer(m, m)
+            return
+        c = c - np.outer(m, m) if r["kind"] == "tanh" else c
+        size = np.sqrt(np.maximum(np.diag(c), 1e-12))
+        yield 3 if r["kind"] == "tanh" else 4, median, c / np.outer(size, size) * np.outer(deviation, deviation)
+
+    return _estimates(moments, floors, how)
+
+
+def _concentrated(rows: DataFrame, now: DataFrame, scratch: Scratch, x: list[str], floors: tuple[float, ...], share: float, scale: float, tag: str) -> DataFrame:
+    """ESTIMATE after one step: of the `share` of a group's rows that are nearest by the present one."""
+    far = rows.join(now.select("grp", "start", "centre", "inverse"), "grp").withColumn("d", _distance(x))
+    # written, so that its size is known: rows of a group are joined where they are unless there are very many groups
+    limit = scratch.write(far.groupBy("grp", "start").agg(F.percentile_approx("d", share, 10_000).alias("limit")), f"limit{tag}")
+    near = far.join(limit, ["grp", "start"]).where(F.col("d") <= F.col("limit"))
+    moments = near.groupBy("grp", "start").agg(*_products([F.col(a) for a in x]))
+
+    def how(r: dict, m: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        yield int(r["start"]), m, (c - np.outer(m, m)) * scale
+
+    return scratch.write(_estimates(moments, floors, how), f"step{tag}")
+
+
+def mcd(vectors: DataFrame, scratch: Scratch, x: list[str], floors: tuple[float, ...] = FLOORS, share: float = SHARE, least: int = LEAST, most_steps: int = 100) -> DataFrame:
+    """(grp, centre, inverse): robust centre and inverse scatter for each grp of `vectors` (columns grp and x).
+
+    Of all starts two steps are made, of the two with the least determinants as many as it takes to settle; the least
+    determinant of all wins.
+    """
+    scale = consistency(share, len(x))
+    rows = vectors.select("grp", *x)
+    rows = rows.unionByName(rows.withColumn("grp", F.lit("*")))  # "*": all rows
+    sizes = scratch.write(rows.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
+    now = scratch.write(_starts(rows, scratch, x, floors, scale), "starts")
+    for k in range(2):
+        now = _concentrated(rows, now, scratch, x, floors, share, scale, f"a{k}")
+    rank = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))
+    now = scratch.write(now.withColumn("k", rank).where("k <= 2").drop("k"), "chosen")
+    found = [now]
+    for k in range(most_steps):
+        after = _concentrated(rows, now, scratch, x, floors, share, scale, f"b{k}")
+        found.append(after)
+        before = now.select("grp", "start", F.col("logdet").alias("before"))
+        now = after.join(before, ["grp", "start"]).where(F.col("before") - F.col("logdet") >= SETTLED).drop("before")
+        if now.isEmpty():
+            break
+    else:
+        raise RuntimeError("the determinants have not settled")
+    every = found[0]
+    for other in found[1:]:
+        every = every.unionByName(other)
+    best = every.groupBy("grp").agg(F.min_by(F.struct("centre", "scatter"), F.struct("logdet", "start")).alias("e")).join(sizes, "grp").select("grp", "n", "e.centre", "e.scatter")
+    best = scratch.write(best, "best")
+    whole = best.where("grp = '*'").select(F.col("centre").alias("c0"), F.col("scatter").alias("s0"), F.lit(0).alias("z"))
+    own = best.where("grp != '*'").withColumn("z", F.lit(0)).join(F.broadcast(whole), "z", "left").drop("z")  # one row
+    p, unit = len(x), np.sqrt(np.outer(floors, floors))
+
+    def mixed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A group's rows and `least` rows of all: the mixture's centre and scatter."""
+        for pdf in batches:
+            out = []
+            for r in pdf.to_dict("records"):
+                w = r["n"] / (r["n"] + least)
+                apart = np.array(r["centre"]) - np.array(r["c0"])
+                scatter = w * np.array(r["scatter"]).reshape(p, p) + (1 - w) * np.array(r["s0"]).reshape(p, p) + w * (1 - w) * np.outer(apart, apart)
+                out.append((r["grp"], (np.array(r["c0"]) + w * apart).tolist(), _inverse(scatter, unit)[0].ravel().tolist()))
+            yield pd.DataFrame(out, columns=["grp", "centre", "inverse"])
+
+    return own.mapInPandas(mixed, "grp string, centre array<double>, inverse array<double>")
 
 
 _X = [f"__x{i}" for i in range(len(FLOORS))]
