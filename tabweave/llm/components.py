@@ -7,7 +7,7 @@ Nothing is collected but a count and a checksum.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -28,8 +28,10 @@ def connected_components(links: DataFrame, scratch: Scratch, most_rounds: int =
         # u > v now; small star: the lower neighbours of u, and u itself, go to the least of them
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        now = scratch.write(small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), f"cc{k % 2 + 1}")
-        state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        seen = Observation()
+        after = small.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+        now = scratch.write(after.observe(seen, F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum")), f"cc{k % 2 + 1}")
+        state = (seen.get["n"], seen.get["sum"])
         if state == before:
             break
         before = state

@@ -3,7 +3,7 @@
 Base statistics come from one vectorised pass over the text bytes. The method: every document that passes the base
 rules becomes a vector of transformed statistics; for each (language, source) the minimum-covariance-determinant
 estimate of centre and scatter is sought: of all sets of `SHARE` of the rows, that whose scatter has the least
-determinant. From several deterministic starts, concentration steps (keep the share of rows nearest to the present
+determinant. From three deterministic starts, concentration steps (keep the share of rows nearest to the present
 estimate, estimate again) lower the determinant until it settles; the least of all starts is kept. A document is
 rejected if its squared Mahalanobis distance exceeds a chi-square quantile.
 
@@ -29,10 +29,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, carried, text_bytes, text_digests, without
+from .common import Scratch, blocks, carried, text_bytes
 from .kernel import Words, mix, span_hashes, windows
 
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -192,44 +192,25 @@ def _inverse(scatter: np.ndarray, unit: np.ndarray) -> tuple[np.ndarray, float]:
 def _distance(x: list[str]):
     p = len(x)
     d = [F.col(a) - F.col("centre")[i] for i, a in enumerate(x)]
-    return sum((d[i] * d[j] * F.col("inverse")[i * p + j] for i in range(p) for j in range(p)), F.lit(0.0))
+    return sum((d[i] * d[j] * F.col("inverse")[i * p + j] * (1.0 if i == j else 2.0) for i in range(p) for j in range(i, p)), F.lit(0.0))
 
 
-def _starts(rows: DataFrame, scratch: Scratch, x: list[str], floors: tuple[float, ...], scale: float) -> DataFrame:
-    """ESTIMATE of five starts for each group, without drawing rows.
+def _starts(rows: DataFrame, scratch: Scratch, x: list[str], floors: tuple[float, ...]) -> DataFrame:
+    """ESTIMATE of three starts for each group, without drawing rows.
 
-    Medians with the floors, medians with the squared median deviations, all rows' moments, and medians with two robust
-    correlations: of the standardised values' hyperbolic tangents, and of their directions.
+    Medians with the floors, medians with the squared median deviations, and all rows' mean and scatter.
     """
     p = len(x)
-    middle = rows.groupBy("grp").agg(*(F.percentile_approx(a, 0.5, 2000).alias(f"m_{i}") for i, a in enumerate(x)))
-    middle = scratch.write(middle, "middle")
-    near = rows.join(middle, "grp")
-    spread = near.groupBy("grp").agg(*(F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{i}")), 0.5, 2000).alias(f"d_{i}") for i, a in enumerate(x)))
-    known = scratch.write(middle.join(spread, "grp"), "spread")
-    # a median deviation of normal values is 0.6745 of their standard deviation; the floor keeps it from zero
-    z = [(F.col(a) - F.col(f"m_{i}")) / F.sqrt(F.pow(F.col(f"d_{i}") / 0.6745, 2) + floors[i]) for i, a in enumerate(x)]
-    some = rows.join(known, "grp")
-    length = F.sqrt(sum((v * v for v in z), F.lit(0.0)))
-    names = [f"m_{i}" for i in range(p)] + [f"d_{i}" for i in range(p)]
-    keep = [F.first(c).alias(c) for c in names]
-    kinds = {"own": [F.col(a) for a in x], "tanh": [F.tanh(v) for v in z], "turn": [F.when(length > 0, v / length).otherwise(0.0) for v in z]}
-    moments = None
-    for kind, values in kinds.items():
-        part = some.groupBy("grp").agg(*_products(values), *keep).withColumn("kind", F.lit(kind))
-        moments = part if moments is None else moments.unionByName(part)
+    middle = scratch.write(rows.groupBy("grp").agg(*(F.percentile_approx(a, 0.5, 2000).alias(f"m_{i}") for i, a in enumerate(x))), "middle")
+    spread = [F.percentile_approx(F.abs(F.col(a) - F.col(f"m_{i}")), 0.5, 2000).alias(f"d_{i}") for i, a in enumerate(x)]
+    moments = rows.join(middle, "grp").groupBy("grp").agg(*_products([F.col(a) for a in x]), *spread, *[F.first(f"m_{i}").alias(f"m_{i}") for i in range(p)])
 
     def how(r: dict, m: np.ndarray, c: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         median = np.array([r[f"m_{i}"] or 0.0 for i in range(p)])
-        deviation = np.sqrt((np.array([r[f"d_{i}"] or 0.0 for i in range(p)]) / 0.6745) ** 2 + np.array(floors))
-        if r["kind"] == "own":
-            yield 0, median, np.zeros((p, p))
-            yield 1, median, np.diag(deviation**2)
-            yield 2, m, c - np.outer(m, m)
-            return
-        c = c - np.outer(m, m) if r["kind"] == "tanh" else c
-        size = np.sqrt(np.maximum(np.diag(c), 1e-12))
-        yield 3 if r["kind"] == "tanh" else 4, median, c / np.outer(size, size) * np.outer(deviation, deviation)
+        yield 0, median, np.zeros((p, p))
+        # a median deviation of normal values is 0.6745 of their standard deviation
+        yield 1, median, np.diag([((r[f"d_{i}"] or 0.0) / 0.6745) ** 2 for i in range(p)])
+        yield 2, m, c - np.outer(m, m)
 
     return _estimates(moments, floors, how)
 
@@ -251,21 +232,17 @@ def _concentrated(rows: DataFrame, now: DataFrame, scratch: Scratch, x: list[str
 def mcd(vectors: DataFrame, scratch: Scratch, x: list[str], floors: tuple[float, ...] = FLOORS, share: float = SHARE, least: int = LEAST, most_steps: int = 100) -> DataFrame:
     """(grp, centre, inverse): robust centre and inverse scatter for each grp of `vectors` (columns grp and x).
 
-    Of all starts two steps are made, of the two with the least determinants as many as it takes to settle; the least
-    determinant of all wins.
+    From every start steps are made until its determinant settles; the least determinant of all wins.
     """
     scale = consistency(share, len(x))
     rows = vectors.select("grp", *x)
     rows = rows.unionByName(rows.withColumn("grp", F.lit("*")))  # "*": all rows
     sizes = scratch.write(rows.groupBy("grp").agg(F.count("*").alias("n")), "sizes")
-    now = scratch.write(_starts(rows, scratch, x, floors, scale), "starts")
-    for k in range(2):
-        now = _concentrated(rows, now, scratch, x, floors, share, scale, f"a{k}")
-    rank = F.row_number().over(Window.partitionBy("grp").orderBy("logdet", "start"))
-    now = scratch.write(now.withColumn("k", rank).where("k <= 2").drop("k"), "chosen")
-    found = [now]
-    for k in range(most_steps):
-        after = _concentrated(rows, now, scratch, x, floors, share, scale, f"b{k}")
+    now = scratch.write(_starts(rows, scratch, x, floors), "starts")
+    now, found = _concentrated(rows, now, scratch, x, floors, share, scale, "0"), []
+    found.append(now)
+    for k in range(1, most_steps):
+        after = _concentrated(rows, now, scratch, x, floors, share, scale, f"{k}")
         found.append(after)
         before = now.select("grp", "start", F.col("logdet").alias("before"))
         now = after.join(before, ["grp", "start"]).where(F.col("before") - F.col("logdet") >= SETTLED).drop("before")
@@ -320,12 +297,15 @@ def judged(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
 
 
 def reject_outliers(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", source_col: str = "source", cutoff: float = CUTOFF) -> DataFrame:
-    """The documents that are kept, all columns, whatever their names."""
+    """The documents that are kept, all columns, whatever their names.
+
+    The texts are read twice, for the estimates and for the verdicts, instead of being shuffled.
+    """
     scratch = Scratch(docs.sparkSession, "quality")
-    text = F.col(text_col).cast("string")
-    plain = docs.select(F.col(lang_col).alias("lang"), F.col(source_col).alias("source"), *text_digests(text), text.alias("text"))
-    stats = scratch.write(_grouped(base_statistics(plain, "text", ("lang", "source", "d1", "d2")), "lang", "source"), "stats")
-    found = _verdicts(stats, mcd(stats.where(~F.col("base_failed")), scratch, _X), cutoff)
-    rejected = scratch.write(found.where(~F.col("kept")).select("d1", "d2", F.col("lang").alias(lang_col), F.col("source").alias(source_col)).distinct(), "rejected")
-    scratch.drop("stats")
-    return without(docs, rejected, text_col, (lang_col, source_col))
+    own = [f"__own_{k}" for k in range(len(docs.columns))]
+    plain = docs.toDF(*own)
+    lang, source, text = (own[docs.columns.index(c)] for c in (lang_col, source_col, text_col))
+    stats = scratch.write(_grouped(base_statistics(plain, text, (lang, source)), lang, source), "stats")
+    estimates = scratch.write(mcd(stats.where(~F.col("base_failed")), scratch, _X), "estimates")
+    again = _grouped(base_statistics(plain, text, tuple(own)), lang, source)
+    return _verdicts(again, estimates, cutoff).where("kept").select(*own).toDF(*docs.columns)

@@ -189,12 +189,12 @@ def shingled(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataF
                 met.clear()
             lists = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(tokens))
             lists = pc.if_else(pa.array(new), lists, pa.scalar(None, lists.type))
-            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *(pa.array(k, pa.int64()) for k in keys), pa.array(fps), pa.array(np.diff(offsets).astype(np.int32)), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(similar.MAP)), lists], ["id", "d1", "d2", "k1", "k2", "fp", "n", *similar.BITMAP, "shingles"])
+            yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(3)), *(pa.array(k, pa.int64()) for k in keys), pa.array(fps), pa.array(np.diff(offsets).astype(np.int32)), pa.array(maps, pa.binary()), lists], ["id", "d1", "d2", "k1", "k2", "fp", "n", "bitmap", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     text = F.col(text_col).cast("string")
     plain = docs.select(F.col(id_col).alias("id"), *text_digests(text), text.alias("text"))
-    return plain.mapInArrow(run, f"id {kind}, d1 long, d2 long, k1 long, k2 long, fp long, n int, {', '.join(f'{b} long' for b in similar.BITMAP)}, shingles array<int>")
+    return plain.mapInArrow(run, f"id {kind}, d1 long, d2 long, k1 long, k2 long, fp long, n int, bitmap binary, shingles array<int>")
 
 
 def near_copies(docs: DataFrame, scratch: Scratch, id_col: str, text_col: str, shingle: int, similarity: float, bits: int = 3) -> tuple[DataFrame, DataFrame]:
@@ -233,7 +233,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     m, k = rows.alias("m"), keepers.alias("k")
     same = lambda a, b: F.col(f"{a}.id").eqNullSafe(F.col(f"{b}.id")) & (F.col(f"{a}.d1") == F.col(f"{b}.d1")) & (F.col(f"{a}.d2") == F.col(f"{b}.d2"))
     keepers = scratch.write(m.join(k, same("m", "k")).select("m.*"), "keepers")
-    scratch.drop("shingled", "full", "held", "pairs", "more")
+    scratch.drop("shingled", "full", "mixed", "held", "more")
     names = [f"c{k}" for k in range(len(docs.columns))]
     at, own_id = names[docs.columns.index(text_col)], names[docs.columns.index(id_col)]
     plain = docs.toDF(*names)

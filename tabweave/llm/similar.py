@@ -6,11 +6,12 @@ n - ceil(s * n) + k shingles of each (k grows with the smaller set, `several`).
 come last in that order, which decides about the number of candidates only. Candidates are bounded from above by their
 sizes and by the places of a common shingle; what is left is verified on the whole sets. So no pair is lost.
 
-A shingle that begins more than `hot` sets makes no rows of all pairs. In some rounds its sets are compared with one of
-them, a different one each time, which connects a group of copies. Shingles whose sets are of one class by then are done;
-of the others, the sets outside the shingle's largest class are compared with all of other classes, in blocks, by parity
-bitmaps (a set's shingles flip bits of 256; two bitmaps differ in no more bits than the sets in shingles), and what the
-bitmaps allow is verified. That last step is quadratic in sets that share a frequent prefix shingle and are not similar.
+A shingle that begins more than `hot` sets makes no rows of all pairs. Its sets are compared with one of them, which
+connects a group of copies. Shingles whose sets are of one class by then are done; of the others, the sets outside the
+shingle's largest class are compared with all of other classes, block against block, in tasks that return spanning
+forests: first by parity bitmaps (a set's shingles flip bits; two bitmaps differ in no more bits than the sets in
+shingles), then by the whole sets. That last step is quadratic in sets that share a frequent prefix shingle and are not
+of one class.
 """
 
 from __future__ import annotations
@@ -31,9 +32,8 @@ from .kernel import Words, windows
 SAMPLE, OFTEN, MOST = 16, 3, 200_000
 #: Sets of so many shingles need one more common shingle in their prefixes.
 SEVERAL = 16
-#: Longs of a parity bitmap.
-MAP = 4
-BITMAP = tuple(f"b{k}" for k in range(MAP))
+#: Bits of a parity bitmap.
+MAP = 1024
 
 
 def shingle_hashes(column: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -64,12 +64,13 @@ def sets_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndar
     return keys.astype(np.uint32).view(np.int32), np.concatenate(([0], np.cumsum(sizes)))
 
 
-def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Each row's parity bitmap: MAP longs."""
-    rows, bits = len(offsets) - 1, 64 * MAP
+def bitmaps(tokens: np.ndarray, offsets: np.ndarray) -> list[bytes]:
+    """Each row's parity bitmap."""
+    rows, size = len(offsets) - 1, MAP // 8
     row = np.repeat(np.arange(rows), np.diff(offsets))
-    odd = np.bincount(row * bits + (tokens.view(np.uint32) % np.uint32(bits)), minlength=rows * bits) & 1
-    return np.packbits(odd.astype(np.uint8).reshape(rows, bits), axis=1, bitorder="little").view("<i8")
+    odd = np.bincount(row * MAP + (tokens.view(np.uint32) % np.uint32(MAP)), minlength=rows * MAP) & 1
+    packed = np.packbits(odd.astype(np.uint8)).tobytes()
+    return [packed[k * size : (k + 1) * size] for k in range(rows)]
 
 
 def several(n: Column) -> Column:
@@ -133,19 +134,22 @@ def _labelled(full: DataFrame, labels: DataFrame) -> DataFrame:
     return own.join(mixed, "token")
 
 
-def star_pairs(full: DataFrame, labels: DataFrame, turn: int, least: float) -> DataFrame:
-    """(u, v): every set of a crowded shingle with one of them, if they are of different classes."""
-    own = _labelled(full, labels)
-    centre = own.groupBy("token").agg(F.min(F.struct(F.xxhash64("sid", F.lit(turn)).alias("h"), "sid", "n", "label")).alias("c")).select("token", F.col("c.sid").alias("v"), F.col("c.n").alias("m"), F.col("c.label").alias("other"))
-    met = own.join(centre, "token").where((F.col("label") != F.col("other")) & _near_in_size(F.col("n"), F.col("m"), least))
-    return met.select(F.least("sid", "v").alias("u"), F.greatest("sid", "v").alias("v")).distinct()
+def star_pairs(full: DataFrame, least: float) -> DataFrame:
+    """(u, v): every set of a crowded shingle with one of them."""
+    centre = full.groupBy("token").agg(F.min(F.struct("sid", "n")).alias("c")).select("token", F.col("c.sid").alias("u"), F.col("c.n").alias("m"))
+    met = full.join(centre, "token").where((F.col("sid") != F.col("u")) & _near_in_size(F.col("n"), F.col("m"), least))
+    return met.select("u", F.col("sid").alias("v")).distinct()
 
 
-def crossing_pairs(full: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, least: float, block: int = 4_096) -> DataFrame:
-    """(u, v): the pairs of different classes of crowded shingles that the bitmaps allow."""
-    own = scratch.write(_labelled(full, labels).join(sets.select("sid", *BITMAP), "sid"), "mixed")
+def crossing_links(full: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, least: float, block: int = 2_048) -> DataFrame | None:
+    """(u, v): links that connect what is similar and of different classes within crowded shingles; None if there is none of the kind."""
+    own = scratch.write(_labelled(full, labels), "mixed")
+    if own.isEmpty():
+        return None
     counts = own.groupBy("token", "label").agg(F.count("*").alias("c"))
     main = counts.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("c")).select("token", F.col("m.label").alias("main"), F.ceil(F.col("m.c") / block).cast("int").alias("nm"), F.ceil((F.col("c") - F.col("m.c")) / block).cast("int").alias("nr"))
+    needed = scratch.write(own.select("sid").distinct(), "needed")
+    carried = sets.select("sid", "bitmap", "shingles").join(needed, "sid", "left_semi")
     own = own.join(main, "token").withColumn("rest", F.col("label") != F.col("main"))
     mine = F.pmod(F.xxhash64("sid"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int")
     # the rest meets every block of the main class (i counts down from -1), and itself block against block
@@ -154,45 +158,52 @@ def crossing_pairs(full: DataFrame, labels: DataFrame, sets: DataFrame, scratch:
         F.col("rest"),
         F.concat(F.transform(F.sequence(F.lit(0), F.col("nm") - 1), lambda b: to(-1 - b, F.col("mine"))), F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda b: to(F.least(b, F.col("mine")), F.greatest(b, F.col("mine"))))),
     ).otherwise(F.transform(F.sequence(F.lit(0), F.col("nr") - 1), lambda b: to(-1 - F.col("mine"), b)))
-    dealt = own.withColumn("mine", mine).select("token", "sid", "label", "n", *BITMAP, "rest", "mine", F.explode(places).alias("p")).select("*", F.col("p.i").alias("i"), F.col("p.j").alias("j")).drop("p")
+    dealt = own.withColumn("mine", mine).select("token", "sid", "label", "n", "rest", "mine", F.explode(places).alias("p")).select("token", "sid", "label", "n", "rest", "mine", "p.i", "p.j").join(carried, "sid")
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
         mine, sid, n, label = (table[c].to_numpy() for c in ("mine", "sid", "n", "label"))
-        rest = table["rest"].to_numpy(zero_copy_only=False) if isinstance(table["rest"], pa.Array) else np.array(table["rest"].to_pylist(), bool)
-        bits = np.stack([table[c].to_numpy() for c in BITMAP], axis=1).view(np.uint64)
+        rest = table["rest"].to_numpy().astype(bool)
+        bits = np.frombuffer(b"".join(table["bitmap"].to_pylist()), np.uint64).reshape(len(sid), -1)
+        lists = table["shingles"].combine_chunks()
+        lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
+        bounds, tokens = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint32)  # sorted as such
+        root = np.unique(label, return_inverse=True)[1]
         one, two = table["i"][0].as_py(), table["j"][0].as_py()
-        p, q = np.flatnonzero(rest & (mine == two)), np.flatnonzero(~rest if one < 0 else mine == one)
-        us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        p, q = np.flatnonzero(rest & (mine == two)), np.flatnonzero(~rest if one < 0 else rest & (mine == one))
+        out = []
         for x in p:
-            ys = q[(label[q] != label[x]) & (np.minimum(n[q], n[x]) >= least * np.maximum(n[q], n[x]) - 1e-9)]
+            ys = q[(root[q] != root[x]) & (np.minimum(n[q], n[x]) >= least * np.maximum(n[q], n[x]) - 1e-9)]
             ys = ys[np.bitwise_count(bits[ys] ^ bits[x]).sum(1) <= (1 - least) / (1 + least) * (n[ys] + n[x]) + 1e-9]
-            us.append(np.minimum(sid[ys], sid[x])), vs.append(np.maximum(sid[ys], sid[x]))
-        return pa.table({"u": np.concatenate(us), "v": np.concatenate(vs)})
+            if not len(ys):
+                continue
+            own, sizes = tokens[bounds[x] : bounds[x + 1]], n[ys].astype(np.int64)
+            ends = np.cumsum(sizes)
+            others = tokens[np.arange(ends[-1]) - np.repeat(ends - sizes, sizes) + np.repeat(bounds[ys], sizes)]
+            held = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+            both = np.add.reduceat(held, ends - sizes, dtype=np.int64)
+            for y in ys[both >= least * (sizes + len(own) - both) - 1e-9]:
+                if root[x] != root[y]:
+                    out.append((min(sid[x], sid[y]), max(sid[x], sid[y])))
+                    root[root == root[y]] = root[x]
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
 
     return dealt.groupBy("token", "i", "j").applyInArrow(compare, "u long, v long").distinct()
 
 
-def classes(sets: DataFrame, first: DataFrame, scratch: Scratch, least: float = 0.8, hot: int = 64, rounds: int = 3) -> DataFrame:
+def classes(sets: DataFrame, first: DataFrame, scratch: Scratch, least: float = 0.8, hot: int = 64) -> DataFrame:
     """(node, label) of the sets that are connected by pairs of similarity `least` or more; first: pairs to look at besides."""
     rows = scratch.write(prefixes(sets, least), "prefixes")
     crowded = scratch.write(rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > hot).select("token"), "crowded")
     full = scratch.write(rows.join(crowded, "token").select("token", "sid", "n"), "full")
-    none = sets.sparkSession.createDataFrame([], "node long, label long")
-    pairs = rare_pairs(rows, crowded, least).unionByName(first).unionByName(star_pairs(full, none, 0, least)).distinct()
-    pairs = scratch.write(pairs, "pairs")
+    pairs = scratch.write(rare_pairs(rows, crowded, least).unionByName(first).unionByName(star_pairs(full, least)).distinct(), "pairs")
     scratch.drop("prefixes")
     held = scratch.write(verified(pairs, sets, scratch, least), "held")
     scratch.drop("pairs", "needed")
-    labels = scratch.write(connected_components(held, scratch), "labels0")
-    for turn in range(1, rounds + 1):
-        # links of a round connect what the classes before it left apart, so the classes' links need not be kept
-        last = turn == rounds
-        pairs = scratch.write(crossing_pairs(full, labels, sets, scratch, least) if last else star_pairs(full, labels, turn, least), "pairs")
-        if pairs.isEmpty():
-            if last or _labelled(full, labels).isEmpty():
-                break
-            continue
-        more = scratch.write(verified(pairs, sets, scratch, least), "more")
-        joined = labels.where("node != label").select(F.col("label").alias("u"), F.col("node").alias("v")).unionByName(more)
-        labels = scratch.write(connected_components(joined, scratch), f"labels{turn}")
-    return labels
+    labels = scratch.write(connected_components(held, scratch), "labels")
+    more = crossing_links(full, labels, sets, scratch, least)
+    if more is None:
+        return labels
+    # the new links connect what the classes left apart, so the classes' own links need not be kept
+    joined = labels.where("node != label").select(F.col("label").alias("u"), F.col("node").alias("v")).unionByName(scratch.write(more, "more"))
+    return scratch.write(connected_components(joined, scratch), "classes")

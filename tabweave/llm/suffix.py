@@ -372,9 +372,7 @@ def text_spans(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_c
     scratch.drop("hits")
     p, w = plain.alias("p"), wanted.alias("w")
     same = (F.col("p.d1") == F.col("w.d1")) & (F.col("p.d2") == F.col("w.d2")) & F.col("p.id").eqNullSafe(F.col("w.id"))
-    # few texts wanted are picked out where they are; many are dealt by the keys that both joins have
-    p = p.join(wanted.select("d1", "d2", "id").alias("w"), same, "left_semi")
-    whole = p.join(w, same).select("p.d1", "p.d2", "p.id", "p.text", "w.at")
+    whole = p.join(w.hint("merge"), same).select("p.d1", "p.d2", "p.id", "p.text", "w.at")
     array = whole.mapInArrow(_carrying_words(passage, seed, bits), f"key long, part int, dealt boolean, id {kind}, d1 long, d2 long, pos int, left binary, right binary")
     array = array.repartition("key", "part").sortWithinPartitions("key", "part", "right", *PLACE)
     found = scratch.write(array.mapInArrow(_matched(passage, bits), f"id {kind}, d1 long, d2 long, first boolean, begin int, end int, window binary, twice boolean"), "found")
@@ -453,6 +451,6 @@ def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at, own_id = docs.columns.index(text_col), names[docs.columns.index(id_col)]
     plain = docs.toDF(*names).withColumn(names[at], F.col(names[at]).cast("string"))
     p, f = plain.select("*", *text_digests(F.col(names[at]))).alias("p"), facts.alias("f")
-    joined = p.join(f, (F.col("p.d1") == F.col("f.d1")) & (F.col("p.d2") == F.col("f.d2")) & F.col(f"p.{own_id}").eqNullSafe(F.col("f.id")), "left").select(*[F.col(f"p.{c}") for c in names], "f.cuts", "f.copy")
+    joined = p.join(f.hint("merge"), (F.col("p.d1") == F.col("f.d1")) & (F.col("p.d2") == F.col("f.d2")) & F.col(f"p.{own_id}").eqNullSafe(F.col("f.id")), "left").select(*[F.col(f"p.{c}") for c in names], "f.cuts", "f.copy")
     schema = ", ".join(f"{c} {plain.schema[c].dataType.simpleString()}" for c in names)
     return joined.mapInArrow(_cut(at, len(names), passage), schema).toDF(*docs.columns)
