@@ -49,3 +49,14 @@ def test_few_rows_and_files(spark, tmp_path):
     assert sharding.hilbert_shards(df.limit(0)).count() == 0
     sharding.write_shards(out, str(tmp_path / "s"))
     assert spark.read.parquet(str(tmp_path / "s")).count() == 3
+
+
+def test_long_common_prefixes_keep_a_dimension(spark):
+    r = random.Random(1)
+    rows = [(i, "t", r.choice(["en", "de"]), f"https://www.example.org/sources/{r.randint(0, 49):02d}", r.randint(1, 5000)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = sharding.hilbert_shards(df).groupBy("shard").agg(F.min("source").alias("a"), F.max("source").alias("z"), F.min("n_chars").alias("b"), F.max("n_chars").alias("y")).collect()
+    sources, sizes = sorted({x[3] for x in rows}), range(1, 5001, 100)
+    # files that a predicate of equality reads, by their bounds, of 16
+    assert sum(x.a <= s <= x.z for x in out for s in sources) / len(sources) < 8
+    assert sum(x.b <= n <= x.y for x in out for n in sizes) / len(sizes) < 8
