@@ -2,8 +2,8 @@
 
 A payload is written as rows (record, segment, bytes): the first row is the record itself, the others are WARC
 continuation records, which name their origin and number; the last one carries the total length. A row holds at most
-`CHUNK` payload bytes and an archive at most `RECORDS` rows, so an archive is small however large its records are, and a
-record may go on in another archive. Archives are text files whose rows end with the two line ends that end a WARC
+`CHUNK` payload bytes. An archive has so many rows that it holds some `ARCHIVE` bytes of mean rows, at most `ROWS`, so it
+is bounded (by ROWS * CHUNK) however large its records are, and a record may go on in another archive. Archives are text files whose rows end with the two line ends that end a WARC
 record, compressed; Spark's writer commits them task by task, so a lost executor leaves no half-written archive.
 
 Reading parses archives as streams. The digest and the length of a record of one segment are known where it is read; the
@@ -12,9 +12,11 @@ payload is never in a worker's memory. Both are held against the record's header
 an error.
 
 Records whose payloads are equal (length, SHA-1) and at least `LEAST` bytes long are written once: the one with the
-largest id; the others become revisit records without a payload, which name it.
+largest id; the others become revisit records without a payload, which name it. Who refers to whom is found on ids and
+digests alone.
 
-Edge cases: a null payload is empty; null and unusual urls are written as they can be (line ends are escaped); rows with
+Edge cases: a null payload is empty; null and unusual urls are written as they can be (line ends are escaped); ids are
+escaped and come back as they were; very long payloads are rows of at most CHUNK bytes; rows with
 a null id are records without an id and revisit like others, but are never referred to unless all of the group's ids are
 null, where all are responses; rows with equal id and payload are all responses if theirs is the largest id; an empty
 table writes no records; other columns are not read.
@@ -32,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch
 
-CHUNK, RECORDS, LEAST = 1 << 16, 128, 1000
+CHUNK, LEAST = 1 << 16, 1000
+#: Uncompressed bytes of an archive, by the mean row; most rows of an archive.
+ARCHIVE, ROWS = 1 << 26, 8_192
 #: Fixed value: the date of records whose table has none.
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n"
@@ -47,9 +51,9 @@ def digests(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html"
     return pages.select(F.col(id_col).alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
 
 
-def revisits(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html", least: int = LEAST) -> DataFrame:
-    """(id, digest, refers): the records whose payload another one holds."""
-    facts = digests(pages, id_col, payload_col).where(F.col("bytes") >= least)
+def revisits(facts: DataFrame, least: int = LEAST) -> DataFrame:
+    """(id, digest, refers): the records (id, digest, bytes) whose payload another one holds."""
+    facts = facts.where(F.col("bytes") >= least)
     groups = facts.groupBy("digest", "bytes").agg(F.max("id").alias("refers"), F.count("*").alias("n")).where("n > 1 and refers is not null")
     return facts.join(groups, ["digest", "bytes"]).where(~F.col("id").eqNullSafe(F.col("refers"))).select("id", "digest", "refers").distinct()
 
@@ -73,7 +77,9 @@ def record_text(rows: DataFrame) -> DataFrame:
     block = F.when(first, F.concat(http, F.col("body"))).otherwise(F.col("body"))
     name = lambda c: F.concat(F.lit("<urn:uuid:"), c, F.lit(">"))
     own = F.when(first, F.col("record")).otherwise(F.concat_ws("-", "record", F.col("segment").cast("string")))
-    url = F.replace(F.replace("url", F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    lines = lambda c: F.replace(F.replace(c, F.lit("\r"), F.lit("%0D")), F.lit("\n"), F.lit("%0A"))
+    escaped = lambda c: lines(F.replace(F.col(c).cast("string"), F.lit("%"), F.lit("%25")))
+    url = lines(F.col("url"))
     header = F.concat(
         F.lit(f"WARC/1.1{_END}"),
         _line("WARC-Type", F.when(~first, "continuation").when(F.col("refers").isNotNull(), "revisit").otherwise("response")),
@@ -85,8 +91,8 @@ def record_text(rows: DataFrame) -> DataFrame:
         _line("WARC-Segment-Number", F.when(F.col("segments") > 1, F.col("segment").cast("string"))),
         _line("WARC-Segment-Origin-ID", F.when(~first, name(F.col("record")))),
         _line("WARC-Segment-Total-Length", F.when((F.col("segments") > 1) & (F.col("segment") == F.col("segments")), (F.octet_length(http) + F.col("bytes")).cast("string"))),
-        _line("X-Id", F.col("id").cast("string")),
-        _line("X-Refers-To-Id", F.col("refers").cast("string")),
+        _line("X-Id", escaped("id")),
+        _line("X-Refers-To-Id", escaped("refers")),
         _line("X-Payload-Length", F.col("bytes").cast("string")),
         _line("Content-Type", F.when(first, "application/http;msgtype=response").otherwise("application/octet-stream")),
         F.lit("Content-Length: "), F.octet_length(block).cast("string"), F.lit(_END * 2),
@@ -94,29 +100,40 @@ def record_text(rows: DataFrame) -> DataFrame:
     return rows.select(F.concat(header.cast("binary"), block).cast("string").alias("value"))
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK, records: int = RECORDS, least: int = LEAST) -> None:
-    """Archives of all rows, in the folder `path`."""
-    rows = chunk_rows(pages, revisits(pages, id_col, payload_col, least), id_col, url_col, payload_col, chunk)
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", chunk: int = CHUNK, records: int | None = None, least: int = LEAST) -> None:
+    """Archives of all rows, in the folder `path`; records: rows of an archive (by default, what ARCHIVE bytes hold)."""
+    scratch = Scratch(pages.sparkSession, "warc")
+    facts = scratch.write(digests(pages, id_col, payload_col), "facts")
+    known = scratch.write(revisits(facts, least), "known")  # written, so that its size is known: few are sent to the payloads
+    if records is None:
+        rows = facts.agg(F.sum("bytes").alias("bytes"), F.sum(F.greatest(F.ceil(F.col("bytes") / chunk), F.lit(1))).alias("n")).first()
+        records = max(1, min(ROWS, int(ARCHIVE // (500 + (rows["bytes"] or 0) / max(1, rows["n"] or 0)))))
+    rows = chunk_rows(pages, known, id_col, url_col, payload_col, chunk)
     record_text(rows).write.mode("overwrite").option("lineSep", _END * 2).option("maxRecordsPerFile", records).option("compression", "gzip").text(path)
 
 
-def _bytes(content: bytes, step: int = 1 << 18) -> Iterator[bytes]:
-    """The archive's bytes, decompressed piece by piece; any number of compressed members."""
+def _bytes(content: memoryview, step: int = 1 << 18) -> Iterator[bytes]:
+    """The archive's bytes, decompressed piece by piece without a copy of the whole; any number of compressed members."""
+    content, at = memoryview(content), 0
     if content[:2] != b"\x1f\x8b":
         for k in range(0, len(content), step):
-            yield content[k : k + step]
+            yield bytes(content[k : k + step])
         return
-    rest = content
-    while rest:
-        stream, at = zlib.decompressobj(31), 0
-        while not stream.eof and at < len(rest):
-            out = stream.decompress(rest[at : at + step])
-            at += step
-            if out:
-                yield out
+    while at < len(content):
+        stream = zlib.decompressobj(31)
+        while not stream.eof and at < len(content):
+            piece = content[at : at + step]
+            while len(piece) and not stream.eof:
+                out = stream.decompress(piece, 4 * step)  # bounded, however well it was compressed
+                if out:
+                    yield out
+                piece = stream.unconsumed_tail
+            at = min(at + step, len(content))
+        while not stream.eof and (out := stream.decompress(b"", 4 * step)):
+            yield out
         if not stream.eof:
             raise ValueError("the archive ends within a compressed member")
-        rest = stream.unused_data + rest[at:]
+        at -= len(stream.unused_data)
 
 
 class Reader:
@@ -167,6 +184,11 @@ class Reader:
 FIELDS = "record string, segment int, id string, url string, type string, digest string, bytes long, refers string, total long, sha1 string, size long, body binary"
 
 
+def _plain(text: str | None) -> str | None:
+    """An id as it was before it was escaped."""
+    return text if text is None else text.replace("%0D", "\r").replace("%0A", "\n").replace("%25", "%")
+
+
 def _parsed(content: bytes) -> Iterator[tuple]:
     """A row for each record or continuation; the body only where a record has several segments."""
     reader = Reader(_bytes(content))
@@ -189,8 +211,8 @@ def _parsed(content: bytes) -> Iterator[tuple]:
                 digest.update(part)
         name = h["warc-segment-origin-id"] if go_on else h["warc-record-id"]
         yield (
-            name.removeprefix("<urn:uuid:").removesuffix(">"), int(h.get("warc-segment-number", 1)), h.get("x-id"), h.get("warc-target-uri"), None if go_on else h["warc-type"],
-            h.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(h["x-payload-length"]), h.get("x-refers-to-id"),
+            name.removeprefix("<urn:uuid:").removesuffix(">"), int(h.get("warc-segment-number", 1)), _plain(h.get("x-id")), h.get("warc-target-uri"), None if go_on else h["warc-type"],
+            h.get("warc-payload-digest", "").removeprefix("sha1:") or None, int(h["x-payload-length"]), _plain(h.get("x-refers-to-id")),
             int(h["warc-segment-total-length"]) if "warc-segment-total-length" in h else None, None if several else digest.hexdigest(), size, b"".join(body) if several else None,
         )
 
@@ -200,7 +222,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
             rows, held = [], 0
-            for row in _parsed(content.as_buffer().to_pybytes()):
+            for row in _parsed(memoryview(content.as_buffer())):
                 rows.append(row)
                 held += row[10] if row[11] is not None else 200
                 if held > 1 << 20:

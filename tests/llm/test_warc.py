@@ -64,3 +64,18 @@ def test_damage_is_found(spark):
             f.with_name(f".{f.name}.crc").unlink(missing_ok=True)
         with pytest.raises(Exception, match="differs|ends within|lacks"):
             warc.read_archives(spark, path).collect()
+
+
+def test_text_ids_come_back(spark):
+    ids = ["a\r\nWARC-Type: x", "%0D%", "", " lead", "é", "a: b", None]
+    df = spark.createDataFrame([(i, "u", "payload " * 200) for i in ids] + [("z", "u", "short")], "page_id string, url string, html string")
+    got = warc.round_trip(df).collect()
+    last = max(i for i in ids if i is not None)
+    assert sorted(((r.id, r.refers) for r in got), key=str) == sorted([(i, None if i == last else last) for i in ids] + [("z", None)], key=str)
+
+
+def test_archives_are_cut_by_bytes(spark):
+    df = spark.range(3000).selectExpr("id as page_id", "'u' as url", "concat(id, repeat('x', 200)) as html").coalesce(2)
+    path = Scratch(spark, "test").path("w")
+    warc.write_archives(df, path)
+    assert spark.read.format("binaryFile").load(path).count() <= 2
