@@ -115,7 +115,7 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
 def _bytes(content: memoryview, step: int = 1 << 18) -> Iterator[bytes]:
     """The archive's bytes, decompressed piece by piece without a copy of the whole; any number of compressed members."""
     content, at = memoryview(content), 0
-    if content[:2] != b"\x1f\x8b":
+    if bytes(content[:2]) != b"\x1f\x8b":
         for k in range(0, len(content), step):
             yield bytes(content[k : k + step])
         return
