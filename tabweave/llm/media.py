@@ -1,21 +1,24 @@
 """Media columns: copies of images, cropped or edited, by local descriptors.
 
 Corners (least eigenvalue of the structure tensor, local maxima) are found at several scales; each gets an orientation
-from its neighbourhood's intensity centroid and a descriptor of binary intensity tests in the turned neighbourhood.
-Descriptors meet in Hamming tables: one per band of bits, joined on equal bands, so near descriptors meet in some table.
-Matches of a pair of images vote for a similarity transform (turn, scale, shift); a pair is a copy if corners at
-enough different places of both images agree on one.
-
-Images with equal pixels are one image. A table entry that many images share (a group of copies, or a common texture)
-doesn't make rows of all pairs: its images meet their neighbours in the entry's order and its first image, which
-connects a group of copies. All images that have such an entry are then dealt to blocks, and every pair of blocks is
-compared in a task of its own by the same vote, without pairs that are of one class already; a task returns a spanning
-forest of its links. So no pair behind a common texture is missed, and rows are images times blocks (time is quadratic
-in the images that have crowded entries).
+from its neighbourhood's intensity centroid and a descriptor of `BANDS * BITS` binary intensity tests in the turned
+neighbourhood. Hamming tables: of a corner's bands of bits, the `KEPT` ones whose least certain test is most certain are
+table entries, so near descriptors are likely to have an entry in common. Two images with at least `MEET` common entries are
+compared: descriptors within `NEAR` bits match, matches vote for a similarity transform (turn, scale, shift), the
+transform is fitted to its votes by least squares, and the pair is a copy if corners at `AGREE` different places of both
+images lie within `OFF` pixels of where it puts them.
+
+Images with equal pixels are one image (128 bits). All pairs of an entry are made up to `CROWD` images. Of a larger one
+(a group of copies, or a common texture) every image is paired with one of them, which connects a group of copies. Entries
+whose images are of one class by then are done; of the others, the images outside the entry's largest class are compared
+with all of other classes, block against block, in tasks that return spanning forests. So every pair that meets in
+`MEET` entries is compared unless it is of one class already. That last step is quadratic in images that share an entry
+and are no copies.
 
 Edge cases: null or impossible pixels (wrong number of bytes, sides below `LEAST_SIDE`) and images without corners are
-classes of their own; null ids are rows with a class of null unless a copy has an id; repeated rows share a class; empty
-tables give empty tables; other columns are not read.
+classes of their own; very large images are described one at a time; ties between corners or bands go to the first;
+null ids are rows with a class of null unless a copy has an id; repeated rows share a class; empty tables give empty tables;
+other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -24,317 +27,345 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, blocks
 from .components import connected_components
 from .kernel import mix
 
-SCALES = (1.0, 0.75, 0.6, 0.5)
-#: Corners of an image and scale (the strongest), margin that descriptors need, least side of an image.
-CORNERS, MARGIN, LEAST_SIDE = 24, 10, 24
-BANDS, BAND_BITS = 4, 40
-#: Corners that must agree, images up to which all pairs of a table entry are made, images of a block of crowded ones.
-AGREE, ALL_PAIRS, BLOCK = 8, 12, 8_192
-#: Images of a part of a large table entry.
-PART = 5_000
-#: Bins of votes: turn in steps of 1 / TURNS of a circle, shift in pixels, scale by halves of a doubling.
-TURNS, SHIFT = 12, 12.0
-#: Pixels of a place: points of one place, as one corner makes at several scales, count once.
-PLACE = 3.0
+SCALES = (1.0, 0.8, 0.64, 0.51)
+#: Pixels (away from the margin) for each corner of an image and scale, least number of corners, margin of descriptors, least side.
+AREA, CORNERS, MARGIN, LEAST_SIDE = 250, 24, 10, 24
+BANDS, BITS, KEPT = 4, 60, 2
+#: Common entries of images that are compared, bits in which matches differ at most, places that must agree, pixels that they are off at most.
+MEET, NEAR, AGREE, OFF = 3, 12, 12, 3.0
+#: Images up to which all pairs of an entry are made, images of a block.
+CROWD, BLOCK = 12, 1_024
+#: Bins of votes: turn in steps of 1 / TURNS of a circle, shift in pixels.
+TURNS, SHIFT = 12, 16.0
 
 _RNG = np.random.Generator(np.random.PCG64(77))
 #: Binary tests: pairs of offsets within the margin, drawn by a fixed rule.
-_TESTS = np.clip(_RNG.normal(0, 3.2, (BANDS * BAND_BITS, 4)), -6, 6)
+_TESTS = np.clip(_RNG.normal(0, 3.2, (BANDS * BITS, 4)), -6, 6)
 _SIDE = np.arange(-6, 7)
 _DISC = (_SIDE[:, None] ** 2 + _SIDE[None, :] ** 2) <= 36
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
-    """Mean over squares of side 2r + 1; edges repeat."""
-    p = np.pad(a, ((r + 1, r), (r + 1, r)), mode="edge").cumsum(0).cumsum(1)
+    """Mean over squares of side 2r + 1 of an image or a stack of them; edges repeat."""
+    p = np.pad(a, [(0, 0)] * (a.ndim - 2) + [(r + 1, r)] * 2, mode="edge").cumsum(-2).cumsum(-1)
     n = 2 * r + 1
-    return (p[n:, n:] - p[:-n, n:] - p[n:, :-n] + p[:-n, :-n]) / (n * n)
+    return (p[..., n:, n:] - p[..., :-n, n:] - p[..., n:, :-n] + p[..., :-n, :-n]) / (n * n)
 
 
 def _resized(a: np.ndarray, scale: float) -> np.ndarray:
     if scale == 1.0:
         return a
-    h, w = max(2, round(a.shape[0] * scale)), max(2, round(a.shape[1] * scale))
+    h, w = (max(2, round(n * scale)) for n in a.shape[-2:])
     a = _box(a, 1)
     y, x = (np.arange(h) + 0.5) / scale - 0.5, (np.arange(w) + 0.5) / scale - 0.5
-    y, x = np.clip(y, 0, a.shape[0] - 1.001), np.clip(x, 0, a.shape[1] - 1.001)
+    y, x = np.clip(y, 0, a.shape[-2] - 1.001), np.clip(x, 0, a.shape[-1] - 1.001)
     i, j = y.astype(int), x.astype(int)
-    u, v = (y - i)[:, None], (x - j)[None, :]
-    return a[i][:, j] * (1 - u) * (1 - v) + a[i + 1][:, j] * u * (1 - v) + a[i][:, j + 1] * (1 - u) * v + a[i + 1][:, j + 1] * u * v
+    u, v = (y - i)[:, None], x - j
+    rows = a[..., i, :] * (1 - u) + a[..., i + 1, :] * u
+    return rows[..., j] * (1 - v) + rows[..., j + 1] * v
 
 
-def corners(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows and columns of the strongest corners, at least MARGIN from the edges."""
-    gy, gx = np.gradient(_box(a, 1))
+def corners(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(image, row, column) of the strongest corners of a stack of images, at least MARGIN from the edges."""
+    gy, gx = np.gradient(_box(a, 1), axis=(1, 2))
     xx, yy, xy = _box(gx * gx, 2), _box(gy * gy, 2), _box(gx * gy, 2)
     strength = (xx + yy) / 2 - np.sqrt(((xx - yy) / 2) ** 2 + xy**2)
-    inner = strength[MARGIN:-MARGIN, MARGIN:-MARGIN]
-    if inner.size == 0:
-        return np.empty(0, int), np.empty(0, int)
-    around = np.lib.stride_tricks.sliding_window_view(strength[MARGIN - 2 : strength.shape[0] - MARGIN + 2, MARGIN - 2 : strength.shape[1] - MARGIN + 2], (5, 5)).max((2, 3))
-    y, x = np.nonzero((inner >= around) & (inner > max(1.0, 0.02 * float(strength.max()))))
-    best = np.argsort(-inner[y, x], kind="stable")[:CORNERS]
-    return y[best] + MARGIN, x[best] + MARGIN
+    around = strength
+    for axis in (1, 2):
+        padded = np.pad(around, [(2, 2) if k == axis else (0, 0) for k in range(3)], constant_values=-np.inf)
+        around = np.max([np.take(padded, np.arange(k, k + strength.shape[axis]), axis=axis) for k in range(5)], axis=0)
+    is_corner = (strength >= around) & (strength > np.maximum(1.0, 0.02 * strength.max((1, 2)))[:, None, None])
+    is_corner[:, :MARGIN] = is_corner[:, -MARGIN:] = False
+    is_corner[:, :, :MARGIN] = is_corner[:, :, -MARGIN:] = False
+    flat = np.where(is_corner, strength, -np.inf).reshape(len(a), -1)
+    most = min(max(CORNERS, (a.shape[1] - 2 * MARGIN) * (a.shape[2] - 2 * MARGIN) // AREA), flat.shape[1])
+    at = np.argsort(-flat, axis=1, kind="stable")[:, :most] if flat.shape[1] < 4096 else np.argpartition(-flat, most - 1, axis=1)[:, :most]
+    image, k = np.nonzero(np.isfinite(np.take_along_axis(flat, at, 1)))
+    at = at[image, k]
+    return image, at // a.shape[2], at % a.shape[2]
 
 
-def described(pixels: np.ndarray) -> list[tuple[float, float, float, float, list[int]]]:
-    """(x, y, angle, scale, bands) of an image's corners, in pixels of the whole image."""
+class Points:
+    """Corners with their descriptors, in arrays: image, x, y (in pixels of the whole image), angle, scale, bands, kept bands."""
+
+    FIELDS = ("image", "at", "angle", "scale", "bands", "kept")
+
+    def __init__(self, *parts: np.ndarray):
+        self.image, self.at, self.angle, self.scale, self.bands, self.kept = parts
+
+    def of(self, rows) -> Points:
+        return Points(*(getattr(self, f)[rows] for f in self.FIELDS))
+
+    def entries(self) -> np.ndarray:
+        """The table entries of each corner (KEPT columns): band and value in one number."""
+        bands = np.take_along_axis(self.bands, self.kept.astype(np.int64), 1)
+        return mix(bands.view(np.uint64) ^ mix(self.kept.astype(np.uint64) + np.uint64(1))).view(np.int64)
+
+
+def described(stack: np.ndarray) -> Points:
+    """Corners of a stack of grey images of one size."""
     out = []
     for scale in SCALES:
-        a = _resized(pixels.astype(np.float64), scale)
-        if min(a.shape) <= 2 * MARGIN:
+        a = _resized(stack.astype(np.float64), scale)
+        if min(a.shape[1:]) <= 2 * MARGIN:
             continue
-        y, x = corners(a)
+        image, y, x = corners(a)
         if not len(y):
             continue
         soft = _box(a, 2)
-        patch = soft[(y[:, None, None] + _SIDE[None, :, None]), (x[:, None, None] + _SIDE[None, None, :])] * _DISC
+        patch = soft[image[:, None, None], y[:, None, None] + _SIDE[None, :, None], x[:, None, None] + _SIDE[None, None, :]] * _DISC
         angle = np.arctan2((patch * _SIDE[None, :, None]).sum((1, 2)), (patch * _SIDE[None, None, :]).sum((1, 2)))
         c, s = np.cos(angle)[:, None], np.sin(angle)[:, None]
-        at = lambda dx, dy: soft[np.rint(y[:, None] + s * dx + c * dy).astype(int), np.rint(x[:, None] + c * dx - s * dy).astype(int)]  # noqa: B023, E731
-        bits = at(_TESTS[:, 0], _TESTS[:, 1]) < at(_TESTS[:, 2], _TESTS[:, 3])
-        bands = bits.reshape(len(y), BANDS, BAND_BITS) @ (1 << np.arange(BAND_BITS))
-        out += [(float(x[k] / scale), float(y[k] / scale), float(angle[k]), scale, bands[k].tolist()) for k in range(len(y))]
+        seen = lambda dx, dy: soft[image[:, None], np.rint(y[:, None] + s * dx + c * dy).astype(int), np.rint(x[:, None] + c * dx - s * dy).astype(int)]  # noqa: B023, E731
+        apart = seen(_TESTS[:, 0], _TESTS[:, 1]) - seen(_TESTS[:, 2], _TESTS[:, 3])
+        sure = np.abs(apart).reshape(len(y), BANDS, BITS).min(2)
+        bands = (apart < 0).reshape(len(y), BANDS, BITS) @ (1 << np.arange(BITS))
+        out.append((image, (x + 1j * y) / scale, angle, np.full(len(y), scale), bands, np.argsort(-sure, axis=1, kind="stable")[:, :KEPT].astype(np.int8)))
+    if not out:
+        return Points(np.empty(0, int), np.empty(0, complex), np.empty(0), np.empty(0), np.empty((0, BANDS), np.int64), np.empty((0, KEPT), np.int8))
+    points = Points(*(np.concatenate(c) for c in zip(*out, strict=True)))
+    return points.of(np.argsort(points.image, kind="stable"))
+
+
+def agreement(p: Points, q: Points) -> int:
+    """Places of two images that agree on one similarity transform; the first image is moved."""
+    apart = np.zeros((len(p.at), len(q.at)), np.uint16)
+    for b in range(BANDS):
+        apart += np.bitwise_count(p.bands[:, b][:, None] ^ q.bands[:, b][None, :])
+    i, j = np.nonzero(apart <= NEAR)
+    if len(i) < AGREE:
+        return 0
+    turn, grow = np.mod(q.angle[j] - p.angle[i], 2 * np.pi), p.scale[i] / q.scale[j]
+    a, b = p.at[i], q.at[j]
+    a = a - a.mean()
+    shift = (b - grow * np.exp(1j * turn) * a) / SHIFT
+    kind = (np.floor(turn * TURNS / (2 * np.pi) + 0.5) % TURNS) * 64 + np.rint(2 * np.log2(grow)) + 32
+    places = lambda z: len(np.unique(np.rint(z / OFF)))
+    best = 0
+    for u in (0, 0.5):
+        for v in (0, 0.5):
+            bins = (kind * (1 << 20) + np.floor(shift.real + u)) * (1 << 20) + np.floor(shift.imag + v)
+            _, of, n = np.unique(bins, return_inverse=True, return_counts=True)
+            for k in np.argsort(-n, kind="stable")[:2]:
+                near = of == k
+                for _ in range(3):
+                    if near.sum() < 3:
+                        break
+                    from_, to = a[near].mean(), b[near].mean()
+                    turned = ((a[near] - from_).conj() * (b[near] - to)).sum() / max(1e-9, (np.abs(a[near] - from_) ** 2).sum())
+                    near = (np.abs(b - turned * (a - from_) - to) < OFF) & (np.abs(np.angle(np.exp(1j * turn) * np.conj(turned))) < 0.6) & (np.abs(np.log2(max(abs(turned), 1e-6) / grow)) < 0.5)
+                if near.sum() >= AGREE:
+                    best = max(best, min(places(a[near]), places(b[near])))
+    return best
+
+
+_ARRAYS = {"x": pa.float32(), "y": pa.float32(), "angle": pa.float32(), "scale": pa.float32(), "bands": pa.int64(), "kept": pa.int8()}
+POINTS = "x array<float>, y array<float>, angle array<float>, scale array<float>, bands array<bigint>, kept array<tinyint>"
+
+
+def _packed(points: Points, images: int) -> list[pa.Array]:
+    """A row for each image: a list of each of _ARRAYS."""
+    ends = np.concatenate(([0], np.cumsum(np.bincount(points.image, minlength=images))))
+    columns = {"x": points.at.real, "y": points.at.imag, "angle": points.angle, "scale": points.scale, "bands": points.bands, "kept": points.kept}
+    out = []
+    for name, kind in _ARRAYS.items():
+        own = columns[name]
+        many = own.shape[1] if own.ndim == 2 else 1
+        out.append(pa.ListArray.from_arrays(pa.array((ends * many).astype(np.int32)), pa.array(own.ravel(), kind)))
     return out
 
 
-POINTS = "array<struct<x:float,y:float,angle:float,scale:float,bands:array<bigint>>>"
+def _unpacked(columns: list[pa.Array]) -> tuple[Points, np.ndarray]:
+    """(Points of all rows, where each row's begin)."""
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
+    offsets = columns[0].offsets.to_numpy().astype(np.int64)
+    offsets = offsets - offsets[0]
+    x, y, angle, scale, bands, kept = flat
+    return Points(np.repeat(np.arange(len(offsets) - 1), np.diff(offsets)), x.astype(float) + 1j * y, angle.astype(float), scale.astype(float), bands.reshape(-1, BANDS), kept.reshape(-1, KEPT)), offsets
 
 
 def descriptors(images: DataFrame) -> DataFrame:
-    """(pic, points) of different images (pic, width, height, pixels: grey bytes by rows) that have corners.
+    """(p1, p2, POINTS) of images (p1, p2, width, height, pixels: grey bytes by rows) that have corners.
 
-    A task describes equal images once; what several tasks found is one row.
+    A task describes equal images once.
     """
-    point = pa.struct([("x", pa.float32()), ("y", pa.float32()), ("angle", pa.float32()), ("scale", pa.float32()), ("bands", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met: set[int] = set()
-        for part in blocks(batches, "pixels"):
-            pics, rows = [], []
-            for pic, width, height, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                if pic in met or raw is None or not width or not height or len(raw) != width * height or min(width, height) < LEAST_SIDE:
+        met: set[tuple[int, int]] = set()
+        for part in blocks(batches, "pixels", 1 << 19):
+            sizes: dict[tuple[int, int], list[tuple[tuple[int, int], bytes]]] = {}
+            for p1, p2, width, height, raw in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                if (p1, p2) in met or raw is None or not width or not height or len(raw) != width * height or min(width, height) < LEAST_SIDE:
                     continue
                 if len(met) > 1_000_000:
                     met.clear()
-                met.add(pic)
-                found = described(np.frombuffer(raw, np.uint8).reshape(height, width))
-                if found:
-                    pics.append(pic)
-                    rows.append([dict(zip(("x", "y", "angle", "scale", "bands"), d, strict=True)) for d in found])
-            yield pa.RecordBatch.from_arrays([pa.array(pics, pa.int64()), pa.array(rows, pa.list_(point))], ["pic", "points"])
+                met.add((p1, p2))
+                sizes.setdefault((height, width), []).append(((p1, p2), raw))
+            for (height, width), rows in sizes.items():
+                points = described(np.frombuffer(b"".join(raw for _, raw in rows), np.uint8).reshape(-1, height, width))
+                some = np.flatnonzero(np.bincount(points.image, minlength=len(rows)))
+                keys = [rows[k][0] for k in some.tolist()]
+                packed = [c.take(pa.array(some)) for c in _packed(points, len(rows))]
+                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), *packed], ["p1", "p2", *_ARRAYS])
 
-    return images.select("pic", "width", "height", "pixels").mapInArrow(run, f"pic long, points {POINTS}").dropDuplicates(["pic"])
+    return images.select("p1", "p2", "width", "height", "pixels").mapInArrow(run, f"p1 long, p2 long, {POINTS}")
 
 
 def entries_of(points: DataFrame) -> DataFrame:
-    """(pic, band, value): an image's table entries, each once."""
-    listed = F.array_distinct(F.flatten(F.transform("points", lambda p: F.transform(p["bands"], lambda v, i: F.struct(i.alias("band"), v.alias("value"))))))
-    return points.select("pic", F.explode(listed).alias("e")).select("pic", "e.band", "e.value")
+    """(pid, entry): an image's table entries, each once."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "bands"):
+            own, _ = _unpacked(part.columns[1:])
+            pids = part.column(0).to_numpy()[own.image]
+            rows = np.unique(np.stack([np.repeat(pids, KEPT), own.entries().ravel()], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1])], ["pid", "entry"])
 
-def pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): images that meet in a table entry: all pairs of small entries, else neighbours and one image of the entry.
+    return points.select("pid", *_ARRAYS).mapInArrow(run, "pid long, entry long")
 
-    An entry with over a ten-thousandth of all images' entries is dealt to several parts by the images' hash; how large
-    entries are is estimated from a sixteenth of the images, which decides about the dealing only.
-    """
-    some = entries.where(F.pmod(F.xxhash64("pic"), F.lit(16)) == 0)
-    sizes = some.groupBy("band", "value").agg((16 * F.count("*")).alias("n"), F.min("pic").alias("least"))
-    limits = sizes.groupBy("band").agg(F.greatest(F.sum("n") / 10_000, F.lit(PART)).alias("most"))
-    large = sizes.join(limits, "band").where(F.col("n") > F.col("most")).select("band", "value", "least", F.ceil(F.col("n") / PART).alias("parts"))
-    met = entries.join(F.broadcast(large), ["band", "value"], "left")  # at most 10,000 entries a band
-    met = met.withColumn("part", F.pmod(F.xxhash64("pic", F.lit(1)), F.coalesce("parts", F.lit(1))))
-    order = Window.partitionBy("band", "value", "part").orderBy("pic")
-    whole = Window.partitionBy("band", "value", "part")
-    near = [F.lag("pic", k).over(order).alias(f"n{k}") for k in range(1, ALL_PAIRS)]
-    met = met.select("pic", F.coalesce("least", F.first("pic").over(order)).alias("n0"), F.count("*").over(whole).alias("n"), *near).where("n > 1 or n0 != pic")
-    small = F.array(*[f"n{k}" for k in range(ALL_PAIRS)])
-    met = met.select(F.explode(F.array_distinct(F.when(F.col("n") <= ALL_PAIRS, small).otherwise(F.array("n0", "n1", "n2")))).alias("a"), F.col("pic").alias("b"))
-    return met.where("a is not null and a != b")
-
-
-def copies(points: DataFrame, agree: int = AGREE) -> DataFrame:
-    """(u, v): pairs of images whose matches agree on a transform."""
-    # a pair must meet in several entries before its matches are compared
-    met = pairs(entries_of(points)).groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= agree).select("a", "b")
-    return voted(met, points, agree)
-
-
-def voted(met: DataFrame, points: DataFrame, agree: int = AGREE) -> DataFrame:
-    """(u, v): those of the pairs (a, b) whose matches agree on a transform."""
-    # the points of an image are few (CORNERS a scale), so a pair of images is a bounded row
-    left, right = points.select(F.col("pic").alias("a"), F.col("points").alias("ps")), points.select(F.col("pic").alias("b"), F.col("points").alias("qs"))
-    both = met.join(left, "a").join(right, "b").select("a", "b", F.explode("ps").alias("p"), "qs")
-    both = both.select("a", "b", "p", F.explode(F.expr("filter(qs, q -> exists(zip_with(q.bands, p.bands, (c, d) -> c = d), e -> e))")).alias("q"))
-    place = lambda c: F.struct(F.rint(F.col(f"{c}.x") / PLACE), F.rint(F.col(f"{c}.y") / PLACE))
-    turn = F.pmod(F.col("q.angle") - F.col("p.angle"), F.lit(2 * np.pi))
-    grow = F.col("p.scale") / F.col("q.scale")
-    c, s = F.cos(turn), F.sin(turn)
-    dx = F.col("q.x") - grow * (c * F.col("p.x") - s * F.col("p.y"))
-    dy = F.col("q.y") - grow * (s * F.col("p.x") + c * F.col("p.y"))
-    step = lambda v, size: F.array(F.floor(v / size), F.floor(v / size + 0.5) + F.lit(0.5))  # noqa: E731  two bins, half a bin apart
-    votes = both.select("a", "b", place("p").alias("k"), place("q").alias("l"), F.floor(turn * TURNS / (2 * np.pi) + 0.5).alias("turn0"), F.rint(2 * F.log2(grow)).alias("grow"), F.explode(step(dx, SHIFT)).alias("dx"), dy.alias("dy"))
-    votes = votes.select("a", "b", "k", "l", F.pmod("turn0", F.lit(TURNS)).alias("turn"), "grow", "dx", F.explode(step(F.col("dy"), SHIFT)).alias("dy"))
-    agreed = votes.groupBy("a", "b", "turn", "grow", "dx", "dy").agg(F.least(F.size(F.collect_set("k")), F.size(F.collect_set("l"))).alias("n")).where(F.col("n") >= agree)
-    return agreed.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct()
-
-
-def crowded(points: DataFrame) -> DataFrame:
-    """(pic, points) of the images that have an entry of more than ALL_PAIRS images, or several points in one entry.
-
-    All others that agree at AGREE places share as many entries, and none of more than ALL_PAIRS images.
-    """
-    entries = entries_of(points)
-    full = entries.groupBy("band", "value").agg(F.count("*").alias("n")).where(F.col("n") > ALL_PAIRS).select("band", "value")
-    repeated = points.where(F.exists(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.size(F.array_distinct(F.transform("points", lambda p: F.get(p["bands"], b)))) < F.size("points"))).select("pic")
-    return points.join(entries.join(full, ["band", "value"]).select("pic").unionByName(repeated).distinct(), "pic", "left_semi")
-
-
-class Block:
-    """Points of a block of images, in arrays; `image` is a point's image."""
-
-    def __init__(self, pics: pa.Array, roots: np.ndarray, points: pa.Array):
-        self.pic, self.root = pics.to_numpy(), roots
-        counts = pc.list_value_length(points).to_numpy(zero_copy_only=False).astype(np.int64)
-        self.image, self.starts = np.repeat(np.arange(len(counts)), counts), np.concatenate(([0], np.cumsum(counts)))
-        flat = points.flatten()
-        self.x, self.y, self.angle, self.scale = (flat.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("x", "y", "angle", "scale"))
-        self.bands = flat.field("bands").flatten().to_numpy(zero_copy_only=False).reshape(-1, BANDS)
-
-
-def agreeing(p: Block, i: np.ndarray, q: Block, j: np.ndarray, agree: int) -> np.ndarray:
-    """Images of q whose points j, matched with the points i of one image of p, agree on a transform; as `copies` votes."""
-    image = q.image[j]
-    swap = q.pic[image] < p.pic[p.image[i]]  # the lesser image is moved
-    of = lambda name, first: np.where(swap == first, getattr(q, name)[j], getattr(p, name)[i])
-    ax, ay, bx, by = of("x", True), of("y", True), of("x", False), of("y", False)
-    turn = np.mod(of("angle", False) - of("angle", True), 2 * np.pi)
-    grow = of("scale", True) / of("scale", False)
-    c, s = np.cos(turn), np.sin(turn)
-    dx, dy = (bx - grow * (c * ax - s * ay)) / SHIFT, (by - grow * (s * ax + c * ay)) / SHIFT
-    kind = (np.floor(turn * TURNS / (2 * np.pi) + 0.5) % TURNS) * 64 + np.rint(2 * np.log2(grow)) + 32
-    places = [np.rint(x / PLACE) * (1 << 20) + np.rint(y / PLACE) for x, y in ((ax, ay), (bx, by))]
-    bins = [(u, v) for u in (2 * np.floor(dx), 2 * np.floor(dx + 0.5) + 1) for v in (2 * np.floor(dy), 2 * np.floor(dy + 0.5) + 1)]
-    as_code = lambda a: mix(a.astype(np.int64).view(np.uint64))
-    base = mix(as_code(image) + as_code(kind))
-    code = np.concatenate([mix(mix(base + as_code(u)) + as_code(v)) for u, v in bins])
-    every, first, back = np.unique(code, return_index=True, return_inverse=True)
-    found = np.ones(len(every), bool)
-    for place in places:
-        place = np.unique(np.tile(place, 4), return_inverse=True)[1]
-        found &= np.bincount(np.unique(back * len(code) + place) // len(code), minlength=len(every)) >= agree
-    return np.unique(np.tile(image, 4)[first[found]])
-
-
-def forest(p: Block, q: Block, same: bool, agree: int) -> list[tuple[int, int]]:
-    """Links between two blocks (or within one) that connect what agrees; roots are numbers of classes known before."""
-    lows, highs, orders = [], [], []
-    for band in range(BANDS):
-        order = np.argsort(q.bands[:, band], kind="stable")
-        held = q.bands[order, band]
-        lows.append(np.searchsorted(held, p.bands[:, band], "left"))
-        highs.append(np.searchsorted(held, p.bands[:, band], "right"))
-        orders.append(order)
-    out = []
-    for k in range(len(p.pic)):
-        own = np.arange(p.starts[k], p.starts[k + 1])
-        i, j = [], []
-        for low, high, order in zip(lows, highs, orders, strict=True):
-            n = high[own] - low[own]
-            total = int(n.sum())
-            if total:
-                i.append(np.repeat(own, n))
-                j.append(order[np.arange(total) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[own], n)])
-        if not i:
-            continue
-        i, j = np.concatenate(i), np.concatenate(j)
-        open_ = (q.root[q.image[j]] != p.root[k]) & (not same or q.image[j] > k)
-        i, j = i[open_], j[open_]
-        met = np.unique(i * len(q.image) + j)  # equal in several bands is one match
-        i, j = met // max(1, len(q.image)), met % max(1, len(q.image))
-        enough = np.bincount(q.image[j], minlength=len(q.pic))[q.image[j]] >= agree
-        if not enough.any():
-            continue
-        for m in agreeing(p, i[enough], q, j[enough], agree):
-            r, mine = q.root[m], p.root[k]
-            if r != mine:
-                out.append((int(p.pic[k]), int(q.pic[m])))
-                for roots in (p.root, q.root):
-                    roots[roots == r] = mine
-    return out
 
+def verified(pairs: DataFrame, points: DataFrame, scratch: Scratch, agree: int) -> DataFrame:
+    """(u, v): those of the (written) pairs whose places agree."""
+    needed = scratch.write(pairs.select(F.col("u").alias("pid")).unionByName(pairs.select(F.col("v").alias("pid"))).distinct(), "needed")
+    own = points.select("pid", *_ARRAYS).join(needed, "pid", "left_semi")
+    both = pairs.join(own.toDF("u", *(f"{c}_u" for c in _ARRAYS)), "u").join(own.toDF("v", *(f"{c}_v" for c in _ARRAYS)), "v")
 
-def block_links(images: DataFrame, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
-    """(u, v): links that connect the images (pic, label, points) that agree, beyond those of one label."""
-    parts = max(1, -(-images.count() // block))
-    dealt = images.withColumn("at", F.pmod(F.xxhash64("pic", F.lit(2)), F.lit(parts)).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    dealt = dealt.select(F.least("at", "other").alias("i"), F.greatest("at", "other").alias("j"), "at", "pic", "label", "points")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches, "bands_u"):
+            p, a = _unpacked([part.column(f"{c}_u") for c in _ARRAYS])
+            q, b = _unpacked([part.column(f"{c}_v") for c in _ARRAYS])
+            held = [agreement(p.of(slice(a[k], a[k + 1])), q.of(slice(b[k], b[k + 1]))) >= agree for k in range(part.num_rows)]
+            yield part.select(["u", "v"]).filter(pa.array(held, pa.bool_()))
+
+    return both.select("u", "v", *(f"{c}_u" for c in _ARRAYS), *(f"{c}_v" for c in _ARRAYS)).mapInArrow(run, "u long, v long")
+
+
+def crossing_links(full: DataFrame, labels: DataFrame, points: DataFrame, scratch: Scratch, agree: int, block: int = BLOCK) -> DataFrame | None:
+    """(u, v): links that connect copies of different classes within crowded entries (entry, pid); None if there is none of the kind."""
+    own = full.join(labels.select(F.col("node").alias("pid"), "label"), "pid", "left").withColumn("label", F.coalesce("label", "pid"))
+    counts = own.groupBy("entry", "label").agg(F.count("*").alias("c"))
+    main = counts.groupBy("entry").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("c")).where(F.col("c") > F.col("m.c"))
+    main = main.select("entry", F.col("m.label").alias("main"), F.ceil(F.col("m.c") / block).cast("int").alias("nm"), F.ceil((F.col("c") - F.col("m.c")) / block).cast("int").alias("nr"))
+    own = scratch.write(own.join(main, "entry"), "mixed")
+    if own.isEmpty():
+        return None
+    own = own.withColumn("rest", F.col("label") != F.col("main"))
+    mine = F.pmod(F.xxhash64("pid"), F.when(F.col("rest"), F.col("nr")).otherwise(F.col("nm"))).cast("int")
+    # the rest meets every block of the main class (i counts down from -1), and itself block against block
+    to = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    places = F.when(F.col("rest"), F.concat(F.transform(every("nm"), lambda b: to(-1 - b, F.col("mine"))), F.transform(every("nr"), lambda b: to(F.least(b, F.col("mine")), F.greatest(b, F.col("mine"))))))
+    places = places.otherwise(F.transform(every("nr"), lambda b: to(-1 - F.col("mine"), b)))
+    needed = scratch.write(own.select("pid").distinct(), "needed")
+    carried = points.select("pid", *_ARRAYS).join(needed, "pid", "left_semi")
+    dealt = own.withColumn("mine", mine).select("entry", "pid", "label", "rest", "mine", F.explode(places).alias("p")).select("entry", "pid", "label", "rest", "mine", "p.i", "p.j").join(carried, "pid")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        at, i, j = table["at"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
-        roots = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
-
-        def part(k: int) -> Block:
-            some = pa.array(at == k)
-            chosen = table.filter(some).combine_chunks()
-            points = chosen["points"].combine_chunks()
-            return Block(chosen["pic"].combine_chunks(), roots[at == k], points.chunk(0) if isinstance(points, pa.ChunkedArray) else points)
-
-        p = part(i)
-        found = forest(p, p if i == j else part(j), i == j, agree)
-        return pa.table({"u": pa.array([min(f) for f in found], pa.int64()), "v": pa.array([max(f) for f in found], pa.int64())})
-
-    return dealt.groupBy("i", "j").applyInArrow(compare, "u long, v long")
+        one = lambda c: c.chunk(0) if isinstance(c, pa.ChunkedArray) else c
+        pid, mine, rest = table["pid"].to_numpy(), table["mine"].to_numpy(), table["rest"].to_numpy().astype(bool)
+        root = np.unique(table["label"].to_numpy(), return_inverse=True)[1]
+        own, at = _unpacked([one(table[c].combine_chunks()) for c in _ARRAYS])
+        entries = own.entries()
+        i, j = table["i"][0].as_py(), table["j"][0].as_py()
+        p, q = np.flatnonzero(rest & (mine == j)), np.flatnonzero(~rest if i < 0 else rest & (mine == i))
+        among = np.zeros(len(pid), bool)
+        among[q] = True
+        # an image's entries, each once, in one sorted list
+        listed = np.unique(np.stack([entries.ravel(), np.repeat(own.image, KEPT)], axis=1), axis=0)
+        listed = listed[among[listed[:, 1]]]
+        out = []
+        for x in p.tolist():
+            mine_ = np.unique(entries[at[x] : at[x + 1]])
+            low, high = np.searchsorted(listed[:, 0], mine_, "left"), np.searchsorted(listed[:, 0], mine_, "right")
+            n = high - low
+            met = listed[np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n), 1]
+            counts = np.bincount(met, minlength=len(pid))
+            for y in np.flatnonzero(counts >= MEET).tolist():
+                if root[x] != root[y] and (i < 0 or y > x or i != j):
+                    a, b = (x, y) if pid[x] < pid[y] else (y, x)
+                    if agreement(own.of(slice(at[a], at[a + 1])), own.of(slice(at[b], at[b + 1]))) >= agree:
+                        out.append((int(pid[a]), int(pid[b])))
+                        root[root == root[y]] = root[x]
+        return pa.table({"u": pa.array([u for u, _ in out], pa.int64()), "v": pa.array([v for _, v in out], pa.int64())})
+
+    return dealt.groupBy("entry", "i", "j").applyInArrow(compare, "u long, v long").distinct()
+
+
+def copies(points: DataFrame, scratch: Scratch, agree: int = AGREE, crowd: int = CROWD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """((node, label), (u, v)): classes of the images (pid, POINTS) that have copies, and the links that connect them."""
+    entries = scratch.write(entries_of(points), "entries")
+    crowded = scratch.write(entries.groupBy("entry").agg(F.count("*").alias("c"), F.min("pid").alias("u")).where(F.col("c") > crowd).select("entry", "u"), "crowded")
+    cold = entries.join(crowded.select("entry"), "entry", "left_anti")
+    pairs = cold.toDF("u", "entry").hint("merge").join(cold.toDF("v", "entry"), "entry").where("u < v").select("u", "v")
+    full = scratch.write(entries.join(crowded, "entry"), "full")
+    stars = full.where("pid != u").select("u", F.col("pid").alias("v"))
+    pairs = scratch.write(pairs.unionByName(stars).groupBy("u", "v").agg(F.count("*").alias("c")).where(F.col("c") >= MEET).select("u", "v"), "pairs")
+    scratch.drop("entries")
+    links = scratch.write(verified(pairs, points, scratch, agree), "near")
+    labels = scratch.write(connected_components(links, scratch), "labels")
+    more = crossing_links(full.select("entry", "pid"), labels, points, scratch, agree, block)
+    if more is not None:
+        links = scratch.write(links.unionByName(scratch.write(more, "more")).distinct(), "links")
+        labels = scratch.write(connected_components(links, scratch), "classes")
+    return labels, links
 
 
 def image_classes(images: DataFrame, id_col: str = "id", agree: int = AGREE) -> DataFrame:
     """(id, class_id, links): images (id, width, height, pixels) with the least id of their class and their links found."""
-    spark = images.sparkSession
-    scratch = Scratch(spark, "media")
-    rows = images.select(F.col(id_col).alias("id"), "width", "height", "pixels", F.xxhash64("width", "height", "pixels").alias("pic"))
-    known = scratch.write(rows.select("id", "pic"), "known")
-    points = scratch.write(descriptors(rows), "points")
-    near = scratch.write(copies(points, agree), "near")
-    classes = connected_components(near, scratch)
-    hard = crowded(points).join(classes, F.col("pic") == F.col("node"), "left").select("pic", F.coalesce("label", "pic").alias("label"), "points")
-    links = scratch.write(near.unionByName(block_links(scratch.write(hard, "hard"), agree)).distinct(), "links")
-    labels = scratch.write(connected_components(links, scratch), "labels")
-    degree = links.select("u").unionByName(links.select(F.col("v").alias("u"))).groupBy("u").agg(F.count("*").alias("links"))
-    named = known.join(labels, known.pic == labels.node, "left").withColumn("label", F.coalesce("label", "pic")).drop("node")
-    least = named.groupBy("label").agg(F.min("id").alias("class_id"))
-    out = named.join(least, "label").join(degree, F.col("pic") == F.col("u"), "left")
+    scratch = Scratch(images.sparkSession, "media")
+    drawn = ("width", "height", "pixels")
+    rows = images.select(F.col(id_col).alias("id"), *drawn, F.xxhash64(*drawn).alias("p1"), F.xxhash64(F.lit(1), *drawn).alias("p2"))
+    known = scratch.write(rows.select("id", "p1", "p2"), "known")
+    made = scratch.write(descriptors(rows).withColumn("pid", F.monotonically_increasing_id()), "points")  # numbers are written, so they stay
+    own = scratch.write(made.groupBy("p1", "p2").agg(F.min("pid").alias("pid")), "own")
+    again = scratch.write(made.select("pid", "p1", "p2").join(own, ["p1", "p2", "pid"], "left_anti").select("pid"), "again")
+    labels, links = copies(made.join(again, "pid", "left_anti"), scratch, agree)  # again: copies that different tasks have met
+    degree = links.select(F.col("u").alias("pid")).unionByName(links.select(F.col("v").alias("pid"))).groupBy("pid").agg(F.count("*").alias("links"))
+    facts = own.join(labels, F.col("pid") == F.col("node"), "left").select("p1", "p2", "pid", F.coalesce("label", "pid").alias("label")).join(degree, "pid", "left").drop("pid")
+    named = scratch.write(known.join(facts, ["p1", "p2"], "left"), "named")
+    # an image without corners is of the class of its pixels
+    key = [F.coalesce("label", "p1").alias("a"), F.when(F.col("label").isNull(), F.col("p2")).alias("b")]
+    least = named.groupBy(*key).agg(F.min("id").alias("class_id")).alias("l")
+    n = named.select("id", "links", *key).alias("n")
+    out = n.join(least, (F.col("n.a") == F.col("l.a")) & F.col("n.b").eqNullSafe(F.col("l.b")))
     return out.select("id", "class_id", F.coalesce("links", F.lit(0)).alias("links"))
 
 
-def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", side: int = 72, waves: int = 8) -> DataFrame:
+def pictures(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", side: int = 72) -> DataFrame:
     """(id, width, height, pixels): a vector's numbers as amplitudes of a picture's waves, for tables without media.
 
-    Vectors that differ little make pictures that differ little; a factor doesn't matter.
+    Vectors that differ little make pictures that differ little; a factor doesn't matter. A vector of n numbers has the
+    least square of waves that holds them all.
     """
     t = (np.arange(side) + 0.5) / side
-    wave = np.cos(2 * np.pi * np.arange(1, waves + 1)[:, None] * t[None, :] + np.arange(waves)[:, None])
+
+    def drawn(rows: np.ndarray) -> np.ndarray:
+        waves = int(np.ceil(np.sqrt(rows.shape[1])))
+        a = np.zeros((len(rows), waves * waves))
+        a[:, : rows.shape[1]] = rows
+        wave = np.cos(2 * np.pi * np.arange(1, waves + 1)[:, None] * t[None, :] + np.arange(waves)[:, None])
+        a = np.matmul(wave.T, np.matmul(a.reshape(-1, waves, waves), wave))
+        return np.clip(np.rint(128 + 48 * a / np.maximum(a.std((1, 2), keepdims=True), 1e-12)), 0, 255).astype(np.uint8)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches, "v", 1 << 16):
-            out = []
-            for v in part.column(1).to_pylist():
-                if v is None or not len(v) or any(x is None for x in v):
-                    out.append(None)
-                    continue
-                a = np.resize(np.array(v, float), waves * waves).reshape(waves, waves)
-                a = np.einsum("ij,iy,jx->yx", a, wave, wave, optimize=True)
-                out.append(np.clip(np.rint(128 + 48 * a / max(float(a.std()), 1e-12)), 0, 255).astype(np.uint8).tobytes())
+        for part in blocks(batches, "v", 1 << 14):
+            out: list[bytes | None] = [None] * part.num_rows
+            sizes: dict[int, list[int]] = {}
+            vectors = part.column(1).to_pylist()
+            for k, v in enumerate(vectors):
+                if v is not None and len(v) and not any(x is None for x in v):
+                    sizes.setdefault(len(v), []).append(k)
+            for rows in sizes.values():
+                for k, picture in zip(rows, drawn(np.array([vectors[k] for k in rows], float)), strict=True):
+                    out[k] = picture.tobytes()
             size = pa.array([side] * part.num_rows, pa.int32())
             yield pa.RecordBatch.from_arrays([part.column(0), size, size, pa.array(out, pa.binary())], ["id", "width", "height", "pixels"])
 
