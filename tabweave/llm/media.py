@@ -303,8 +303,11 @@ def copies(points: DataFrame, scratch: Scratch, agree: int = AGREE, crowd: int =
     """((node, label), (u, v)): classes of the images (pid, POINTS) that have copies, and the links that connect them."""
     entries = scratch.write(entries_of(points), "entries")
     crowded = scratch.write(entries.groupBy("entry").agg(F.count("*").alias("c"), F.min("pid").alias("u")).where(F.col("c") > crowd).select("entry", "u"), "crowded")
-    cold = entries.join(crowded.select("entry"), "entry", "left_anti")
-    pairs = cold.toDF("u", "entry").hint("merge").join(cold.toDF("v", "entry"), "entry").where("u < v").select("u", "v")
+    # a number of partitions: small entries make many pairs, so they must not be brought together in one task
+    many = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cold = entries.repartition(many, "entry").join(crowded.select("entry"), "entry", "left_anti")
+    side = lambda to: cold.select("entry", F.col("pid").alias(to))
+    pairs = side("u").hint("merge").join(side("v"), "entry").where("u < v").select("u", "v")
     full = scratch.write(entries.join(crowded, "entry"), "full")
     stars = full.where("pid != u").select("u", F.col("pid").alias("v"))
     pairs = scratch.write(pairs.unionByName(stars).groupBy("u", "v").agg(F.count("*").alias("c")).where(F.col("c") >= MEET).select("u", "v"), "pairs")

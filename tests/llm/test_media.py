@@ -48,7 +48,7 @@ def plain_classes(images):
     label = {k: k for k in images}
     for i in images:
         for j in images:
-            if i < j and len(entries[i] & entries[j]) >= media.MEET and max(media.agreement(found[i], found[j]), media.agreement(found[j], found[i])) >= media.AGREE:
+            if i < j and len(entries[i] & entries[j]) >= media.MEET and media.agreement(found[i], found[j]) >= media.AGREE:
                 a, z = sorted((label[i], label[j]))
                 label = {k: a if v == z else v for k, v in label.items()}
     return label
