@@ -41,7 +41,7 @@ BANDS, BITS, KEPT = 4, 60, 2
 #: Common entries of images that are compared, bits in which matches differ at most, places that must agree, pixels that they are off at most.
 MEET, NEAR, AGREE, OFF = 3, 12, 12, 3.0
 #: Images up to which all pairs of an entry are made, images of a block.
-CROWD, BLOCK = 12, 1_024
+CROWD, BLOCK = 64, 1_024
 #: Bins of votes: turn in steps of 1 / TURNS of a circle, shift in pixels.
 TURNS, SHIFT = 12, 16.0
 
