@@ -8,9 +8,9 @@ compared: descriptors within `NEAR` bits match, matches vote for a similarity tr
 transform is fitted to its votes by least squares, and the pair is a copy if corners at `AGREE` different places of both
 images lie within `OFF` pixels of where it puts them.
 
-Images with equal pixels are one image (128 bits). All pairs of an entry are made up to `CROWD` images. Of a larger one
-(a group of copies, or a common texture) every image is paired with one of them, which connects a group of copies. Entries
-whose images are of one class by then are done; of the others, the images outside the entry's largest class are compared
+Images with equal pixels are one image (128 bits). First every image of an entry is paired with one of them, which connects
+groups of copies. Of entries up to `CROWD` images the pairs follow that are not of one class by then. Larger entries (a
+common texture) whose images are of one class are done; of the others, the images outside the entry's largest class are compared
 with all of other classes, block against block, in tasks that return spanning forests. So every pair that meets in
 `MEET` entries is compared unless it is of one class already. That last step is quadratic in images that share an entry
 and are no copies.
@@ -302,18 +302,23 @@ def crossing_links(full: DataFrame, labels: DataFrame, points: DataFrame, scratc
 def copies(points: DataFrame, scratch: Scratch, agree: int = AGREE, crowd: int = CROWD, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """((node, label), (u, v)): classes of the images (pid, POINTS) that have copies, and the links that connect them."""
     entries = scratch.write(entries_of(points), "entries")
-    crowded = scratch.write(entries.groupBy("entry").agg(F.count("*").alias("c"), F.min("pid").alias("u")).where(F.col("c") > crowd).select("entry", "u"), "crowded")
+    sizes = scratch.write(entries.groupBy("entry").agg(F.count("*").alias("c"), F.min("pid").alias("u")).where("c > 1"), "sizes")
+    full = scratch.write(entries.join(sizes, "entry").select("entry", "pid", "c", "u"), "full")  # without images' own entries
+    often = lambda pairs: pairs.groupBy("u", "v").agg(F.count("*").alias("c")).where(F.col("c") >= MEET).select("u", "v")
+    stars = scratch.write(often(full.where("pid != u").select("u", F.col("pid").alias("v"))), "stars")
+    scratch.drop("entries")
+    links = scratch.write(verified(stars, points, scratch, agree), "near")
+    labels = scratch.write(connected_components(links, scratch), "groups")
     # a number of partitions: small entries make many pairs, so they must not be brought together in one task
     many = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    cold = entries.repartition(many, "entry").join(crowded.select("entry"), "entry", "left_anti")
+    cold = full.where(F.col("c") <= crowd).repartition(many, "entry")
     side = lambda to: cold.select("entry", F.col("pid").alias(to))
-    pairs = side("u").hint("merge").join(side("v"), "entry").where("u < v").select("u", "v")
-    full = scratch.write(entries.join(crowded, "entry"), "full")
-    stars = full.where("pid != u").select("u", F.col("pid").alias("v"))
-    pairs = scratch.write(pairs.unionByName(stars).groupBy("u", "v").agg(F.count("*").alias("c")).where(F.col("c") >= MEET).select("u", "v"), "pairs")
-    scratch.drop("entries")
-    links = scratch.write(verified(pairs, points, scratch, agree), "near")
+    pairs = often(side("u").hint("merge").join(side("v"), "entry").where("u < v").select("u", "v"))
+    named = lambda to, of: labels.select(F.col("node").alias(to), F.col("label").alias(of))
+    apart = pairs.join(named("u", "p"), "u", "left").join(named("v", "q"), "v", "left").where(F.coalesce("p", "u") != F.coalesce("q", "v")).select("u", "v")
+    links = scratch.write(links.unionByName(verified(scratch.write(apart, "pairs"), points, scratch, agree)), "linked")
     labels = scratch.write(connected_components(links, scratch), "labels")
+    full = full.where(F.col("c") > crowd)
     more = crossing_links(full.select("entry", "pid"), labels, points, scratch, agree, block)
     if more is not None:
         links = scratch.write(links.unionByName(scratch.write(more, "more")).distinct(), "links")
