@@ -21,14 +21,19 @@ from tabweave.llm.common import Scratch
 from tabweave.llm.queries import word_tokenizer
 
 
+def settled(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The stage's result as a written table: whole texts go through workers in small batches, without a setting left behind."""
+    return Scratch(spark, "stage").write(docs, "documents")
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.reject_outliers(docs)
+    return settled(spark, quality.reject_outliers(docs))
 
 
 def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit_on_labels(docs, labels)
-    return toxicity.clean(docs, model)
+    return settled(spark, toxicity.clean(docs, model))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,7 +41,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    out = suffix.cut_repeats(docs)
+    out = settled(spark, suffix.cut_repeats(docs))
     return out.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")) if "n_chars" in docs.columns else out
 
 
