@@ -142,6 +142,20 @@ def text_digests(text: Column) -> list[Column]:
     return [F.xxhash64(text).alias("d1"), F.xxhash64(F.lit(1), text).alias("d2")]
 
 
+def without(docs: DataFrame, rejected: DataFrame, text_col: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """The documents, all columns whatever their names, whose text (and the columns `by`, null-safe) isn't among rejected (d1, d2, *by).
+
+    Both are dealt by digest, at every size: a second pass of all texts through workers would cost their memory.
+    """
+    names = [f"c{k}" for k in range(len(docs.columns))]
+    own = docs.toDF(*names)
+    p, r = own.select("*", *text_digests(F.col(names[docs.columns.index(text_col)]))).alias("p"), rejected.distinct().hint("merge").alias("r")
+    same = (F.col("p.d1") == F.col("r.d1")) & (F.col("p.d2") == F.col("r.d2"))
+    for c in by:
+        same = same & F.col(f"p.{names[docs.columns.index(c)]}").eqNullSafe(F.col(f"r.{c}"))
+    return p.join(r, same, "left_anti").select(*names).toDF(*docs.columns)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's UTF-8 bytes in one array, and the rows' offsets in it (nulls are empty)."""
     column = pc.fill_null(column, "") if column.null_count else column
