@@ -31,10 +31,11 @@ class ScoreConfig:
     topk: int = 1
     max_requery_iterations: int = 0
     max_requery_answers: int = 50
-    max_iterations: int = 200
+    #: None: until scores settle, or a state returns.
+    max_iterations: int | None = None
     use_majority_voting: bool = False
     use_fuzzy_matching: bool = False
-    fuzzy_scorer: str = "ratio"
+    fuzzy_scorer: str = "max3"
     #: Similarities are between 0 and 1 throughout.
     fuzzy_threshold: float = 0.95
     #: Support edges up to which one task iterates over an exercise; beyond, every iteration is a distributed plan.

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..config import HopConfig
 from ..functions import text as T
 from ..storage import Scratch
+from .search import pushed
 
 KEY = ["path", "table_id", "x_cols", "zcol"]
 
@@ -30,7 +31,7 @@ def columns_like(cells: DataFrame, values: DataFrame, k: int, tau: int, most: in
 
     All paths at once; `most` candidates of each path are kept, by table and columns.
     """
-    found = cells.select("tableid", "colid", "tokenized").join(values, F.col("tokenized") == F.col("token"))
+    found = pushed(cells.select("tableid", "colid", "tokenized"), "tokenized", values.select("token")).join(values, F.col("tokenized") == F.col("token"))
     hits = found.groupBy("path", F.col("tableid").alias("table_id"), "slot", "colid").agg(F.count_distinct("token").alias("n")).where(F.col("n") >= tau)
     if seen is not None:
         hits = hits.join(seen.select("table_id").distinct(), "table_id", "left_anti")
@@ -96,7 +97,7 @@ def restrict_numbers(examples: DataFrame, threshold: float = 0.5) -> bool:
 
 def expand(cells: DataFrame, paths: DataFrame, cands: DataFrame, y_values: DataFrame, k: int, tau: int, restrict: bool, config: HopConfig, scratch: Scratch, hop: int, fuzzy: tuple[str, float] | None = None) -> Step:
     """One hop of all paths over all their candidates."""
-    rows = scratch.write(long_rows(cells, cands, k), f"rows{hop}")
+    rows = scratch.write(long_rows(pushed(cells, "tableid", cands.select("table_id")), cands, k), f"rows{hop}")
     ratio = dependency_ratios(rows).where((F.col("n_z") == 0) | (F.col("n_z") >= (1 - config.error_threshold_for_fd) * F.col("n_x")))
     # of each path, the tables with a column left, up to max_tables
     beam = F.dense_rank().over(Window.partitionBy("path").orderBy("table_id", "x_cols"))
@@ -140,10 +141,10 @@ def expand(cells: DataFrame, paths: DataFrame, cands: DataFrame, y_values: DataF
     return Step(results, onward)
 
 
-def multi_hop(cells: DataFrame, examples: DataFrame, queries: DataFrame, kx: int, tau: int = 2, config: HopConfig | None = None, scratch: Scratch | None = None, seen: DataFrame | None = None, fuzzy: tuple[str, float] | None = None) -> DataFrame:
+def multi_hop(cells: DataFrame, examples: DataFrame, queries: DataFrame, kx: int, tau: int = 2, config: HopConfig | None = None, scratch: Scratch | None = None, seen: DataFrame | None = None, fuzzy: tuple[str, float] | None = None, by_table: DataFrame | None = None) -> DataFrame:
     """(table_id < 0, path string, x, y): what every chain that reaches the examples' outputs says, as one table each.
 
-    Outputs have one column. Rows of inputs that nobody asked for are part of a chain's table.
+    by_table: the same cells, clustered by table. Outputs have one column. Rows of inputs that nobody asked for are part of a chain's table.
     """
     config = config or HopConfig()
     scratch = scratch or Scratch(cells.sparkSession, "multihop")
@@ -159,7 +160,7 @@ def multi_hop(cells: DataFrame, examples: DataFrame, queries: DataFrame, kx: int
         cands = scratch.write(columns_like(cells, values, k, tau, config.max_tables * 3, used), f"cands{hop}")
         if not cands.take(1):
             break
-        step = expand(cells, paths, cands, y_values, k, tau, restrict, config, scratch, hop, fuzzy)
+        step = expand(cells if by_table is None else by_table, paths, cands, y_values, k, tau, restrict, config, scratch, hop, fuzzy)
         results = scratch.write(step.results, f"results{hop}")
         found = results if found is None else found.unionByName(results)
         paths = scratch.write(step.paths, f"paths{hop}")

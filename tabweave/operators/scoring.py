@@ -8,6 +8,8 @@ product leaves, for each answer, only the odds of its own supporters, so no tabl
 
 from __future__ import annotations
 
+from itertools import count
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..config import ScoreConfig
 from ..storage import Scratch
+from .search import seeded_hash
 
 #: Scores are rounded to so many digits, so sums in another order don't break ties.
 DIGITS = 12
@@ -61,29 +64,38 @@ def majority(support: DataFrame, scores: DataFrame) -> DataFrame:
     return scores.where("is_example").withColumn("score", F.lit(0.0)).unionByName(won)
 
 
-def change(now: DataFrame, before: DataFrame) -> float:
-    """Sum of the scores' absolute differences; an answer that wasn't there had 0."""
+def change(now: DataFrame, before: DataFrame) -> tuple[float, int]:
+    """(sum of the scores' absolute differences, a hash of all scores); an answer that wasn't there had 0."""
     old = before.select("x", "y", F.col("score").alias("old"))
-    return float(now.join(old, ["x", "y"], "left").agg(F.coalesce(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))), F.lit(0.0))).first()[0])
+    delta = F.coalesce(F.sum(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0)))), F.lit(0.0))
+    return tuple(now.join(old, ["x", "y"], "left").agg(delta, F.coalesce(F.bit_xor(F.xxhash64("x", "y", "score")), F.lit(0))).first())
+
+
+def rounds(config: ScoreConfig, steps: int | None):
+    """1, 2, .. up to the least limit that is set."""
+    limits = [n for n in (steps, config.max_iterations) if n]
+    return range(1, min(limits) + 1) if limits else count(1)
 
 
 def iterate(support: DataFrame, scores: DataFrame, config: ScoreConfig, scratch: Scratch, steps: int | None = None) -> tuple[DataFrame, DataFrame, int]:
-    """(scores, table scores, iterations): until the change is at most epsilon, or for `steps` iterations.
+    """(scores, table scores, iterations): until the change is at most epsilon or a state returns, or for `steps` iterations.
 
     Each iteration's scores are written and read back: plans and their size estimates don't grow with the iterations.
     """
-    most = min(config.max_iterations, steps or config.max_iterations)
-    tables = None
-    for k in range(1, most + 1):
+    tables, met = None, set()
+    for k in rounds(config, steps):
         if config.use_majority_voting:
             tables = support.select("table_id").distinct().withColumn("score", F.lit(0.0))
             return scratch.write(majority(support, scores), "scores"), tables, 1
         tables = scratch.write(table_scores(support, scores, config.alpha, config.table_prior), f"tables{k % 2}")
         new = scratch.write(answer_scores(support, scores, tables), f"scores{k % 2}")
-        delta = change(new, scores) if k > 1 else None
+        if steps is None:
+            delta, state = change(new, scores)
+            if k > 1 and delta <= config.epsilon or state in met:
+                scores = new
+                break
+            met.add(state)
         scores = new
-        if steps is None and delta is not None and delta <= config.epsilon:
-            break
     return scores, tables, k
 
 
@@ -94,8 +106,8 @@ def kernel(table: np.ndarray, x: np.ndarray, answer: np.ndarray, x_of: np.ndarra
     pairs = np.unique(np.stack((table, x), 1), axis=0) if len(table) else np.empty((0, 2), int)
     free = ~example
     supported = np.bincount(answer, minlength=n) > 0
-    t = np.zeros(n_tables)
-    for k in range(1, min(config.max_iterations, steps or config.max_iterations) + 1):
+    t, met = np.zeros(n_tables), set()
+    for k in rounds(config, steps):
         best = np.zeros(n_x)
         np.maximum.at(best, x_of, score)
         top = np.round(score[answer], DIGITS) == np.round(best[x], DIGITS)
@@ -116,13 +128,16 @@ def kernel(table: np.ndarray, x: np.ndarray, answer: np.ndarray, x_of: np.ndarra
         new = np.where(free, np.round(w / (np.exp(-high) + np.bincount(x_of, w, minlength=n_x))[x_of], DIGITS), score)
         delta = float(np.abs(new - score).sum())
         score = new
-        if steps is None and k > 1 and delta <= config.epsilon:
-            break
+        if steps is None:
+            state = hash(score.tobytes())
+            if k > 1 and delta <= config.epsilon or state in met:
+                break
+            met.add(state)
     return score, t, k
 
 
 def iterate_grouped(support: DataFrame, examples: DataFrame, config: ScoreConfig, steps: int | None = None) -> DataFrame:
-    """(exercise, x, y, score, is_example): one task iterates over an exercise. For exercises of bounded size.
+    """(exercise, x, y, score, is_example, iterations): one task iterates over an exercise. For exercises of bounded size.
 
     support: (exercise, table_id, x, y); examples: (exercise, x, y).
     """
@@ -139,11 +154,11 @@ def iterate_grouped(support: DataFrame, examples: DataFrame, config: ScoreConfig
         is_edge = pdf["table_id"].notna().to_numpy()
         table, _ = pd.factorize(pdf["table_id"][is_edge])
         edge = np.unique(np.stack((table, x_code[is_edge], answer[is_edge]), 1), axis=0) if is_edge.any() else np.empty((0, 3), int)
-        score, _, _ = kernel(edge[:, 0], edge[:, 1], edge[:, 2], x_of, example, config, steps)
-        return pd.DataFrame({"exercise": pdf["exercise"].iloc[0], "x": [list(a) for a, _ in names], "y": [list(b) for _, b in names], "score": score, "is_example": example})
+        score, _, n = kernel(edge[:, 0], edge[:, 1], edge[:, 2], x_of, example, config, steps)
+        return pd.DataFrame({"exercise": pdf["exercise"].iloc[0], "x": [list(a) for a, _ in names], "y": [list(b) for _, b in names], "score": score, "is_example": example, "iterations": n})
 
     kind = support.schema["exercise"].dataType.simpleString()
-    return edges.unionByName(known).groupBy("exercise").applyInPandas(run, f"exercise {kind}, x array<string>, y array<string>, score double, is_example boolean")
+    return edges.unionByName(known).groupBy("exercise").applyInPandas(run, f"exercise {kind}, x array<string>, y array<string>, score double, is_example boolean, iterations int")
 
 
 def ranked(scores: DataFrame, queries: DataFrame) -> DataFrame:
@@ -156,7 +171,7 @@ def top_answers(scores: DataFrame, k: int, most: int, seed: int) -> DataFrame:
     """(x, y): the k best answers of every input, at most `most` of them (by seeded hash), as examples of the next round."""
     order = Window.partitionBy("x").orderBy(F.desc("score"), "y")
     best = scores.withColumn("__r", F.row_number().over(order)).where(F.col("__r") <= k).select("x", "y")
-    return best.orderBy(F.xxhash64("x", "y", F.lit(seed)), "x", "y").limit(most)
+    return best.orderBy(seeded_hash(seed), "x", "y").limit(most)
 
 
 def table_metrics(sizes: DataFrame, support: DataFrame, ranking: DataFrame) -> DataFrame:

@@ -12,6 +12,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Keys up to which a search writes them into the scan as literals; beyond, its join alone decides.
+PUSHED = 2000
+#: Values in one list of literals: parquet looks up short lists value by value, longer ones by their least and greatest only.
+LISTED = 10
+
+
+def pushed(df: DataFrame, column: str, keys: DataFrame) -> DataFrame:
+    """df without rows that no key (one column, no bound needed) equals, where the keys are few: a scan of a table that is
+    clustered by the column then skips the other row groups. A join has to follow; it does the same for many keys."""
+    few = keys.distinct().limit(PUSHED + 1).collect()
+    if len(few) > PUSHED:
+        return df
+    values = sorted(r[0] for r in few if r[0] is not None)
+    lists = [F.col(column).isin(values[i : i + LISTED]) for i in range(0, len(values), LISTED)]
+    return df.where(reduce(lambda a, b: a | b, lists, F.lit(False)))
+
+
 def complete(rows: DataFrame, *columns: str) -> DataFrame:
     """Rows whose arrays hold no null."""
     return rows.where(reduce(lambda a, b: a & b, (F.forall(c, lambda v: v.isNotNull()) for c in columns)))
@@ -29,7 +46,7 @@ def slot_terms(examples: DataFrame, kx: int, ky: int) -> DataFrame:
 
 def column_hits(cells: DataFrame, terms: DataFrame, tau: int) -> DataFrame:
     """(table_id, slot, colid): columns that hold at least tau different tokens of a slot."""
-    found = cells.select("tableid", "colid", "tokenized").join(terms, F.col("tokenized") == F.col("token"))
+    found = pushed(cells.select("tableid", "colid", "tokenized"), "tokenized", terms.select("token")).join(terms, F.col("tokenized") == F.col("token"))
     return found.groupBy(F.col("tableid").alias("table_id"), "slot", "colid").agg(F.count_distinct("token").alias("n")).where(F.col("n") >= tau).drop("n")
 
 
@@ -68,7 +85,7 @@ def duplicate_cells(cells: DataFrame) -> DataFrame:
 
 def table_content(cells: DataFrame, tables: DataFrame, columns: list[int], value: str = "tokenized") -> DataFrame:
     """(tableid, rowid, a column for each colid) of the tables (tableid); tables with places held twice are left out."""
-    own = cells.join(tables.select("tableid").distinct(), "tableid").where(F.col("colid").isin(columns))
+    own = pushed(cells, "tableid", tables.select("tableid")).join(tables.select("tableid").distinct(), "tableid").where(F.col("colid").isin(columns))
     wide = own.groupBy("tableid", "rowid").agg(*[F.max(F.when(F.col("colid") == c, F.col(value))).alias(f"c{c}") for c in columns])
     return wide.join(duplicate_cells(own).select("tableid").distinct(), "tableid", "left_anti")
 
@@ -94,9 +111,14 @@ def answers(rows: DataFrame, valid: DataFrame, queries: DataFrame, kx: int) -> D
     return found.where(F.forall("y", lambda v: v.isNotNull() & (v != ""))).distinct()
 
 
+def seeded_hash(seed: int) -> Column:
+    """An order of (x, y) that no plan or partitioning changes, and that SQL can state."""
+    return F.md5(F.concat_ws("\x1f", F.lit(str(seed)), "x", "y"))
+
+
 def example_split(rows: DataFrame, n: int, seed: int = 2) -> tuple[DataFrame, DataFrame]:
     """(n examples, the rest): by the least seeded hash of x, which no plan or partitioning changes."""
-    keyed = rows.select("x", "y").distinct().withColumn("__h", F.xxhash64("x", "y", F.lit(seed)))
+    keyed = rows.select("x", "y").distinct().withColumn("__h", seeded_hash(seed))
     chosen = keyed.orderBy("__h", "x", "y").limit(n).drop("__h")
     return chosen, keyed.drop("__h").join(chosen, ["x", "y"], "left_anti")
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..config import EngineConfig
 from ..operators import evaluate, multihop, scoring, search
-from ..sources.corpus import route_upload
+from ..sources.corpus import Corpus, both_layouts, route_upload
 from ..storage import Scratch
 
 
@@ -31,11 +31,12 @@ def arity(rows: DataFrame, column: str) -> int:
     return found.n if found else 0
 
 
-def gather(cells: DataFrame, examples: DataFrame, asked: DataFrame, kx: int, ky: int, config: EngineConfig, scratch: Scratch, tag: str, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+def gather(cells: DataFrame | Corpus, examples: DataFrame, asked: DataFrame, kx: int, ky: int, config: EngineConfig, scratch: Scratch, tag: str, seen: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(support, sizes, tables met): one round of search, for examples and the inputs asked."""
     s = config.search
+    cells, by_table = both_layouts(cells)
     cands = scratch.write(search.candidates(cells, examples, kx, ky, s.tau, s.table_limit, seen), f"cands{tag}")
-    rows = scratch.write(search.table_rows(cells, cands, kx, ky), f"rows{tag}")
+    rows = scratch.write(search.table_rows(search.pushed(by_table, "tableid", cands.select("table_id")), cands, kx, ky), f"rows{tag}")
     valid = scratch.write(search.validated(rows, examples, kx, ky, s.tau), f"valid{tag}")
     support = search.answers(rows, valid, asked, kx)
     sizes = valid.groupBy("table_id").agg(F.max("num_rows").alias("num_rows"))
@@ -44,7 +45,7 @@ def gather(cells: DataFrame, examples: DataFrame, asked: DataFrame, kx: int, ky:
         if ky != 1:
             raise ValueError("chains of tables lead to one output column")
         fuzzy = (config.score.fuzzy_scorer, config.score.fuzzy_threshold) if config.score.use_fuzzy_matching else None
-        hops = scratch.write(multihop.multi_hop(cells, examples, asked, kx, s.tau, config.hop, Scratch(cells.sparkSession, "hops"), met if seen is None else seen.unionByName(met), fuzzy), f"hops{tag}")
+        hops = scratch.write(multihop.multi_hop(cells, examples, asked, kx, s.tau, config.hop, Scratch(cells.sparkSession, "hops"), met if seen is None else seen.unionByName(met), fuzzy, by_table), f"hops{tag}")
         support = support.unionByName(hops.select("table_id", "x", "y"))
         sizes = sizes.unionByName(hops.groupBy("table_id").agg(F.count_distinct("x").alias("num_rows")))
     if config.score.use_fuzzy_matching:
@@ -52,10 +53,10 @@ def gather(cells: DataFrame, examples: DataFrame, asked: DataFrame, kx: int, ky:
     return scratch.write(support.distinct(), f"support{tag}"), scratch.write(sizes, f"sizes{tag}"), met
 
 
-def discover(cells: DataFrame, examples: DataFrame, queries: DataFrame, config: EngineConfig | None = None, steps: int | None = None) -> Outcome:
-    """examples(x array, y array), queries(x array): ranked outputs for the queries."""
+def discover(cells: DataFrame | Corpus, examples: DataFrame, queries: DataFrame, config: EngineConfig | None = None, steps: int | None = None) -> Outcome:
+    """examples(x array, y array), queries(x array): ranked outputs for the queries. cells: alone, or an index in both layouts."""
     config = config or EngineConfig()
-    spark: SparkSession = cells.sparkSession
+    spark: SparkSession = examples.sparkSession
     scratch = Scratch(spark, "discover")
     examples = scratch.write(examples.select("x", "y"), "examples")
     queries = scratch.write(search.distinct_queries(queries), "queries")
@@ -94,11 +95,13 @@ def _settle(support: DataFrame, scores: DataFrame, examples: DataFrame, config:
         return scoring.iterate(support, scores, config.score, scratch, steps)
     one = F.lit("")
     out = scratch.write(scoring.iterate_grouped(support.withColumn("exercise", one), examples.withColumn("exercise", one), config.score, steps).drop("exercise"), "scores")
+    done = out.agg(F.coalesce(F.max("iterations"), F.lit(0))).first()[0]
+    out = out.drop("iterations")
     tables = scratch.write(scoring.table_scores(support, out, config.score.alpha, config.score.table_prior), "tables")
-    return out, tables, 0
+    return out, tables, done
 
 
-def transform(df: DataFrame, x_cols: list[str], y_cols: list[str], cells: DataFrame, config: EngineConfig | None = None, tokenised: bool = False, least: float = 0.01) -> DataFrame:
+def transform(df: DataFrame, x_cols: list[str], y_cols: list[str], cells: DataFrame | Corpus, config: EngineConfig | None = None, tokenised: bool = False, least: float = 0.01) -> DataFrame:
     """A table whose rows with outputs are examples: its rows, missing outputs filled with the best answers."""
     from ..functions.text import tokenize
 
@@ -110,7 +113,7 @@ def transform(df: DataFrame, x_cols: list[str], y_cols: list[str], cells: DataFr
     return evaluate.write_back(df, asked.join(best, "t").select("x", "y"), x_cols, y_cols)
 
 
-def run_exercise(cells: DataFrame, rows: DataFrame, n_examples: int = 5, config: EngineConfig | None = None, repeats: int = 5) -> DataFrame:
+def run_exercise(cells: DataFrame | Corpus, rows: DataFrame, n_examples: int = 5, config: EngineConfig | None = None, repeats: int = 5) -> DataFrame:
     """Metrics of an exercise (x array, y array): mean and deviation over repeats with other examples."""
     config = config or EngineConfig()
     runs = None
@@ -122,7 +125,7 @@ def run_exercise(cells: DataFrame, rows: DataFrame, n_examples: int = 5, config:
     return evaluate.over_repeats(runs.withColumn("tau", F.lit(config.search.tau)), ["tau"])
 
 
-def run_experiment(cells: DataFrame, exercises: dict[str, DataFrame], taus: tuple[int, ...] = (1, 2, 3, 4, 5), config: EngineConfig | None = None, first: tuple[str, ...] = (), **options) -> DataFrame:
+def run_experiment(cells: DataFrame | Corpus, exercises: dict[str, DataFrame], taus: tuple[int, ...] = (1, 2, 3, 4, 5), config: EngineConfig | None = None, first: tuple[str, ...] = (), **options) -> DataFrame:
     """Every exercise for every tau; those named in `first` (slow ones) come first, in that order."""
     from dataclasses import replace
 

@@ -39,6 +39,14 @@ def as_cells(rows: DataFrame, *values: str) -> DataFrame:
     return rows.select("tableid", "rowid", F.explode(columns).alias("c")).select("tableid", "c.colid", "rowid", "c.tokenized")
 
 
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables without the examples' customers, which only answers lead to: 9 is right, 10 is wrong."""
+    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") > EXAMPLES)
+    even = F.col("c_custkey") % 2 == 0
+    y = F.when(even, F.lower("c_mktsegment")).otherwise(F.concat(F.lit("late "), (F.col("c_custkey") % 5).cast("string")))
+    return c.select(F.when(even, 9).otherwise(10).cast("long").alias("tableid"), F.col("c_custkey").cast("int").alias("rowid"), F.lower("c_name").alias("x"), y.alias("y"))
+
+
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_cells(source_rows(spark, sf_dir), "x", "y")
 
@@ -182,7 +190,13 @@ def table_metrics(spark, sf_dir):
 
 
 def requery(spark, sf_dir):
-    return _flat(_outcome(spark, sf_dir, max_requery_iterations=1).ranking.where("rank = 1")).select("x", "y")
+    """Best answers and how many tables support them, after answers of the first round were examples of a second one."""
+    config = EngineConfig()
+    config = dataclasses.replace(config, score=dataclasses.replace(config.score, max_requery_iterations=1, use_majority_voting=True))
+    own = cells(spark, sf_dir).unionByName(as_cells(late_rows(spark, sf_dir), "x", "y"))
+    out = discover(own, examples(spark, sf_dir), open_queries(spark, sf_dir), config)
+    best = out.ranking.where("rank = 1").select("x", "y")
+    return _flat(best.join(out.support, ["x", "y"]).groupBy("x", "y").agg(F.count_distinct("table_id").alias("n_tables")))
 
 
 def evaluation(spark, sf_dir):
@@ -295,7 +309,11 @@ won AS (SELECT x, y, CASE WHEN row_number() OVER (PARTITION BY x ORDER BY n DESC
 mine AS (SELECT x, y, score, row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS rank FROM won WHERE x IN (SELECT x FROM asked))"""
 
 
-def _iterations(n: int) -> str:
+#: Iterations that the SQL of settled scores states; it chooses the first that meets the rule.
+STATED = 30
+
+
+def _steps(n: int) -> str:
     steps = []
     for k in range(1, n + 1):
         p = k - 1
@@ -310,7 +328,35 @@ w{k} AS (SELECT u.x, u.y, product(CASE WHEN o.y IS NOT NULL THEN t.s ELSE 1 - t.
 z{k} AS (SELECT d.x, product(1 - t.s) AS p0 FROM (SELECT DISTINCT table_id, x FROM support) d JOIN t{k} t USING (table_id) GROUP BY 1),
 s{k} AS MATERIALIZED (SELECT x, y, score, is_example FROM s{p} WHERE is_example UNION ALL
        SELECT w.x, w.y, round(w.p / (z.p0 + sum(w.p) OVER (PARTITION BY w.x)), 12), false FROM w{k} w JOIN z{k} z USING (x))""")
-    return f"WITH {_SRC}, " + ", ".join(steps) + f" SELECT x, y, round(score, 6) AS score, is_example FROM s{n}"
+    return f"WITH {_SRC}, " + ", ".join(steps)
+
+
+def _iterations(n: int) -> str:
+    return _steps(n) + f" SELECT x, y, round(score, 6) AS score, is_example FROM s{n}"
+
+
+def _settled(n: int) -> str:
+    """Rankings after the first iteration but one that changes scores by 0.01 at most."""
+    moved = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.score - coalesce(b.score, 0))) AS delta FROM s{k} a LEFT JOIN s{k - 1} b USING (x, y)" for k in range(2, n + 1))
+    every = " UNION ALL ".join(f"SELECT {k} AS k, x, y, score FROM s{k}" for k in range(2, n + 1))
+    return f"""{_steps(n)}, moved AS ({moved}), every AS ({every}),
+        done AS (SELECT x, y, score FROM every WHERE k = (SELECT min(k) FROM moved WHERE delta <= 0.01) AND x IN (SELECT x FROM asked))
+        SELECT x, y, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS INTEGER) AS rank FROM done"""
+
+
+_SECOND = """first AS (SELECT x, y, row_number() OVER (PARTITION BY x ORDER BY score DESC, y) AS r FROM (SELECT x, y, score FROM won UNION ALL SELECT DISTINCT x, y, 0.0::DOUBLE FROM ex)),
+again AS (SELECT x, y FROM first WHERE r = 1 ORDER BY md5(concat_ws(chr(31), '2', x, y)), x, y LIMIT 50),
+late AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 9 ELSE 10 END::BIGINT AS tableid, c_custkey AS rowid, lower(c_name) AS x,
+         CASE WHEN c_custkey % 2 = 0 THEN lower(c_mktsegment) ELSE concat('late ', CAST(c_custkey % 5 AS VARCHAR)) END AS y FROM customer WHERE c_custkey > 5),
+unseen AS (SELECT tableid, rowid, 1 AS colid, x AS tokenized FROM late UNION ALL SELECT tableid, rowid, 2, y FROM late
+           UNION ALL SELECT tableid, rowid, colid, tokenized FROM cells WHERE tableid NOT IN (SELECT table_id FROM cand)),
+ux AS (SELECT tableid, colid FROM unseen WHERE tokenized IN (SELECT x FROM again) GROUP BY 1, 2 HAVING count(DISTINCT tokenized) >= 2),
+uy AS (SELECT tableid, colid FROM unseen WHERE tokenized IN (SELECT y FROM again) GROUP BY 1, 2 HAVING count(DISTINCT tokenized) >= 2),
+urows AS (SELECT a.tableid AS table_id, a.colid AS x0, b.colid AS y0, a.tokenized AS x, b.tokenized AS y FROM unseen a JOIN unseen b ON a.tableid = b.tableid AND a.rowid = b.rowid AND a.colid <> b.colid
+          JOIN ux ON ux.tableid = a.tableid AND ux.colid = a.colid JOIN uy ON uy.tableid = b.tableid AND uy.colid = b.colid),
+uvalid AS (SELECT table_id, x0, y0 FROM urows JOIN again USING (x, y) GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+both_rounds AS (SELECT table_id, x, y FROM support UNION SELECT table_id, x, y FROM urows JOIN uvalid USING (table_id, x0, y0) WHERE x IN (SELECT x FROM asked)),
+counted AS (SELECT x, y, count(DISTINCT table_id) AS n_tables FROM both_rounds GROUP BY 1, 2)"""
 
 
 _HOP = """hop AS (
@@ -358,6 +404,10 @@ ORACLES = {
     "table_content": f"WITH {_SRC} SELECT tableid, CAST(rowid AS INTEGER) AS rowid, max(CASE WHEN colid = 1 THEN tokenized END) AS c1, max(CASE WHEN colid = 2 THEN tokenized END) AS c2 FROM cells GROUP BY 1, 2",
     "scores_three_iterations": _iterations(3),
     "scores_distributed": _iterations(3),
+    "discover_direct": _settled(STATED),
+    "requery": f"""WITH {_SRC}, {_SECOND}
+        SELECT x, y, n_tables FROM (SELECT *, row_number() OVER (PARTITION BY x ORDER BY n_tables DESC, y) AS r FROM counted WHERE x IN (SELECT x FROM asked)) WHERE r = 1""",
+    "corpus_sample": """SELECT x, y FROM (SELECT DISTINCT lower(c_name) AS x, lower(c_mktsegment) AS y FROM customer) ORDER BY md5(concat_ws(chr(31), '2', x, y)), x, y LIMIT 5""",
     "majority_vote": f"WITH {_SRC} SELECT x, y, score FROM mine WHERE rank = 1",
     "table_metrics": f"""WITH {_SRC}, best AS (SELECT DISTINCT table_id FROM support JOIN mine USING (x, y) WHERE rank = 1),
         per AS (SELECT table_id, max(num_rows) AS num_rows FROM valid GROUP BY 1)

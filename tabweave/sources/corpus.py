@@ -21,6 +21,8 @@ class Corpus:
     cells: DataFrame
     columns: DataFrame | None = None
     tables: DataFrame | None = None
+    #: The same cells clustered by table, from which whole columns are read; None: `cells` serve for that too.
+    by_table: DataFrame | None = None
 
 
 def read_web_tables(spark: SparkSession, path: str, schema: str = WEB_TABLE) -> DataFrame:
@@ -58,8 +60,15 @@ def read_raw_rows(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", False).option("multiLine", True).option("escape", '"').csv(path)
 
 
+def both_layouts(cells: DataFrame | Corpus) -> tuple[DataFrame, DataFrame]:
+    """(cells to search for tokens, cells to read tables from)."""
+    if isinstance(cells, DataFrame):
+        return cells, cells
+    return cells.cells, cells.cells if cells.by_table is None else cells.by_table
+
+
 def read_corpus(spark: SparkSession, path: str) -> Corpus:
-    return Corpus(spark.read.parquet(f"{path}/cells"), spark.read.parquet(f"{path}/columns"), spark.read.parquet(f"{path}/tables"))
+    return Corpus(*[spark.read.parquet(f"{path}/{name}") for name in ("cells", "columns", "tables", "cells_by_table")])
 
 
 def read_jdbc_cells(spark: SparkSession, url: str, table: str, partitions: int = 32, low: int = 1, high: int = 1 << 28, **options: str) -> DataFrame:

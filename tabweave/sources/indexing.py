@@ -54,10 +54,14 @@ def postings(cells: DataFrame) -> DataFrame:
     return cells.where("tokenized is not null").groupBy("tokenized").agg(F.sort_array(F.collect_list(F.struct("tableid", "rowid", "colid"))).alias("postings"))
 
 
+def layouts(corpus: Corpus) -> dict[str, DataFrame]:
+    """What an index holds, by folder. Cells are there twice, by token and by table, so that a search for tokens and the
+    reading of tables each touch few row groups; frequent tokens and long tables are dealt to several files."""
+    ranged = lambda *order: corpus.cells.repartitionByRange(*order).sortWithinPartitions(*order)
+    out = {"cells": ranged("tokenized", "tableid"), "cells_by_table": ranged("tableid", "colid", "rowid"), "columns": corpus.columns, "tables": corpus.tables}
+    return {name: df for name, df in out.items() if df is not None}
+
+
 def write_corpus(corpus: Corpus, path: str, mode: str = "overwrite") -> None:
-    """Cells are ordered by token within files, so that a search for tokens reads few row groups."""
-    corpus.cells.repartitionByRange("tokenized", "tableid").sortWithinPartitions("tokenized", "tableid").write.mode(mode).parquet(f"{path}/cells")
-    if corpus.columns is not None:
-        corpus.columns.write.mode(mode).parquet(f"{path}/columns")
-    if corpus.tables is not None:
-        corpus.tables.write.mode(mode).parquet(f"{path}/tables")
+    for name, df in layouts(corpus).items():
+        df.write.mode(mode).parquet(f"{path}/{name}")

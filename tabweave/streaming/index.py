@@ -8,7 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..config import IndexConfig
 from ..sources.corpus import WEB_TABLE
-from ..sources.indexing import build_index
+from ..sources.indexing import build_index, layouts
 
 
 def arriving_tables(spark: SparkSession, folder: str, files_per_trigger: int = 100) -> DataFrame:
@@ -21,11 +21,10 @@ def table_key():
 
 
 def maintain_index(tables: DataFrame, path: str, checkpoint: str, config: IndexConfig | None = None, available_now: bool = True) -> StreamingQuery:
-    """Appends each batch's cells, columns and tables under `path`. A batch that is run again replaces its own folder."""
+    """Appends each batch's cells (by token and by table), columns and tables under `path`. A batch that is run again replaces its own folder."""
 
     def add(batch: DataFrame, number: int) -> None:
-        corpus = build_index(batch.withColumn("tableid", table_key()), config)
-        for name, df in (("cells", corpus.cells), ("columns", corpus.columns), ("tables", corpus.tables)):
+        for name, df in layouts(build_index(batch.withColumn("tableid", table_key()), config)).items():
             df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     writer = tables.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint)

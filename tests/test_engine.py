@@ -252,13 +252,13 @@ def test_index_sources_and_stream(spark, tmp_path):
     assert {tuple(r) for r in built.tables.collect()} == {(1, "u1", "t", 0.5), (2, "u2", None, 0.5)}
     indexing.write_corpus(built, str(tmp_path / "out"))
     back = corpus.read_corpus(spark, str(tmp_path / "out"))
-    assert back.cells.count() == 6 and back.tables.count() == 2
+    assert back.cells.count() == 6 and back.tables.count() == 2 and back.by_table.exceptAll(back.cells).count() == 0 and back.by_table.count() == 6
     assert {r.tokenized: [tuple(p) for p in r.postings] for r in indexing.postings(back.cells).collect()}["rome"] == [(1, 2, 1)]
     rows = spark.createDataFrame([(1, [[("A",), ("b",)], [("c",), (None,)]])], "tableid long, tableData array<array<struct<text: string>>>")
     assert {tuple(r) for r in indexing.build_row_major(rows).collect()} == {(1, 0, 0, "A", None), (1, 1, 0, "b", "b"), (1, 0, 1, "c", "c"), (1, 1, 1, None, None)}
     query = streaming.maintain_index(streaming.arriving_tables(spark, str(tmp_path / "in")), str(tmp_path / "idx"), str(tmp_path / "ck"))
     query.awaitTermination(60)
-    assert spark.read.parquet(str(tmp_path / "idx" / "cells")).count() == 6
+    assert all(spark.read.parquet(str(tmp_path / "idx" / name)).count() == 6 for name in ("cells", "cells_by_table"))
     assert {tuple(r) for r in spark.read.parquet(str(tmp_path / "idx" / "tables")).select("url").collect()} == {("u1",), ("u2",)}
 
 
@@ -343,3 +343,28 @@ def test_nothing_found_and_no_examples(spark, toy):
     assert {(r.x[0], r.y[0], r.score) for r in same.ranking.where("rank = 1").collect()} == {(r.x[0], r.y[0], 1.0) for r in examples.collect()}
     with pytest.raises(ValueError):
         discover(cells, examples.limit(0), queries)
+
+
+def test_index_in_two_layouts_finds_the_same(spark, toy, tmp_path):
+    cells, examples, queries = frames(spark, toy)
+    nothing = spark.range(0).toDF("tableid")
+    indexing.write_corpus(corpus.Corpus(cells.withColumn("term", F.col("tokenized")), nothing, nothing), str(tmp_path))
+    plain = discover(cells, examples, queries, steps=3)
+    both = discover(corpus.read_corpus(spark, str(tmp_path)), examples, queries, steps=3)
+    assert {tuple(map(str, r)) for r in both.ranking.collect()} == {tuple(map(str, r)) for r in plain.ranking.collect()}
+
+
+def test_iterations_are_counted_and_limits_hold(spark, toy):
+    counts = {}
+    for edges in (0, 2_000_000):
+        out = discover(*frames(spark, toy), EngineConfig(score=ScoreConfig(kernel_edges=edges)))
+        counts[edges] = out.iterations
+        assert discover(*frames(spark, toy), EngineConfig(score=ScoreConfig(kernel_edges=edges, max_iterations=2))).iterations == 2
+    assert counts[0] == counts[2_000_000] > 2
+
+
+def test_states_that_return_end_the_iteration(spark):
+    # with no change allowed the scores still come to rest, or to a state that was there
+    a = [0, 0, 1, 1]
+    score, _, k = scoring.kernel(*map(__import__("numpy").array, (a, [0, 1, 0, 1], [0, 1, 2, 3], [0, 1, 0, 1], [True, False, False, False])), ScoreConfig(epsilon=-1.0))
+    assert k < 10_000 and score[0] == 1
