@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, carried, text_bytes, text_digests, without
+from .common import Scratch, blocks, carried, text_batches, text_bytes, text_digests, trim, without
 from .kernel import IS_SPACE, distinct
 
 #: The most labelled rows that the classifier is fitted on.
@@ -32,6 +32,8 @@ SAMPLE = 12_000
 ORDERS, HASH = (3, 4, 5, 6), 20
 #: Least standard score of a kept n-gram, least number of texts with it, smoothing of counts, ridge penalty.
 EVIDENCE, OFTEN, SMOOTH, RIDGE = 5.0, 8, 1.0, 2.0
+#: Text whose n-grams are made at once (a byte takes some 140 bytes then), features that a step of the regression looks at at once.
+PIECE, STEP = 1 << 18, 1 << 18
 #: From this score on a text counts as toxic.
 THRESHOLD = 0.3
 
@@ -61,7 +63,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, n
 def features(data: np.ndarray, offsets: np.ndarray, mask: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(row, bucket), each pair once, of buckets in the mask."""
     found = []
-    row = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    row = np.repeat(np.arange(len(offsets) - 1, dtype=np.int32), np.diff(offsets))
     for start, bucket in grams(data, offsets):
         if mask is not None:
             hit = np.flatnonzero(mask[bucket])
@@ -92,12 +94,21 @@ class Model:
 def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, labels: np.ndarray, columns: int, start: float, ridge: float = RIDGE, steps: int = 300) -> tuple[np.ndarray, float]:
     """Weights and intercept by accelerated gradient steps; the step is the inverse of a bound of the curvature."""
     n = len(labels)
+
+    def summed(by: np.ndarray, x: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+        """Sums of value * x[at] by `by`, without an array as long as all features."""
+        out = np.zeros(size)
+        for k in range(0, len(value), STEP):
+            part = slice(k, k + STEP)
+            out += np.bincount(by[part], value[part] * x[at[part]], minlength=size)
+        return out
+
     # bound of the largest eigenvalue of X'X by power iteration
     v = np.ones(columns) / max(1, columns) ** 0.5
     top = 1.0
     for _ in range(20):
-        u = np.bincount(row, value * v[column], minlength=n)
-        v = np.bincount(column, value * u[row], minlength=columns)
+        u = summed(row, v, column, n)
+        v = summed(column, u, row, columns)
         top = max(float(np.linalg.norm(v)), 1e-9)
         v /= top
     rate = 1.0 / (0.25 * (1.2 * top + n) + ridge)
@@ -105,9 +116,9 @@ def logistic(row: np.ndarray, column: np.ndarray, value: np.ndarray, labels: np.
     w[-1] = start
     ahead, momentum = w.copy(), 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * ahead[column], minlength=n) + ahead[-1], -40, 40)))
+        p = 1 / (1 + np.exp(-np.clip(summed(row, ahead, column, n) + ahead[-1], -40, 40)))
         error = p - labels
-        gradient = np.append(np.bincount(column, value * error[row], minlength=columns) + ridge * ahead[:-1], error.sum())
+        gradient = np.append(summed(column, error, row, columns) + ridge * ahead[:-1], error.sum())
         new = ahead - rate * gradient
         after = (1 + (1 + 4 * momentum**2) ** 0.5) / 2
         ahead = new + (momentum - 1) / after * (new - w)
@@ -136,20 +147,23 @@ def fit_blocks(parts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray) -
         at += len(offsets) - 1
         for total, weight in ((ones, labels), (with_it, None), (hoped, expected), (spread, expected * (1 - expected))):
             total += np.bincount(bucket, None if weight is None else weight[row], minlength=1 << HASH)
-    kept = np.flatnonzero((np.abs(ones - hoped) >= EVIDENCE * np.sqrt(spread + 1e-9)) & (with_it >= OFTEN))
+    kept = np.flatnonzero(with_it >= OFTEN)
+    kept = kept[np.abs(ones[kept] - hoped[kept]) >= EVIDENCE * np.sqrt(spread[kept] + 1e-9)]
     if not len(kept):
         return plain
     # what a class would count without the lengths' effect: observed over expected, both smoothed
+    ones, with_it, hoped = ones[kept], with_it[kept], hoped[kept]
     zeros, rest = with_it - ones, with_it - hoped
-    ratio = (np.log((ones + SMOOTH) / (hoped + SMOOTH)) - np.log((zeros + SMOOTH) / (rest + SMOOTH)))[kept]
-    mask, place = np.zeros(1 << HASH, bool), np.zeros(1 << HASH, np.int64)
+    ratio = np.log((ones + SMOOTH) / (hoped + SMOOTH)) - np.log((zeros + SMOOTH) / (rest + SMOOTH))
+    mask, place = np.zeros(1 << HASH, bool), np.zeros(1 << HASH, np.int32)
     mask[kept], place[kept] = True, np.arange(len(kept))
     rows, columns, at = [], [], 0
     for data, offsets in parts:
         row, bucket = features(data, offsets, mask)
-        rows.append((row + at).astype(np.int32)), columns.append(place[bucket].astype(np.int32))
+        rows.append((row + at).astype(np.int32)), columns.append(place[bucket])
         at += len(offsets) - 1
     row, column = np.concatenate(rows), np.concatenate(columns)
+    del rows, columns, spread, place
     weights, intercept = logistic(row, column, ratio.astype(np.float32)[column], labels.astype(float), len(kept), plain.intercept)
     plain.weights[kept] = weights * ratio
     plain.intercept = intercept
@@ -161,14 +175,18 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "label", o
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, labels = [], []
-        for part in blocks(batches, "text"):
+        for part in blocks(batches, "text", PIECE):
             parts.append(text_bytes(part.column(0)))
             labels += part.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([pa.array([fit_blocks(parts, np.array(labels, np.int64)).pack()], pa.binary())], ["model"])
+        model = fit_blocks(parts, np.array(labels, np.int64)).pack()
+        del parts
+        trim()
+        yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     rows = labelled.where(F.col(label_col).isin(0, 1)).select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(label_col).cast("int").alias("label"), F.xxhash64(order_col, text_col).alias("at"))
     rows = rows.orderBy("at", "label", "text").limit(sample)
-    found = rows.select("text", "label").coalesce(1).mapInArrow(run, "model binary").collect()  # one row of fixed size
+    with text_batches(labelled.sparkSession):
+        found = rows.select("text", "label").coalesce(1).mapInArrow(run, "model binary").collect()  # one row of fixed size
     return Model.unpack(bytes(found[0].model)) if found else Model(np.zeros(1 << HASH, np.float32), 0.0)
 
 
@@ -183,7 +201,7 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[st
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model.unpack(shared.value)
-        for part in blocks(batches, text_col):
+        for part in blocks(batches, text_col, PIECE):
             found = own.score(*text_bytes(part.column(at)))
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], pa.array(found)], [*keep, to])
 

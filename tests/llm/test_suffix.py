@@ -1,9 +1,10 @@
 import random
 from collections import defaultdict
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from tabweave.llm import suffix
+from tabweave.llm import common, suffix
 
 SCHEMA = "doc_id long, text string, dig string, pos int, lang string"
 
@@ -116,3 +117,12 @@ def test_word_count_matches_split(spark):
     got = spark.createDataFrame([(t,) for t in texts], "text string").select(suffix.word_count(F.col("text")).alias("n")).collect()
     assert [r.n for r in got] == [len((t or "").encode().split()) for t in texts]
     assert spark.range(1).select(F.lit(1)).count() == 1
+
+
+def test_workers_give_memory_back(monkeypatch):
+    seen = []
+    monkeypatch.setattr(common, "trim", lambda: seen.append(1))
+    cuts = pa.array([[{"begin": 1, "end": 2}], None], pa.list_(pa.struct([("begin", pa.int32()), ("end", pa.int32())])))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a b c", "d"]), cuts, pa.array([False, None])], ["c0", "cuts", "copy"])
+    assert [b.to_pydict() for b in suffix._cut(0, 1, 50)(iter([batch]))] == [{"c0": ["a c", "d"]}] and seen == [1]
+    assert not list(suffix._matched(50, 64)(iter([]))) and seen == [1, 1]

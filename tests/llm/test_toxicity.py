@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -72,3 +73,38 @@ def test_logistic_reaches_the_minimum():
     w, b = toxicity.logistic(row, column, x[row, column], y, 5, 0.0, ridge=1.0, steps=3000)
     p = 1 / (1 + np.exp(-(x @ w + b)))
     assert np.abs(x.T @ (p - y) + w).max() < 1e-3 and abs((p - y).sum()) < 1e-3
+
+
+def test_the_fit_takes_texts_in_small_pieces(spark, monkeypatch):
+    rows = [(i, f"{t} {i % 7} " * 3, y) for i, t, y in corpus(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, label int")
+    whole = toxicity.blocks
+
+    def pieces(batches, column, *limit):
+        def small():
+            for batch in batches:
+                assert batch.num_rows <= 500
+                yield batch
+
+        for part in whole(small(), column, *limit):
+            assert part.num_rows == 1 or len(text_bytes(part.column(0))[0]) <= 1 << 18
+            yield part
+
+    texts, labels = pa.array([t for _, t, _ in rows]), np.array([y for *_, y in rows])
+    cut = [text_bytes(part.column(0)) for part in toxicity.blocks([pa.record_batch([texts], ["text"])], "text", 1 << 18)]
+    several, one = toxicity.fit_blocks(cut, labels), toxicity.fit_blocks([text_bytes(texts)], labels)
+    assert len(cut) > 3 and (one.weights != 0).any() and np.allclose(several.weights, one.weights, atol=1e-5) and abs(several.intercept - one.intercept) < 1e-5
+    monkeypatch.setattr(toxicity, "blocks", pieces)
+    model = toxicity.fit(df)
+    assert ((model.score(*text_bytes(texts)) >= toxicity.THRESHOLD) == labels).mean() > 0.95
+
+
+def test_the_regression_makes_no_array_of_all_features():
+    r = np.random.default_rng(2)
+    n = 2_000_000
+    row, column, value = np.sort(r.integers(0, 3000, n)).astype(np.int32), r.integers(0, 500, n).astype(np.int32), r.random(n, np.float32)
+    tracemalloc.start()
+    toxicity.logistic(row, column, value, r.integers(0, 2, 3000).astype(float), 500, 0.0, steps=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 * n
