@@ -76,18 +76,6 @@ def trim() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The worker's function `run`, after which what it has freed goes back to the system."""
-
-    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        try:
-            yield from run(batches)
-        finally:
-            trim()
-
-    return whole
-
-
 def blocks(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose column holds at most limit bytes (of a list: items), or one row."""
     try:

@@ -41,7 +41,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, text_bytes, text_digests, trimmed
+from .common import Scratch, blocks, text_bytes, text_digests
 from .kernel import Words, distinct, mix, windows
 
 PASSAGE, SEED = 50, 11
@@ -153,7 +153,7 @@ def _carrying_words(passage: int, seed: int, bits: int):
                 ["key", "part", "dealt", "id", *PLACE, "left", "right"],
             )
 
-    return trimmed(run)
+    return run
 
 
 def _word_numbers(column: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -334,7 +334,7 @@ def _matched(passage: int, bits: int, block: int = 4 << 20):
             if table.num_rows:
                 yield from matches(table, passage, bits).to_batches()
 
-    return trimmed(run)
+    return run
 
 
 def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -432,7 +432,7 @@ def _cut(at: int, kept: int, least: int):
             columns = [pa.array(out, batch.schema.field(k).type) if k == at else batch.column(k) for k in range(kept)]
             yield pa.RecordBatch.from_arrays(columns, names[:kept])
 
-    return trimmed(run)
+    return run
 
 
 def cut_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, seed: int = SEED) -> DataFrame:
